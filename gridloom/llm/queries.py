@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts
+from . import mixing, simhash, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
+    "op7_simhash": simhash.op7_simhash,
     "op8_mix": mixing.op8_mix,
 }
 ORACLE_SQL = {
