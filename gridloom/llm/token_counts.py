@@ -11,6 +11,7 @@ import base64
 import hashlib
 import json
 import sys
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -144,7 +145,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, rank
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every text of ``documents`` under the 50k byte-level vocabulary."""
+    """Tokens of every text of ``documents`` under the 50k byte-level vocabulary.
+
+    The query starts from an empty cache of its own, so that every run does and
+    measures the whole work; pass a lasting ``cache`` to the operator to keep counts.
+    """
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    cache = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}/token_cache"
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
