@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, token_counts
+from . import mixing, prefix_hash, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
+    "op5_fingerprints": prefix_hash.op5_fingerprints,
     "op7_simhash": simhash.op7_simhash,
     "op8_mix": mixing.op8_mix,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 ORACLE_SQL = {
     "op8_mix": mixing.OP8_SQL,
