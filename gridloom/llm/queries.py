@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, prefix_hash, simhash, suffix_dedup, token_counts
+from . import line_dedup, mixing, prefix_hash, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_fingerprints": prefix_hash.op5_fingerprints,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_mix": mixing.op8_mix,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 ORACLE_SQL = {
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_mix": mixing.OP8_SQL,
 }
