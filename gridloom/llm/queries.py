@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, prefix_hash, simhash, suffix_dedup, token_counts
+from . import decontamination, line_dedup, mixing, prefix_hash, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_mix": mixing.op8_mix,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL = {
     "op6_line_dedup": line_dedup.OP6_SQL,
