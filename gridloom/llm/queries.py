@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, prefix_hash, simhash, suffix_dedup, token_counts
+from . import decontamination, language_id, line_dedup, mixing, prefix_hash, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_language_id": language_id.op4_language_id,
     "op5_fingerprints": prefix_hash.op5_fingerprints,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_simhash": simhash.op7_simhash,
