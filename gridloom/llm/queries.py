@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, line_dedup, mixing, prefix_hash, simhash, suffix_dedup, token_counts
+from . import decontamination, language_id, line_dedup, mixing, prefix_hash, quality, simhash, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_language_id": language_id.op4_language_id,
     "op5_fingerprints": prefix_hash.op5_fingerprints,
