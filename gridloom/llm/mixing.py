@@ -61,10 +61,13 @@ def mix(docs: DataFrame, seed: int = 42, size: Column | None = None, weights: tu
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col("size")).cast("binary"))
     # One never-null key for a source, so that every join and window is a plain equality.
     group = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source"))).alias("group")
-    rows = docs.select("doc_id", "source", group, size.alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    rows = rows.withColumn("key", key).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-    rows = staged(rows, "sized")  # words are counted once; the texts stay behind
-    sums = rows.groupBy("group", "bucket").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
+    def keyed(*kept: str) -> DataFrame:
+        rows = docs.select("doc_id", "source", group, size.alias("size"), *[F.col(c).alias(f"keep_{c}") for c in kept])
+        return rows.withColumn("key", key).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+
+    sized = staged(keyed(), "sized")  # without texts
+    rows = keyed(*keep) if keep else sized
+    sums = sized.groupBy("group", "bucket").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
     offsets = sums.select("group", "bucket", (F.sum("size").over(Window.partitionBy("group").orderBy("bucket")) - F.col("size")).alias("offset"))
     targets = source_targets(sums.select("source", "size"), weights, share, most).select(group, "source_size", "target")
     plan = offsets.join(targets, "group")

@@ -31,34 +31,46 @@ SEED = 42
 BITS = 64
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """The unsigned SimHash of a text's word shingles, repeats included."""
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of ``hashes``."""
+    counts = np.zeros(BITS, np.int64)
+    for k in range(0, hashes.size, 1 << 16):
+        counts += np.unpackbits(hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > hashes.size, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = 4, more: bool = False) -> tuple[int, ...]:
+    """The unsigned SimHash of a text's word shingles, repeats included; with ``more``, two further ones by another hash."""
     import xxhash
 
     found = text.lower().split()  # of bytes: A-Z, and exactly the ASCII white space
     if not found:
-        return 0
+        return (0, 0, 0) if more else (0,)
     joined = b" ".join(found)
     ends = list(accumulate(len(w) + 1 for w in found))
     starts = [0, *ends[:-1]]
     n = max(1, len(found) - words + 1)
+    shingles = [joined[a : b - 1] for a, b in zip(starts[:n], ends[len(found) - n :], strict=True)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], ends[len(found) - n :], strict=True)), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for k in range(0, n, 1 << 16):
-        counts += np.unpackbits(hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    own = majority(np.fromiter((digest(x, SEED) for x in shingles), np.uint64, n))
+    if not more:
+        return (own,)
+    wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles)), np.uint64).reshape(-1, 2)
+    return own, majority(wide[:, 0].copy()), majority(wide[:, 1].copy())
 
 
-def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*keep, fp)`` with the fingerprint as signed long; null texts count as empty."""
-    schema = docs.select(*keep).schema.add("fp", "long")
+def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",), more: bool = False) -> DataFrame:
+    """``(*keep, fp)`` with the fingerprint as signed long, and ``e1, e2`` with ``more``; null texts count as empty."""
+    names = ["fp", "e1", "e2"] if more else ["fp"]
+    schema = docs.select(*keep).schema
+    for name in names:
+        schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("gl_text").cast(pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(fps.view(np.int64))], names=[*keep, "fp"])
+            fps = np.array([fingerprint(t.as_py() or b"", words, more) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(fps[:, k].copy()) for k in range(len(names)))], names=[*keep, *names])
 
     return docs.select(*keep, F.col("text").alias("gl_text")).mapInArrow(run, schema)
 
@@ -124,10 +136,11 @@ def hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, tree: BlockTree | None, leaf: int = 256, seed: int = 1) -> np.ndarray:
+def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, tree: BlockTree, more: np.ndarray | None = None, total: int = 0, leaf: int = 256, seed: int = 1) -> np.ndarray:
     """Parent of each row in a spanning forest of the links in one shard.
 
-    Links join a row to a home row within ``distance`` bits. ``tree`` names the
+    Links join a row to a home row within ``distance`` bits, and within
+    ``total`` bits of the fingerprints in ``more``, if given. ``tree`` names the
     block and radius of the shard; a local vantage-point search halves the home
     rows until ``leaf`` are left, and compares whole fingerprints there.
     """
@@ -156,12 +169,19 @@ def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, tree: BlockTre
         for k in range(0, queries.size, width):
             some = queries[k : k + width]
             q, p = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[points][None, :]) <= distance)
-            hook(parent, some[q], points[p])
+            q, p = some[q], points[p]
+            if more is not None:
+                near = np.bitwise_count(more[q] ^ more[p]).sum(1) <= total
+                q, p = q[near], p[near]
+            hook(parent, q, p)
     return parent
 
 
-def near_links(distinct: DataFrame, distance: int = 4, blocks: int = 4, shard_rows: int = 20_000, sample_rows: int = 8192, max_depth: int = 14) -> DataFrame:
-    """Links ``(a, b)`` that connect exactly the fingerprints within ``distance`` bits, from distinct ``fp``.
+def near_links(distinct: DataFrame, distance: int = 4, total: int | None = None, blocks: int = 4, shard_rows: int = 20_000, sample_rows: int = 8192, max_depth: int = 14) -> DataFrame:
+    """Links ``(a, b)`` that connect exactly the fingerprints within ``distance`` bits, from distinct ``(node, fp)``.
+
+    With ``total``, rows also have ``e1, e2``, and links need at most so many
+    differing bits there, which tells chance from likeness where ``distance`` alone can't.
 
     They are spanning forests of all links, shard by shard: as many components
     as all links have, but never the pairs of a dense group. The trees are
@@ -171,11 +191,12 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int = 4, shard_ro
     the home rows), so that no task holds more, whatever the data.
     """
     spark = distinct.sparkSession
+    columns = ["node", "fp"] if total is None else ["node", "fp", "e1", "e2"]
     n = distinct.count()
     depth = 0
     while n > shard_rows << depth and depth < max_depth:
         depth += 1
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("node")).limit(sample_rows).collect()], np.int64).view(np.uint64)
     width = BITS // blocks
     trees = [BlockTree(sample, width * k, width, distance // blocks, depth, seed=k + 1) for k in range(blocks)]
     sent = spark.sparkContext.broadcast(trees)
@@ -188,35 +209,36 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int = 4, shard_ro
                 rows, shard = tree.visits(fps)
                 # Of two shards, the rows of the later one do the visiting.
                 rows, shard = rows[shard <= own[rows]], shard[shard <= own[rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.size, k, np.int32)), pa.array(shard.astype(np.int32)), pa.array(fps[rows].view(np.int64)), pa.array(shard == own[rows])], names=["block", "shard", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.size, k, np.int32)), pa.array(shard.astype(np.int32)), pa.array(shard == own[rows]), *(c.take(pa.array(rows)) for c in batch.columns)], names=["block", "shard", "home", *columns])
 
-    routed = staged(distinct.select("fp").mapInArrow(route, "block int, shard int, fp long, home boolean"), "routed")
+    routed = staged(distinct.select(*columns).mapInArrow(route, "block int, shard int, home boolean, " + ", ".join(f"{c} long" for c in columns)), "routed")
     cells = routed.groupBy("block", "shard").agg(
         F.ceil(F.count_if("home") / shard_rows).cast("int").alias("home_cells"), F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("query_cells")
     )
-    cell = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(n)).cast("int")
+    cell = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     sized = routed.join(cells, ["block", "shard"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = sized.select("block", "shard", "fp", F.lit(False).alias("home"), cell("query_cells", 1).alias("q"), every("home_cells").alias("h"))
-    homes = sized.where("home").select("block", "shard", "fp", F.lit(True).alias("home"), cell("home_cells", 2).alias("h"), every("query_cells").alias("q"))
+    queries = sized.select("block", "shard", *columns, F.lit(False).alias("home"), cell("query_cells", 1).alias("q"), every("home_cells").alias("h"))
+    homes = sized.where("home").select("block", "shard", *columns, F.lit(True).alias("home"), cell("home_cells", 2).alias("h"), every("query_cells").alias("q"))
     rows = queries.unionByName(homes)
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_numpy().view(np.uint64)
-        fps, back = np.unique(fps, return_inverse=True)
-        home = np.zeros(fps.size, bool)
+        nodes, first, back = np.unique(group.column("node").to_numpy(), return_index=True, return_inverse=True)
+        words = np.stack([group.column(c).to_numpy()[first].view(np.uint64) for c in columns[1:]], 1)
+        home = np.zeros(nodes.size, bool)
         home[back[group.column("home").to_numpy()]] = True
-        parent = shard_links(fps, home, distance, sent.value[key[0].as_py()])
-        child = np.flatnonzero(parent != np.arange(fps.size))
-        return pa.table({"a": fps[child].view(np.int64), "b": fps[parent[child]].view(np.int64)})
+        parent = shard_links(words[:, 0].copy(), home, distance, sent.value[key[0].as_py()], words[:, 1:] if total is not None else None, total or 0)
+        child = np.flatnonzero(parent != np.arange(nodes.size))
+        return pa.table({"a": nodes[child], "b": nodes[parent[child]]})
 
     return rows.groupBy("block", "shard", "q", "h").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*keep, fp, component_id)``, a row for each row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(*keep, fp, component, component_id)``, a row for each row of ``docs``.
 
-    Fingerprints at ``distance`` or fewer differing bits link their documents;
+    Fingerprints at ``distance`` or fewer differing bits link their documents
+    (with ``total``, only if 128 further bits differ in at most so many);
     ``component_id`` is the smallest doc_id that links lead to, the document's
     own included. Copies share a fingerprint and are searched once; a group of
     copies is combined before the shuffle and rejoined by fingerprint.
@@ -226,13 +248,40 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, keep: tu
     repeated rows get a row each; an empty table gives no rows; further columns
     are ignored, unless named in ``keep``.
     """
-    prints = staged(fingerprints(docs, words, keep), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    found = connected_components(near_links(distinct, distance)).select(F.col("node").alias("fp"), "component")
-    classes = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    own = ["fp"] if total is None else ["fp", "e1", "e2"]
+    prints = staged(fingerprints(docs, words, keep, total is not None), "fingerprints")
+    node = F.col("fp") if total is None else F.xxhash64(*own)
+    distinct = staged(prints.groupBy(*own).agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "distinct")
+    links = staged(near_links(distinct, distance, total), "links")
+    found = connected_components(links)
+    classes = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = staged(classes.join(smallest, "component").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select(*keep, "fp", "component_id")
+    classes = staged(classes.join(smallest, "component").select(*own, "component", "component_id"), "classes")
+    return prints.join(classes, own).select(*keep, "fp", "component", "component_id")
+
+
+#: Of the pipeline's stage: five-word shingles, of which 0.8 in common leave about a tenth of a fingerprint's bits
+#: differing. Candidates within ``NEAR`` of 64 bits are linked if at most ``NEAR_MORE`` of 128 further bits differ.
+NEAR_WORDS, NEAR, NEAR_MORE = 5, 11, 24
+
+
+def near_deduplicated(docs: DataFrame, words: int = NEAR_WORDS, distance: int = NEAR, total: int = NEAR_MORE) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates; columns stay.
+
+    The row with the smallest doc_id stays (nulls last), of a tie the one whose
+    text has the smallest hash; rows that repeat each other leave one.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = near_duplicates(docs.withColumn("gl_key", key), words, distance, total, keep=("doc_id", "gl_key"))
+    found = staged(found.select("doc_id", "gl_key", "component"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "gl_key")
+    best = found.groupBy("component").agg(F.min(place).alias("best"))
+    lost = found.join(best, "component").where(place != F.col("best")).select(F.col("doc_id").alias("gl_id"), F.col("gl_key").alias("gl_lost")).distinct()
+    again = found.groupBy("doc_id", "gl_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    out = docs.withColumn("gl_key", key).join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gl_id")) & (F.col("gl_key") == F.col("gl_lost")), "left_anti")
+    if again:
+        out = out.dropDuplicates(["doc_id", "gl_key"])
+    return out.select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
