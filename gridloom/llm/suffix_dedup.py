@@ -66,9 +66,9 @@ def doubled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return short, h
 
 
-def windows(long: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for the windows at ``start``: their first and last 128 bytes."""
-    return long[start], long[start + LENGTH - 128]
+def window_hashes(long: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at ``start``, of their first and last 128 bytes."""
+    return joined(long[start], long[start + LENGTH - 128], 12)
 
 
 def anchored(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,88 +136,112 @@ def merged_batches(run):
 
 def repeated_windows(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """``(doc_id, gl_key, first, last)``: ranges of starts whose windows repeat."""
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    shared = staged(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     rows = staged(rows.join(shared, "anchor", "left_semi"), "shared")
-    classes = rows.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "gl_key", "first", "last")).alias("one"))
-    classes = staged(classes, "classes")
+    classes = staged(rows.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "gl_key", "first", "last")).alias("one")), "classes")
     equal = rows.join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "gl_key", "first", "last")
-    buckets = classes.groupBy("anchor").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("members > 1 AND least = 1")
-    open_ = classes.join(buckets, "anchor").select("anchor", "members", (F.col("n") == 1).alias("alone"), "one.*")
-    # Each text that holds such rows is read once more; its rows come as one list.
-    lists = open_.groupBy("doc_id", "gl_key").agg(F.collect_list(F.struct("anchor", "members", "alone", "first", "last")).alias("spans"))
-    texts = docs.join(lists.hint("shuffle_hash"), docs.doc_id.eqNullSafe(lists.doc_id) & (docs.gl_key == lists.gl_key)).select(docs.doc_id, docs.gl_key, "text", "spans")
-    texts = texts.withColumn("copy", F.lit(0))
-    schema = "doc_id long, gl_key long, first int, anchor long, members long, alone boolean, w1 binary, w2 binary"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Buckets that hold a row unlike all others, and a second one to compare it with: one row of each class is cut out.
+    buckets = staged(classes.groupBy("anchor").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("members > 1 AND least = 1").select("anchor", "members"), "buckets")
+    found = equal
+    for large in (False, True):
+        some = buckets.where(F.col("members") > BUCKET_ROWS if large else F.col("members") <= BUCKET_ROWS)
+        if not large or some.limit(1).count():
+            cuts = cut_out(classes.join(some, "anchor").select("anchor", (F.col("n") == 1).alias("alone"), "one.*"), docs)
+            found = found.unionByName(compared_by_shuffle(cuts) if large else compared_in_tasks(cuts))
+    return found
+
+
+CUT = "doc_id long, gl_key long, first int, anchor long, alone boolean, cut binary"
+RANGES = "doc_id long, gl_key long, first int, last int"
+
+
+def cut_out(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """The bytes that the windows of each row of ``spans`` cover."""
+    lists = spans.groupBy("doc_id", "gl_key").agg(F.collect_list(F.struct("anchor", "alone", "first", "last")).alias("spans"))
+    lists = lists.withColumnsRenamed({"doc_id": "s_id", "gl_key": "s_key"})
+    texts = docs.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("gl_key") == F.col("s_key"))).select("doc_id", "gl_key", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, key, text, spans in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
-                data = _data(text)
-                for s in spans.as_py():
-                    _, long = doubled(data[s["first"] : s["last"] + LENGTH])
-                    w1, w2 = windows(long, np.arange(s["last"] - s["first"] + 1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x], t) for x, t in ((doc_id.as_py(), pa.int64()), (key.as_py(), pa.int64()), (s["first"], pa.int32()), (s["anchor"], pa.int64()), (s["members"], pa.int64()), (s["alone"], pa.bool_()), (w1.tobytes(), pa.binary()), (w2.tobytes(), pa.binary()))],
-                        names=["doc_id", "gl_key", "first", "anchor", "members", "alone", "w1", "w2"],
-                    )
-
-    # Repeated rows of one text would cut the same spans again: one row of each text is enough.
-    texts = texts.drop("copy").dropDuplicates(["doc_id", "gl_key"])
-    cuts = staged(texts.mapInArrow(merged_batches(cut), schema), "cuts")
-    small, large = cuts.where(F.col("members") <= BUCKET_ROWS), cuts.where(F.col("members") > BUCKET_ROWS)
+            out: list[tuple] = []
+            for doc_id, key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
+                raw = text.as_py() or b""
+                out.extend((doc_id, key, x["first"], x["anchor"], x["alone"], raw[x["first"] : x["last"] + LENGTH]) for x in spans)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "gl_key", "first", "anchor", "alone", "cut"])
+
+    return texts.mapInArrow(run, CUT)
+
+
+def hashed(cuts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Window hashes of all cuts, one after another, and how many each has."""
+    raw = cuts.to_pylist()
+    lengths = np.array([len(x) for x in raw])
+    sizes = lengths - LENGTH + 1
+    row = np.repeat(np.arange(sizes.size), sizes)
+    place = np.arange(row.size) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (np.cumsum(lengths) - lengths)[row]
+    _, long = doubled(np.frombuffer(b"".join(raw), np.uint8))
+    return window_hashes(long, place), sizes
+
+
+def compared_in_tasks(cuts: DataFrame) -> DataFrame:
+    """Ranges of repeated windows, bucket by bucket: rows come sorted by anchor, whole buckets are compared together."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; whole buckets are compared together."""
         held: pa.Table | None = None
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
-            if held.num_rows >= 1 << 14:
+            if held.num_rows >= 1 << 13:
                 anchors = held.column("anchor").to_numpy()
-                cut_at = int(np.searchsorted(anchors, anchors[-1]))
-                if cut_at:
-                    yield from alike(held.slice(0, cut_at))
-                    held = held.slice(cut_at)
+                end = int(np.searchsorted(anchors, anchors[-1]))
+                if end:
+                    yield from alike(held.slice(0, end))
+                    held = held.slice(end)
         if held is not None and held.num_rows:
             yield from alike(held)
 
-    def alike(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        first, alone = t.column("first").to_numpy(), t.column("alone").to_numpy()
-        sizes = np.array([len(x) // 8 for x in t.column("w1").to_pylist()])
-        w = np.zeros(int(sizes.sum()), [("a", np.uint64), ("b", np.uint64)])
-        w["a"] = np.frombuffer(b"".join(t.column("w1").to_pylist()), np.uint64)
-        w["b"] = np.frombuffer(b"".join(t.column("w2").to_pylist()), np.uint64)
-        order = np.lexsort((w["b"], w["a"]))
-        s = w[order]
-        same = s[1:] == s[:-1]
-        again = np.zeros(w.size, bool)
-        again[order[1:]] |= same
-        again[order[:-1]] |= same
-        row = np.repeat(np.arange(sizes.size), sizes)
-        start = first[row] + np.arange(w.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        hit = again & alone[row]
-        row, start = row[hit], start[hit]
-        if not row.size:
-            return
-        edge = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
-        head = np.flatnonzero(edge)
-        tail = np.append(head[1:], row.size) - 1
-        yield pa.RecordBatch.from_arrays([t.column("doc_id").take(pa.array(row[head])).combine_chunks(), t.column("gl_key").take(pa.array(row[head])).combine_chunks(), pa.array(start[head].astype(np.int32)), pa.array(start[tail].astype(np.int32))], names=["doc_id", "gl_key", "first", "last"])
-
-    ranges = "doc_id long, gl_key long, first int, last int"
-    inside = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, ranges)
+    return cuts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, RANGES)
+
+
+def alike(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    first, alone = t.column("first").to_numpy(), t.column("alone").to_numpy()
+    hashes, sizes = hashed(t.column("cut"))
+    row = np.repeat(np.arange(sizes.size), sizes)
+    anchor = t.column("anchor").to_numpy()[row]
+    start = first[row] + np.arange(row.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((anchor, hashes))
+    h, a = hashes[order], anchor[order]
+    same = (h[1:] == h[:-1]) & (a[1:] == a[:-1])
+    again = np.zeros(row.size, bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    hit = again & alone[row]
+    row, start = row[hit], start[hit]
+    if not row.size:
+        return
+    head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]))
+    tail = np.append(head[1:], row.size) - 1
+    of = pa.array(row[head])
+    yield pa.RecordBatch.from_arrays([t.column("doc_id").take(of).combine_chunks(), t.column("gl_key").take(of).combine_chunks(), pa.array(start[head].astype(np.int32)), pa.array(start[tail].astype(np.int32))], names=["doc_id", "gl_key", "first", "last"])
+
+
+def compared_by_shuffle(cuts: DataFrame) -> DataFrame:
+    """The same for buckets of any size: windows are counted by hash over the cluster, so no task holds a bucket."""
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
-                a, b = np.frombuffer(x["w1"], np.int64), np.frombuffer(x["w2"], np.int64)
-                fill = lambda v, t: pa.array([v] * a.size, t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([fill(x["doc_id"], pa.int64()), fill(x["gl_key"], pa.int64()), pa.array(np.arange(x["first"], x["first"] + a.size, dtype=np.int32)), fill(x["alone"], pa.bool_()), pa.array(a), pa.array(b)], names=["doc_id", "gl_key", "first", "alone", "w1", "w2"])
+            t = pa.Table.from_batches([batch])
+            hashes, sizes = hashed(t.column("cut"))
+            row = np.repeat(np.arange(sizes.size), sizes)
+            start = t.column("first").to_numpy()[row] + np.arange(row.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("doc_id", "gl_key", "anchor", "alone")), pa.array(start.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["doc_id", "gl_key", "anchor", "alone", "first", "w"])
 
-    singles = large.mapInArrow(merged_batches(single), "doc_id long, gl_key long, first int, alone boolean, w1 long, w2 long")
-    often = singles.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    across = singles.where("alone").join(often, ["w1", "w2"], "left_semi").select("doc_id", "gl_key", "first", F.col("first").alias("last"))
-    return equal.unionByName(inside).unionByName(across)
+    singles = staged(cuts.mapInArrow(single, "doc_id long, gl_key long, anchor long, alone boolean, first int, w long"), "singles")
+    often = staged(singles.groupBy("anchor", "w").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "w"), "often")
+    return singles.where("alone").join(often, ["anchor", "w"], "left_semi").select("doc_id", "gl_key", "first", F.col("first").alias("last"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, kept binary"
@@ -232,7 +256,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     removed runs as byte offsets; ``kept`` holds the remaining bytes if
     ``with_text`` is set, else null.
 
-    Strings are compared by 128 bits of hash. A row is known by its doc_id and
+    Strings are compared by 128 bits of hash (of the anchor and of the whole). A row is known by its doc_id and
     text, so repeated rows are documents of their own that repeat each other; a
     null doc_id is an id like any other; null and empty texts have no bytes;
     texts below ``LENGTH`` bytes lose none; an empty table gives no rows;
@@ -243,7 +267,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = staged(anchor_rows(base), "anchors")
     ranges = repeated_windows(rows, base)
     # Ranges of one text meet here; a text's ranges are at most as long as the text.
-    lists = ranges.distinct().groupBy("doc_id", "gl_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    lists = ranges.groupBy("doc_id", "gl_key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     lists = staged(lists.withColumnsRenamed({"doc_id": "r_id", "gl_key": "r_key"}), "ranges")
     found = base.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("gl_key") == F.col("r_key")), "left").select("doc_id", "text", "ranges")
 
