@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, staged, table
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 #: Texts whose characters are all below this code point may use the rank
@@ -140,6 +140,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, rank
 
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = staged(stored, "counts")  # a plain table, so that the join below can split a digest that very many rows share
     keyed = base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest)
     return keyed.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
