@@ -89,6 +89,7 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     rows = staged(unit_rows(_keyed(docs), unit, min_words), "units")
     place = F.struct("doc_id", "unit_no")
     firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    firsts = staged(firsts, "firsts")  # a plain table, so that the join below can split a digest that very many rows share
     joined = rows.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return joined.select("doc_id", "unit_no", "unit_start", "unit_end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit_no").alias("first_unit_no"), "gl_key")
 
