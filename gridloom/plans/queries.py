@@ -134,14 +134,15 @@ def vec_concat(s, d):
 
 def _fold(name: str):
     def f(s, d):
-        return out(getattr(vectors(s, d).index_range(0, 8), name)())
+        # Zero is added, as a product may round to a negative zero.
+        return out(getattr(vectors(s, d).index_range(0, 8), name)()).withColumn("value", F.col("value") + 0.0)
 
     f.__name__ = f"vec_{name}"
     return f
 
 
 for _name, _sql in (("hsum", "list_sum"), ("hmul", "list_product"), ("hmin", "list_min"), ("hmax", "list_max")):
-    query(f"SELECT vec_id AS x, round({_sql}(list_transform(embedding[1:8], lambda e: e::DOUBLE)), 6) AS value FROM embeddings")(_fold(_name))
+    query(f"SELECT vec_id AS x, round({_sql}(list_transform(embedding[1:8], lambda e: e::DOUBLE)), 6) + 0.0::DOUBLE AS value FROM embeddings")(_fold(_name))
 
 
 @query("SELECT event_id AS x, round(value * 3, 6) AS value FROM events")
