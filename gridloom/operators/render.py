@@ -32,7 +32,7 @@ def checkerboard() -> Column:
 def zoomed(offset: tuple[float, float], level: float, delta: float, on: tuple[float, float]) -> tuple[tuple[float, float], float]:
     """Offset and zoom after a step that leaves the point ``on`` where it is."""
     factor = math.exp(-ZOOM * delta)
-    return tuple((o + p) / factor - p for o, p in zip(offset, on, strict=True)), level * factor
+    return tuple(p - (p - o) / factor for o, p in zip(offset, on, strict=True)), level * factor
 
 
 def slice_projection_fit(volume: TensorMeta, image: TensorMeta, selected: int) -> np.ndarray:

@@ -100,7 +100,7 @@ def pw_reinterpret(s, d):
 @query("SELECT p_partkey AS x, round(p_retailprice - o_totalprice, 6) AS value FROM part JOIN orders ON p_partkey = o_orderkey")
 def pw_two_inputs(s, d):
     a = part(s, d)
-    b = orders(s, d).slice((0, a.shape().dims[0]))
+    b = orders(s, d).slice((0, a.shape().dims[0]), chunk=a.shape().chunk)
     return out(a - b)
 
 
