@@ -140,7 +140,7 @@ def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, tree: BlockTre
     """Parent of each row in a spanning forest of the links in one shard.
 
     Links join a row to a home row within ``distance`` bits, and within
-    ``total`` bits of the fingerprints in ``more``, if given. ``tree`` names the
+    ``total`` bits of these and the fingerprints in ``more``, if given. ``tree`` names the
     block and radius of the shard; a local vantage-point search halves the home
     rows until ``leaf`` are left, and compares whole fingerprints there.
     """
@@ -171,7 +171,7 @@ def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, tree: BlockTre
             q, p = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[points][None, :]) <= distance)
             q, p = some[q], points[p]
             if more is not None:
-                near = np.bitwise_count(more[q] ^ more[p]).sum(1) <= total
+                near = np.bitwise_count(more[q] ^ more[p]).sum(1) + np.bitwise_count(fps[q] ^ fps[p]) <= total
                 q, p = q[near], p[near]
             hook(parent, q, p)
     return parent
@@ -181,7 +181,7 @@ def near_links(distinct: DataFrame, distance: int = 4, total: int | None = None,
     """Links ``(a, b)`` that connect exactly the fingerprints within ``distance`` bits, from distinct ``(node, fp)``.
 
     With ``total``, rows also have ``e1, e2``, and links need at most so many
-    differing bits there, which tells chance from likeness where ``distance`` alone can't.
+    differing bits in all three, which tells chance from likeness where ``distance`` alone can't.
 
     They are spanning forests of all links, shard by shard: as many components
     as all links have, but never the pairs of a dense group. The trees are
@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
     """``(*keep, fp, component, component_id)``, a row for each row of ``docs``.
 
     Fingerprints at ``distance`` or fewer differing bits link their documents
-    (with ``total``, only if 128 further bits differ in at most so many);
+    (with ``total``, if any of three fingerprints is that near, and all three
+    together differ in at most ``total`` bits);
     ``component_id`` is the smallest doc_id that links lead to, the document's
     own included. Copies share a fingerprint and are searched once; a group of
     copies is combined before the shuffle and rejoined by fingerprint.
@@ -252,7 +253,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
     prints = staged(fingerprints(docs, words, keep, total is not None), "fingerprints")
     node = F.col("fp") if total is None else F.xxhash64(*own)
     distinct = staged(prints.groupBy(*own).agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "distinct")
-    links = staged(near_links(distinct, distance, total), "links")
+    links = near_links(distinct, distance, total)
+    for k in range(1, len(own)):
+        # Each of the fingerprints is searched in turn, as chance may put any one of them too far apart.
+        turned = distinct.select("node", *[F.col(own[(k + i) % 3]).alias(name) for i, name in enumerate(own)])
+        links = links.unionByName(near_links(turned, distance, total))
+    links = staged(links, "links")
     found = connected_components(links)
     classes = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -260,12 +266,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
     return prints.join(classes, own).select(*keep, "fp", "component", "component_id")
 
 
-#: Of the pipeline's stage: five-word shingles, of which 0.8 in common leave about a tenth of a fingerprint's bits
-#: differing. Candidates within ``NEAR`` of 64 bits are linked if at most ``NEAR_MORE`` of 128 further bits differ.
-NEAR_WORDS, NEAR, NEAR_MORE = 5, 11, 24
+#: Of the pipeline's stage: five-word shingles, of which 0.8 in common leave about 15 % of a fingerprint's bits
+#: differing. Candidates within ``NEAR`` bits of any of three fingerprints are linked if all 192 bits differ in at most ``NEAR_TOTAL``.
+NEAR_WORDS, NEAR, NEAR_TOTAL = 5, 11, 36
 
 
-def near_deduplicated(docs: DataFrame, words: int = NEAR_WORDS, distance: int = NEAR, total: int = NEAR_MORE) -> DataFrame:
+def near_deduplicated(docs: DataFrame, words: int = NEAR_WORDS, distance: int = NEAR, total: int = NEAR_TOTAL) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; columns stay.
 
     The row with the smallest doc_id stays (nulls last), of a tie the one whose

@@ -29,7 +29,8 @@ def test_pipeline(spark, tmp_path):
     names, scores = model.predict([t for _, t, _ in rows])
     rows = [r for r, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= 0.5]
     prints = [simhash.fingerprint(t.encode(), simhash.NEAR_WORDS, True) for _, t, _ in rows]
-    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= simhash.NEAR and sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:], strict=True)) <= simhash.NEAR_MORE
+    apart = lambda a, b: [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+    near = lambda a, b: min(apart(a, b)) <= simhash.NEAR and sum(apart(a, b)) <= simhash.NEAR_TOTAL
     label = brute_components(prints, near)
     first: dict = {}
     for (i, _, _), p in zip(rows, prints, strict=True):
