@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +67,37 @@ def remainder(c: Column, n: int) -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a key filter: 8 MB, whatever the data.
+FILTER_BITS = 26
+
+
+def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of hashed keys (longs), of ``2**bits`` bits: a fixed size that may be sent to every executor."""
+    place = F.pmod(F.col(column), F.lit(1 << bits))
+    found = keys.groupBy(F.shiftright(place, 15).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bitmap"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in found.collect():
+        out[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(r.bitmap, np.uint8)
+    return out
+
+
+def maybe_in(df: DataFrame, column: str, bitmap: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows whose key may be among those of a filter, or with ``inside=False`` those whose key is surely not.
+
+    No key of the filter is missed; an exact join has to follow.
+
+    The more keys a filter holds the more other rows it lets through, so it
+    only saves what would be shuffled in vain, and never changes a result.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(bitmap)
+    size = bitmap.size * 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            place = batch.column(column).to_numpy(zero_copy_only=False) & (size - 1)
+            yield batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == int(inside)))
+
+    return df.mapInArrow(run, df.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import key_filter, maybe_in, staged, table
 
 LENGTH, DIGIT = 200, 64
 #: Windows handled at once, which bounds the memory that a long text takes.
@@ -137,7 +137,8 @@ def merged_batches(run):
 def repeated_windows(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """``(doc_id, gl_key, first, last)``: ranges of starts whose windows repeat."""
     shared = staged(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    rows = staged(rows.join(shared, "anchor", "left_semi"), "shared")
+    # A filter of fixed size keeps most rows of lone anchors out of the shuffle; the join is exact.
+    rows = staged(maybe_in(rows, "anchor", key_filter(shared, "anchor")).join(shared, "anchor", "left_semi"), "shared")
     classes = staged(rows.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "gl_key", "first", "last")).alias("one")), "classes")
     equal = rows.join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "gl_key", "first", "last")
     # Buckets that hold a row unlike all others, and a second one to compare it with: one row of each class is cut out.
@@ -157,7 +158,8 @@ RANGES = "doc_id long, gl_key long, first int, last int"
 
 def cut_out(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes that the windows of each row of ``spans`` cover."""
-    lists = spans.groupBy("doc_id", "gl_key").agg(F.collect_list(F.struct("anchor", "alone", "first", "last")).alias("spans"))
+    lists = staged(spans.groupBy("doc_id", "gl_key").agg(F.collect_list(F.struct("anchor", "alone", "first", "last")).alias("spans")), "spans")
+    docs = maybe_in(docs, "gl_key", key_filter(lists, "gl_key"))
     lists = lists.withColumnsRenamed({"doc_id": "s_id", "gl_key": "s_key"})
     texts = docs.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("gl_key") == F.col("s_key"))).select("doc_id", "gl_key", "text", "spans")
 
@@ -269,7 +271,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # Ranges of one text meet here; a text's ranges are at most as long as the text.
     lists = ranges.groupBy("doc_id", "gl_key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     lists = staged(lists.withColumnsRenamed({"doc_id": "r_id", "gl_key": "r_key"}), "ranges")
-    found = base.join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("gl_key") == F.col("r_key")), "left").select("doc_id", "text", "ranges")
+    # Only texts that may have ranges are shuffled to them; the others pass by.
+    some = key_filter(lists, "r_key")
+    near = maybe_in(base, "gl_key", some).join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("gl_key") == F.col("r_key")), "left").select("doc_id", "text", "ranges")
+    rest = maybe_in(base, "gl_key", some, inside=False).select("doc_id", "text", F.lit(None).cast(near.schema["ranges"].dataType).alias("ranges"))
+    found = near.unionByName(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
