@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
 
 #: Of the pipeline's stage: five-word shingles, of which 0.8 in common leave about 15 % of a fingerprint's bits
 #: differing. Candidates within ``NEAR`` bits of any of three fingerprints are linked if all 192 bits differ in at most ``NEAR_TOTAL``.
-NEAR_WORDS, NEAR, NEAR_TOTAL = 5, 11, 36
+NEAR_WORDS, NEAR, NEAR_TOTAL = 5, 11, 32
 
 
 def near_deduplicated(docs: DataFrame, words: int = NEAR_WORDS, distance: int = NEAR, total: int = NEAR_TOTAL) -> DataFrame:
