@@ -9,7 +9,7 @@ import numpy as np
 from ..meta import F64, TensorError
 from ..tensor import EmbeddedTensor, Tensor
 from . import kernels
-from .window import map_overlap
+from .window import along, map_overlap
 
 #: Of the Sato measure: the widths for a first eigenvalue at most zero, and above.
 BELOW, ABOVE = 0.5, 8.0
@@ -25,15 +25,6 @@ def sato(eigenvalues: np.ndarray) -> np.ndarray:
     return np.where(lc == 0, 0.0, out)
 
 
-def along(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
-    """Convolution along an axis with repeated borders."""
-    e = len(kernel) // 2
-    a = np.moveaxis(a, axis, -1)
-    wide = np.pad(a, [(0, 0)] * (a.ndim - 1) + [(e, e)], mode="edge")
-    out = sum(kernel[e - o] * wide[..., e + o : e + o + a.shape[-1]] for o in range(-e, e + 1))
-    return np.moveaxis(out, -1, axis)
-
-
 def vesselness(t: EmbeddedTensor, scale: float) -> EmbeddedTensor:
     """Six separable derivatives at ``scale`` (physical), their eigenvalues, and the Sato measure.
 

@@ -345,6 +345,11 @@ def gauss_smooth(s, d):
     return out(events(s, d, 3).separable_convolution([kernels.gauss(1.0)] * 3))
 
 
+@query(separable_sql([kernels.gauss(1.0)] * 3))
+def gauss_smooth_chunks(s, d):
+    return out(window.separable_in_chunks(events(s, d, 3), [kernels.gauss(1.0)] * 3))
+
+
 @query(EV3 + f"SELECT z, y, x, round({conv_sql(kernels.dgauss_dx(1.0), 'x', 'z, y', 'repeat')}, 6) AS value FROM t")
 def gauss_derivative(s, d):
     return out(window.convolution_1d(events(s, d, 3), kernels.dgauss_dx(1.0), 2))

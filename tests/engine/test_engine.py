@@ -134,6 +134,9 @@ def test_convolution_borders(monkeypatch):
     near = impulse(5).separable_convolution([[2.0, 1.0, 2.0]] * 3).numpy()
     far = np.abs(np.indices((5, 5, 5)) - 2)
     assert (near == np.where(far.max(0) <= 1, 2.0 ** far.sum(0), 0)).all()
+    for border in ("repeat", "pad0"):
+        ks = [[1.0, 2.0, 4.0], [0.5, 1.0, 3.0, 1.0, 2.0], [1.0, -1.0, 2.0]]
+        assert window.separable_in_chunks(linear(6), ks, border).numpy() == pytest.approx(linear(6).separable_convolution(ks, border).numpy(), rel=1e-5)
     with pytest.raises(M.TensorError):
         window.convolution_1d(t, [1.0, 2.0], 0)
 
