@@ -52,7 +52,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.gl_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan reads any more."""
+    for t in tables:
+        jvm, path = t.sparkSession.sparkContext._jvm, t.gl_path
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target.getParent(), True)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # Small star: u's smaller neighbours and u -> their smallest.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        current = staged(small.where("u != v").distinct(), "edges")
+        old, current = current, staged(small.where("u != v").distinct(), "edges")
+        release(old)
         state = current.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.count_distinct("u")).first()
         # Stars are reached once every node has one edge and a round changes nothing.
         if state[0] == state[2] and tuple(state) == before:

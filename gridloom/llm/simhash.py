@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import release, staged, table
 from .graph import connected_components
 
 SEED = 42
@@ -231,7 +231,9 @@ def near_links(distinct: DataFrame, distance: int = 4, total: int | None = None,
         child = np.flatnonzero(parent != np.arange(nodes.size))
         return pa.table({"a": nodes[child], "b": nodes[parent[child]]})
 
-    return rows.groupBy("block", "shard", "q", "h").applyInArrow(search, "a long, b long")
+    links = staged(rows.groupBy("block", "shard", "q", "h").applyInArrow(search, "a long, b long"), "links")
+    release(routed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -258,7 +260,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
         # Each of the fingerprints is searched in turn, as chance may put any one of them too far apart.
         turned = distinct.select("node", *[F.col(own[(k + i) % 3]).alias(name) for i, name in enumerate(own)])
         links = links.unionByName(near_links(turned, distance, total))
-    links = staged(links, "links")
     found = connected_components(links)
     classes = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))

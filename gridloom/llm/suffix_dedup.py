@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_filter, maybe_in, staged, table
+from .common import key_filter, maybe_in, release, staged, table
 
 LENGTH, DIGIT = 200, 64
 #: Windows handled at once, which bounds the memory that a long text takes.
@@ -138,7 +138,8 @@ def repeated_windows(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """``(doc_id, gl_key, first, last)``: ranges of starts whose windows repeat."""
     shared = staged(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     # A filter of fixed size keeps most rows of lone anchors out of the shuffle; the join is exact.
-    rows = staged(maybe_in(rows, "anchor", key_filter(shared, "anchor")).join(shared, "anchor", "left_semi"), "shared")
+    every, rows = rows, staged(maybe_in(rows, "anchor", key_filter(shared, "anchor")).join(shared, "anchor", "left_semi"), "shared")
+    release(every, shared)
     classes = staged(rows.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "gl_key", "first", "last")).alias("one")), "classes")
     equal = rows.join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "gl_key", "first", "last")
     # Buckets that hold a row unlike all others, and a second one to compare it with: one row of each class is cut out.
