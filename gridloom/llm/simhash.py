@@ -262,7 +262,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
         links = links.unionByName(near_links(turned, distance, total))
     found = connected_components(links)
     classes = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    classes = staged(classes, "members")
+    # A plain table, so that the join can split a component that very many fingerprints share.
+    smallest = staged(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
     classes = staged(classes.join(smallest, "component").select(*own, "component", "component_id"), "classes")
     return prints.join(classes, own).select(*keep, "fp", "component", "component_id")
 
@@ -282,7 +284,7 @@ def near_deduplicated(docs: DataFrame, words: int = NEAR_WORDS, distance: int =
     found = near_duplicates(docs.withColumn("gl_key", key), words, distance, total, keep=("doc_id", "gl_key"))
     found = staged(found.select("doc_id", "gl_key", "component"), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "gl_key")
-    best = found.groupBy("component").agg(F.min(place).alias("best"))
+    best = staged(found.groupBy("component").agg(F.min(place).alias("best")), "best")
     lost = found.join(best, "component").where(place != F.col("best")).select(F.col("doc_id").alias("gl_id"), F.col("gl_key").alias("gl_lost")).distinct()
     again = found.groupBy("doc_id", "gl_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     out = docs.withColumn("gl_key", key).join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gl_id")) & (F.col("gl_key") == F.col("gl_lost")), "left_anti")
