@@ -15,7 +15,7 @@ from .common import remainder, table
 #: Hashed n-grams of 1 to ``ORDERS`` characters.
 FEATURES, ORDERS = 4096, 3
 #: Documents that the regression and the calibration may learn from, for each language. Document frequencies are taken from all.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1500
 #: Code points hashed at once, which bounds the memory that a long text takes.
 BLOCK = 1 << 18
 UNDETERMINED = "und"
