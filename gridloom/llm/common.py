@@ -102,12 +102,15 @@ def maybe_in(df: DataFrame, column: str, bitmap: np.ndarray, inside: bool = True
     only saves what would be shuffled in vain, and never changes a result.
     """
     sent = df.sparkSession.sparkContext.broadcast(bitmap)
-    size = bitmap.size * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
-            place = batch.column(column).to_numpy(zero_copy_only=False) & (size - 1)
-            yield batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == int(inside)))
+            yield filtered(batch, column, sent.value, inside)
 
     return df.mapInArrow(run, df.schema)
+
+
+def filtered(batch: pa.RecordBatch, column: str, bitmap: np.ndarray, inside: bool = True) -> pa.RecordBatch:
+    """The rows of one batch that ``maybe_in`` keeps."""
+    place = batch.column(column).to_numpy(zero_copy_only=False) & (bitmap.size * 8 - 1)
+    return batch.filter(pa.array((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == int(inside)))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_filter, maybe_in, release, staged, table
+from .common import filtered, key_filter, maybe_in, release, staged, table
 
 LENGTH, DIGIT = 200, 64
 #: Windows handled at once, which bounds the memory that a long text takes.
@@ -275,9 +275,6 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # Only texts that may have ranges are shuffled to them; the others pass by.
     some = key_filter(lists, "r_key")
     near = maybe_in(base, "gl_key", some).join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("gl_key") == F.col("r_key")), "left").select("doc_id", "text", "ranges")
-    rest = maybe_in(base, "gl_key", some, inside=False).select("doc_id", "text", F.lit(None).cast(near.schema["ranges"].dataType).alias("ranges"))
-    found = near.unionByName(rest)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -298,7 +295,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept"])
 
-    return found.mapInArrow(run, RESULT)
+    sent = base.sparkSession.sparkContext.broadcast(some)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Filters and passes on in one Python worker, as a second one would hold the texts once more."""
+        for batch in batches:
+            part = filtered(batch, "gl_key", sent.value, inside=False)
+            nothing = pa.nulls(part.num_rows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+            yield from run(iter([pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), nothing], names=["doc_id", "text", "ranges"])]))
+
+    return near.mapInArrow(run, RESULT).unionByName(base.mapInArrow(untouched, RESULT))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
