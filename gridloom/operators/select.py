@@ -38,6 +38,15 @@ def chunk_index(meta: TensorMeta) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0)).cast("long")
 
 
+def z_order(meta: TensorMeta) -> Column:
+    """A row's chunk along the Z-order curve: the bits of the chunk's grid position, interleaved."""
+    out, n = F.lit(0).cast("long"), meta.ndim
+    for bit in range(max(1, max(meta.grid)).bit_length()):
+        for i, c in enumerate(chunk_columns(meta)):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(c, bit).bitwiseAND(F.lit(1)).cast("long"), bit * n + n - 1 - i))
+    return out
+
+
 def sliced(t: Tensor, ranges, chunk=None) -> Tensor:
     """The box of ``ranges``, moved to the origin: a filter on positions, which a scan prunes by."""
     meta = t.shape()

@@ -69,6 +69,11 @@ def apply_tf(t, tf: TransferFunction):
     return t.map(tf.colour, U8.vec(4))
 
 
+def fit_range(t: Tensor, tf: TransferFunction, num_samples: int | None = 10, seed: int = 0) -> TransferFunction:
+    """The same colours over the values' range, taken from a sample of chunks."""
+    return TransferFunction(t.min_value(num_samples, seed).value(), t.max_value(num_samples, seed).value(), tf.table)
+
+
 def alpha_blending(over: Tensor, under: Tensor) -> Tensor:
     """``over`` on ``under``, by the alpha of ``over``."""
     a = (over.index(3).cast("f32") / 255.0).splat(4)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..meta import Embedding, FixedStep, Full, SynchronizedStep, TensorMeta, scaling, translation
 from ..operators import aggregate, geometry, kernels, render, resample, select, vesselness, weights, window
 from ..operators import randomwalker as rw
-from ..operators.transfer import TransferFunction, alpha_blending, apply_tf, pad_channels
+from ..operators.transfer import TransferFunction, alpha_blending, apply_tf, fit_range, pad_channels
 from ..sources import memory
 from ..streaming.progressive import event_sessions, event_windows, progressive
 from ..tensor import EmbeddedTensor, LodTensor, Tensor, const, dimensions, position
@@ -217,6 +217,12 @@ def rechunk(s, d):
     return t.df.groupBy(select.chunk_index(t.shape()).alias("chunk")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(EV2 + "SELECT " + " + ".join(f"((((y // 32) >> {b}) & 1) << {2 * b + 1}) + ((((x // 32) >> {b}) & 1) << {2 * b})" for b in range(12)) + " AS z_order, count(*) AS n FROM t GROUP BY 1")
+def z_order_chunks(s, d):
+    t = events(s, d, 2)
+    return t.df.groupBy(select.z_order(t.shape()).alias("z_order")).agg(F.count("*").alias("n"))
+
+
 @query(EV3 + "SELECT (z // 4) * 9 + (y // 4) * 3 + x // 4 AS chunk, count(*) AS n, round(sum(v), 4) AS total FROM t WHERE (z // 4) * 9 + (y // 4) * 3 + x // 4 IN (0, 4, 8) GROUP BY 1")
 def resolve_chunks(s, d):
     t = events(s, d, 3)
@@ -453,6 +459,12 @@ def transfer_function(s, d):
     return t.df.select(F.col("p0").alias("x"), F.col("value")[0].cast("long").alias("r"), F.col("value")[3].cast("long").alias("a"))
 
 
+@query("SELECT min(value) AS low, max(value) AS high, 256 AS n FROM events")
+def transfer_function_range(s, d):
+    tf = fit_range(events(s, d, 1), TransferFunction.grey_ramp(0.0, 1.0), None)
+    return s.createDataFrame([(tf.min, tf.max, len(tf.table))], "low double, high double, n int")
+
+
 @query("SELECT event_id AS x, trunc(r * (r / 255::DOUBLE)::FLOAT + 100 * (1 - (r / 255::DOUBLE)::FLOAT))::BIGINT AS r FROM (SELECT event_id, least(floor(greatest(0, value / 500) * 256), 255)::FLOAT AS r FROM events) WHERE r % 51 = 0")
 def blend_alpha(s, d):
     t = events(s, d, 1)
