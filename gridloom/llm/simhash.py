@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, staged, table
+from .common import key_filter, maybe_in, release, staged, table
 from .graph import connected_components
 
 SEED = 42
@@ -39,37 +39,62 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > hashes.size, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: bytes, words: int = 4, more: bool = False) -> tuple[int, ...]:
-    """The unsigned SimHash of a text's word shingles, repeats included; with ``more``, two further ones by another hash."""
-    import xxhash
-
+def shingles(text: bytes, words: int) -> list[bytes]:
+    """A text's lower-cased word shingles in order, repeats included; a text of fewer words is one shingle, an empty one none."""
     found = text.lower().split()  # of bytes: A-Z, and exactly the ASCII white space
     if not found:
-        return (0, 0, 0) if more else (0,)
+        return []
     joined = b" ".join(found)
     ends = list(accumulate(len(w) + 1 for w in found))
     starts = [0, *ends[:-1]]
     n = max(1, len(found) - words + 1)
-    shingles = [joined[a : b - 1] for a, b in zip(starts[:n], ends[len(found) - n :], strict=True)]
+    return [joined[a : b - 1] for a, b in zip(starts[:n], ends[len(found) - n :], strict=True)]
+
+
+def hashed(found: list[bytes]) -> np.ndarray:
+    import xxhash
+
     digest = xxhash.xxh64_intdigest
-    own = majority(np.fromiter((digest(x, SEED) for x in shingles), np.uint64, n))
+    return np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found))
+
+
+def majorities(found: list[bytes], hashes: np.ndarray, more: bool) -> tuple[int, ...]:
+    import xxhash
+
+    if not found:
+        return (0, 0, 0) if more else (0,)
+    own = majority(hashes)
     if not more:
         return (own,)
-    wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles)), np.uint64).reshape(-1, 2)
+    wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), np.uint64).reshape(-1, 2)
     return own, majority(wide[:, 0].copy()), majority(wide[:, 1].copy())
 
 
+def fingerprint(text: bytes, words: int = 4, more: bool = False) -> tuple[int, ...]:
+    """The unsigned SimHash of a text's word shingles, repeats included; with ``more``, two further ones by another hash."""
+    found = shingles(text, words)
+    return majorities(found, hashed(found), more)
+
+
 def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",), more: bool = False) -> DataFrame:
-    """``(*keep, fp)`` with the fingerprint as signed long, and ``e1, e2`` with ``more``; null texts count as empty."""
-    names = ["fp", "e1", "e2"] if more else ["fp"]
+    """``(*keep, fp)`` with the fingerprint as signed long, and ``e1, e2`` with ``more``, and ``gl_set``, a hash of the set of shingles; null texts count as empty."""
+    names = ["fp", "e1", "e2", "gl_set"] if more else ["fp"]
     schema = docs.select(*keep).schema
     for name in names:
         schema = schema.add(name, "long")
 
+    def of(text: bytes) -> tuple[int, ...]:
+        import xxhash
+
+        found = shingles(text, words)
+        hashes = hashed(found)
+        own = majorities(found, hashes, more)
+        return (*own, xxhash.xxh3_64_intdigest(np.unique(hashes).tobytes())) if more else own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("gl_text").cast(pa.binary())
-            fps = np.array([fingerprint(t.as_py() or b"", words, more) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
+            fps = np.array([of(t.as_py() or b"") for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(fps[:, k].copy()) for k in range(len(names)))], names=[*keep, *names])
 
     return docs.select(*keep, F.col("text").alias("gl_text")).mapInArrow(run, schema)
@@ -236,12 +261,96 @@ def near_links(distinct: DataFrame, distance: int = 4, total: int | None = None,
     return links
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``(node, hashes)`` of every ``(node, gl_key)`` in ``wanted``: the sorted hashes of a text's shingles, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("gl_text").cast(pa.binary())
+            sets = [np.unique(hashed(shingles(t.as_py() or b"", words))).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    texts = docs.select("gl_key", F.col("text").alias("gl_text"))
+    # Few texts are candidates; copies of one are combined before the shuffle.
+    found = maybe_in(texts, "gl_key", key_filter(wanted, "gl_key")).groupBy("gl_key").agg(F.first("gl_text").alias("gl_text"))
+    return found.join(wanted, "gl_key").select("node", "gl_text").mapInArrow(run, "node long, hashes binary")
+
+
+def similar_sets(sets: list[np.ndarray], parent: np.ndarray, similar: float) -> None:
+    """Union all sets that share at least ``similar`` of their elements; every pair is compared, by lists of the sets that hold an element."""
+    sizes = np.array([s.size for s in sets], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    elements = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(sizes.size), sizes)[np.argsort(elements, kind="stable")]
+    counts = np.bincount(elements)
+    first = np.cumsum(counts) - counts
+    for k in range(1, sizes.size):
+        if not parent.any():  # all are one set already
+            return
+        own = elements[bounds[k] : bounds[k + 1]]
+        n = counts[own]
+        listed = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(holders[listed], minlength=sizes.size)[:k]
+        near = np.flatnonzero(common / np.maximum(sizes[:k] + sizes[k] - common, 1) >= similar)
+        hook(parent, np.full(near.size, k), near)
+
+
+def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: float, cell_rows: int = 512) -> DataFrame:
+    """Links ``(a, b)`` that connect exactly the nodes of a component of ``links`` whose texts share ``similar`` of their shingles (Jaccard), directly or through others.
+
+    ``nodes`` has ``(node, gl_key)``, and ``docs`` the texts by ``gl_key``.
+
+    A component of candidates of up to ``cell_rows`` nodes is compared whole, each pair of texts exactly. A
+    larger one is first joined along its links, which leaves nothing to do in
+    most dense groups; what stays apart is compared in cells of (part, other
+    part), so that no task holds more.
+    """
+    found = connected_components(links)
+    found = staged(found.select("node", F.col("component").alias("gl_group")), "candidates")
+    sets = staged(shingle_sets(docs, nodes.join(found, "node").select("node", "gl_key"), words).join(found, "node"), "sets")
+    sizes = staged(found.groupBy("gl_group").agg(F.count("*").alias("n")), "sizes")
+    large = found.join(sizes.where(F.col("n") > cell_rows), "gl_group").select("node")
+    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct().join(large, F.col("a") == F.col("node"), "left_semi")
+    ends = [sets.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab"]
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+                common = np.intersect1d(x, y, assume_unique=True).size
+                keep.append(common / max(x.size + y.size - common, 1) >= similar)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sure = staged(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(alike, "a long, b long"), "sure")
+    joined = connected_components(sure)
+    whole = sets.join(joined, "node", "left").withColumn("sub", F.coalesce("component", "node"))
+    apart = whole.groupBy("gl_group").agg(F.count("*").alias("n"), F.min("sub").alias("low"), F.max("sub").alias("high")).where("low < high")
+    rows = whole.join(apart.select("gl_group", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells")), "gl_group")
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("node", F.lit(3)), F.col("cells")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    rows = rows.select("gl_group", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"), "node", "sub", "hashes")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        nodes, subs = (group.column(k).to_numpy() for k in ("node", "sub"))
+        _, first, back = np.unique(subs, return_index=True, return_inverse=True)
+        parent = first[back]
+        similar_sets([np.frombuffer(s.as_py(), np.uint64) for s in group.column("hashes")], parent, similar)
+        child = np.flatnonzero(parent != np.arange(nodes.size))
+        return pa.table({"a": nodes[child], "b": nodes[parent[child]]})
+
+    compared = staged(rows.groupBy("gl_group", "c", "d").applyInArrow(compare, "a long, b long"), "similar")
+    return sure.unionByName(compared)
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: int | None = None, keep: tuple[str, ...] = ("doc_id",), similar: float | None = None) -> DataFrame:
     """``(*keep, fp, component, component_id)``, a row for each row of ``docs``.
 
     Fingerprints at ``distance`` or fewer differing bits link their documents
     (with ``total``, if any of three fingerprints is that near, and all three
-    together differ in at most ``total`` bits);
+    together differ in at most ``total`` bits; with ``similar`` besides, such
+    documents are only candidates, and those are linked that have at least this
+    share of their distinct shingles in common);
     ``component_id`` is the smallest doc_id that links lead to, the document's
     own included. Copies share a fingerprint and are searched once; a group of
     copies is combined before the shuffle and rejoined by fingerprint.
@@ -251,15 +360,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
     repeated rows get a row each; an empty table gives no rows; further columns
     are ignored, unless named in ``keep``.
     """
-    own = ["fp"] if total is None else ["fp", "e1", "e2"]
-    prints = staged(fingerprints(docs, words, keep, total is not None), "fingerprints")
+    if similar is not None and total is None:
+        raise ValueError("similar needs total")
+    turns = ["fp"] if total is None else ["fp", "e1", "e2"]
+    # Texts of equal fingerprints may still differ in their shingles.
+    own = turns if similar is None else [*turns, "gl_set"]
+    kept = keep
+    if similar is not None:
+        docs = docs.withColumn("gl_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+        kept = tuple(dict.fromkeys([*keep, "gl_key"]))
+    prints = staged(fingerprints(docs, words, kept, total is not None), "fingerprints")
     node = F.col("fp") if total is None else F.xxhash64(*own)
-    distinct = staged(prints.groupBy(*own).agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "distinct")
+    some = [F.min("gl_key").alias("gl_key")] if similar is not None else []
+    distinct = staged(prints.groupBy(*own).agg(F.min("doc_id").alias("first_id"), *some).withColumn("node", node), "distinct")
     links = near_links(distinct, distance, total)
-    for k in range(1, len(own)):
+    for k in range(1, len(turns)):
         # Each of the fingerprints is searched in turn, as chance may put any one of them too far apart.
-        turned = distinct.select("node", *[F.col(own[(k + i) % 3]).alias(name) for i, name in enumerate(own)])
+        turned = distinct.select("node", *[F.col(turns[(k + i) % 3]).alias(name) for i, name in enumerate(turns)])
         links = links.unionByName(near_links(turned, distance, total))
+    if similar is not None:
+        links = similar_links(links, distinct, docs, words, similar)
+        # Equal sets need no comparison, and repeats may put their fingerprints apart.
+        equal = distinct.groupBy("gl_set").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+        links = links.unionByName(distinct.join(equal, "gl_set").where("node != b").select(F.col("node").alias("a"), "b"))
     found = connected_components(links)
     classes = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = staged(classes, "members")
@@ -269,19 +392,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
     return prints.join(classes, own).select(*keep, "fp", "component", "component_id")
 
 
-#: Of the pipeline's stage: five-word shingles, of which 0.8 in common leave about 15 % of a fingerprint's bits
-#: differing. Candidates within ``NEAR`` bits of any of three fingerprints are linked if all 192 bits differ in at most ``NEAR_TOTAL``.
-NEAR_WORDS, NEAR, NEAR_TOTAL = 5, 11, 32
+#: Of the pipeline's stage: texts with ``SIMILAR`` of their five-word shingles in common are linked. That leaves about
+#: 15 % of a fingerprint's bits differing, 29 of 192 with a deviation of 5. Candidates are those within ``NEAR_TOTAL`` bits, of
+#: which any has a fingerprint within ``NEAR`` and in it a block within 3, the radius searched.
+NEAR_WORDS, NEAR, NEAR_TOTAL, SIMILAR = 5, 15, 47, 0.8
 
 
-def near_deduplicated(docs: DataFrame, words: int = NEAR_WORDS, distance: int = NEAR, total: int = NEAR_TOTAL) -> DataFrame:
+def near_deduplicated(docs: DataFrame, words: int = NEAR_WORDS, distance: int = NEAR, total: int = NEAR_TOTAL, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; columns stay.
 
     The row with the smallest doc_id stays (nulls last), of a tie the one whose
     text has the smallest hash; rows that repeat each other leave one.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = near_duplicates(docs.withColumn("gl_key", key), words, distance, total, keep=("doc_id", "gl_key"))
+    found = near_duplicates(docs.withColumn("gl_key", key), words, distance, total, keep=("doc_id", "gl_key"), similar=similar)
     found = staged(found.select("doc_id", "gl_key", "component"), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "gl_key")
     best = staged(found.groupBy("component").agg(F.min(place).alias("best")), "best")

@@ -362,3 +362,28 @@ def test_url_filter(spark):
     redirects = spark.createDataFrame([("https://d.example.org/", "https://k.net/"), (None, "x")], "source string, target string")
     assert {r.verdict for r in url_filter.filtered(pages, redirects).where("page_id = 3").collect()} == {"block"}
     assert url_filter.filtered(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [512, 4])
+def test_near_duplicates_share_eight_tenths_of_their_shingles(spark, cell_rows, monkeypatch):
+    import functools
+
+    monkeypatch.setattr(simhash, "similar_links", functools.partial(simhash.similar_links, cell_rows=cell_rows))
+    r = random.Random(8)
+    rows = []
+    for k in range(40):  # copies with more and more words replaced, on both sides of 0.8
+        own = prose(1000 + k, 300).split()
+        rows.append(" ".join(own))
+        for n in (3, 6, 7, 8, 10, 14):
+            other = list(own)
+            for i in r.sample(range(300), n):
+                other[i] = f"new{r.random()}"
+            rows.append(" ".join(other))
+    rows += ["again and again the same few words " * 40 + prose(s, 12) for s in (1, 2, 3)]  # repeats rule the bits, not the set
+    sets = {i: frozenset(simhash.shingles(t.encode(), 5)) for i, t in enumerate(rows)}
+    label = brute_components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = simhash.near_duplicates(docs, simhash.NEAR_WORDS, simhash.NEAR, simhash.NEAR_TOTAL, similar=0.8)
+    got = {x.doc_id: x.component_id for x in found.collect()}
+    assert got == label
+    assert {x.doc_id for x in simhash.near_deduplicated(docs).select("doc_id").collect()} == set(label.values())
