@@ -17,7 +17,7 @@ UNITS = {
     "line": re.compile(r"[^\n]*\n|[^\n]+"),
     "sentence": re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"),
 }
-#: Words below which a unit is left alone: short units recur by chance.
+#: Words below which a unit isn't taken alone: short units recur by chance.
 MIN_WORDS = 5
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -29,18 +29,57 @@ def normalised(piece: str) -> str:
     return _SPACE.sub(" ", piece.translate(_UPPER)).strip(" ")
 
 
-def units(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, int, str]]:
-    """``(number, start, end, normalised)`` of the units with enough words; offsets in code points."""
-    for k, m in enumerate(UNITS[unit].finditer(text)):
-        piece = normalised(m[0])
-        if piece.count(" ") + 1 >= min_words:
-            yield k, m.start(), m.end(), piece
+#: Ends of sentences where short units are joined; op6's SQL knows the ASCII ones.
+_SENTENCE = re.compile(r"[^.!?\u3002\uFF01\uFF1F\n]*[.!?\u3002\uFF01\uFF1F\n]+|[^.!?\u3002\uFF01\uFF1F\n]+")
+#: Letters of scripts written without spaces: Han and kana; Thai, Lao, Burmese and Khmer.
+_IDEOGRAPH = re.compile("[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+_UNSPACED = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF]")
+
+
+def word_count(piece: str) -> int:
+    """Words of a normalised piece; two ideographs, or four letters of other scripts without spaces, count as one too."""
+    n = piece.count(" ") + 1 if piece else 0
+    return n if piece.isascii() else max(n, len(_IDEOGRAPH.findall(piece)) // 2 + len(_UNSPACED.findall(piece)) // 4)
+
+
+def units(text: str, unit: str, min_words: int, join: bool = True) -> Iterator[tuple[int, int, int, str]]:
+    """``(number, start, end, normalised)`` of the units with enough words; offsets in code points.
+
+    With ``join``, a shorter unit is joined with those after it until there
+    are enough words, and with those before it, so each passage of enough words
+    consists of such units wherever it stands. They overlap, are in
+    order of their starts and ends, and have the number of their first one.
+    """
+    if not join:
+        for k, m in enumerate(UNITS[unit].finditer(text)):
+            piece = normalised(m[0])
+            if piece.count(" ") + 1 >= min_words:
+                yield k, m.start(), m.end(), piece
+        return
+    spans = [(m.start(), m.end(), normalised(m[0])) for m in (_SENTENCE if unit == "sentence" else UNITS[unit]).finditer(text)]
+    sizes = [word_count(piece) for _, _, piece in spans]
+    found = []
+    # Forwards, the shortest run of enough words from each unit, then backwards, the shortest up to it.
+    for step in (1, -1):
+        order = range(len(spans))[::step]
+        at, total = 0, 0
+        for k in order:
+            while total < min_words and at < len(order):
+                total += sizes[order[at]]
+                at += 1
+            if total < min_words:
+                break
+            if sizes[k]:
+                found.append((k, order[at - 1])[::step])
+            total -= sizes[k]
+    for k, last in sorted(set(found)):
+        yield k, spans[k][0], spans[last][1], spans[k][2] if k == last else normalised(text[spans[k][0] : spans[last][1]])
 
 
 SCHEMA = "doc_id long, gl_key long, unit_no int, unit_start int, unit_end int, h1 long, h2 long"
 
 
-def unit_rows(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
+def unit_rows(docs: DataFrame, unit: str, min_words: int, join: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
@@ -49,7 +88,7 @@ def unit_rows(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
         for batch in batches:
             ids, keys, nos, starts, ends, digests = [], [], [], [], [], []
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, a, b, piece in units(text, unit, min_words):
+                for k, a, b, piece in units(text, unit, min_words, join):
                     ids.append(doc_id)
                     keys.append(key)
                     nos.append(k)
@@ -69,7 +108,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", F.xxhash64("doc_id", "text").alias("gl_key"), "text")
 
 
-def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, join: bool = True) -> DataFrame:
     """The removed units: ``(doc_id, unit_no, unit_start, unit_end, first_doc_id, first_unit_no, gl_key)``.
 
     Units are normalised and digested (128 bits); digests are grouped over the
@@ -81,12 +120,14 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     common line is neither gathered nor sorted in one place.
 
     ``unit`` is ``line``, ``paragraph`` or ``sentence`` (lines cut further at
-    ``.``, ``!`` and ``?``). Units below ``min_words`` words stay. Null and empty
+    ``.``, ``!`` and ``?``). Units below ``min_words`` words are joined with their
+    neighbours, before and after, until they have enough (``units``); without ``join`` they stay.
+    Each removed unit's text stays somewhere, where it comes first. Null and empty
     texts have no units; null doc_ids rank first; repeated rows count as one
     document, whose units repeat each other only if the text repeats them; an
     empty table gives no rows; further columns are ignored.
     """
-    rows = staged(unit_rows(_keyed(docs), unit, min_words), "units")
+    rows = staged(unit_rows(_keyed(docs), unit, min_words, join), "units")
     place = F.struct("doc_id", "unit_no")
     firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     firsts = staged(firsts, "firsts")  # a plain table, so that the join below can split a digest that very many rows share
@@ -98,7 +139,7 @@ def deduplicated(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_W
     """``docs`` with repeated units cut out of ``text``; all columns stay, in order.
 
     ``spans`` names an additional column with the removed offsets of the
-    original text, ``array<struct<start, end>>``. A text that loses all its
+    original text, ``array<struct<start, end>>``, in order; joined units may overlap. A text that loses all its
     units becomes empty and stays; null texts stay null.
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
@@ -116,8 +157,8 @@ def deduplicated(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_W
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unit of ``documents`` that repeats an earlier one."""
-    return repeated_units(table(spark, sf_dir, "documents")).drop("gl_key")
+    """Every unit of ``documents`` that repeats an earlier one, short units left alone as in the SQL."""
+    return repeated_units(table(spark, sf_dir, "documents"), join=False).drop("gl_key")
 
 
 OP6_SQL = r"""

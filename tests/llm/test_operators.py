@@ -387,3 +387,24 @@ def test_near_duplicates_share_eight_tenths_of_their_shingles(spark, cell_rows,
     got = {x.doc_id: x.component_id for x in found.collect()}
     assert got == label
     assert {x.doc_id for x in simhash.near_deduplicated(docs).select("doc_id").collect()} == set(label.values())
+
+
+def test_short_units_are_joined(spark):
+    passage = " ".join(f"{w}. Not {w} two! So?" for w in (f"w{i}" for i in range(40)))
+    chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u3002"
+    rows = [(1, "One own start. " + passage + " Own end."), (2, "Other. " + passage + " And the end."), (3, passage), (4, passage), (5, "Yes. No."), (6, "Yes. No."), (7, chinese), (8, "\u524d\u3002" + chinese)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    assert kept[1] == rows[0][1] and kept[2] == "Other. And the end." and kept[3].strip() == kept[4].strip() == ""
+    assert kept[5] == kept[6] == "Yes. No." and kept[7] == chinese and kept[8] == "\u524d\u3002"
+
+
+def test_joined_units_cover_every_passage_of_enough_words():
+    r = random.Random(3)
+    for _ in range(200):
+        text = "".join(" ".join(r.choice("abc") for _ in range(r.randint(0, 7))) + r.choice([". ", "!", "\n", "\n\n"]) for _ in range(r.randint(1, 12)))
+        found = list(line_dedup.units(text, "sentence", 5))
+        assert all(x[1] <= y[1] and x[2] <= y[2] for x, y in zip(found, found[1:]))
+        covered = {i for _, a, b, _ in found for i in range(a, b)}
+        enough = sum(line_dedup.word_count(line_dedup.normalised(m[0])) for m in line_dedup.UNITS["sentence"].finditer(text)) >= 5
+        assert (not enough) or all(i in covered for i, c in enumerate(text) if c in "abc")
