@@ -567,17 +567,17 @@ def rw_solve(s, d):
 
 @query()
 def rw_bhattacharyya(s, d):
-    return out(weights.bhattacharyya_var_gaussian(_crop(s, d), 1), "y", "x", "axis")
+    return out(weights.bhattacharyya_var_gaussian(unit(s, d), 1), "y", "x", "axis")
 
 
 @query()
 def rw_ttest(s, d):
-    return out(weights.ttest_weights(_crop(s, d), 1), "y", "x", "axis")
+    return out(weights.ttest_weights(unit(s, d), 1), "y", "x", "axis")
 
 
 @query()
 def best_centers(s, d):
-    return out(weights.best_centers(_crop(s, d), 1), "y", "x", "axis")
+    return out(weights.best_centers(unit(s, d), 1), "y", "x", "axis")
 
 
 @query()

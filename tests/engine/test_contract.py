@@ -30,3 +30,9 @@ def test_query(spark, name):
     assert sorted(got.columns) == columns
     plain = lambda t: sorted([tuple(float(v) if isinstance(v, (int, float)) else str(v) for v in r) for r in t[columns].astype(object).where(t[columns].notna(), None).values.tolist()], key=repr)
     assert plain(got) == plain(want)
+
+
+def test_neighbourhood_queries_take_the_whole_image(spark):
+    found = entry.queries()
+    for name, n in (("best_centers", 10 * 100 * 2), ("rw_bhattacharyya", 9 * 100 + 10 * 99), ("rw_ttest", 9 * 100 + 10 * 99)):
+        assert found[name](spark, FOLDER).count() == n
