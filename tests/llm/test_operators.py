@@ -140,12 +140,23 @@ def test_fingerprints(spark, docs, none):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
-@pytest.mark.parametrize("bucket_rows", [2000, 1])
-def test_suffix_dedup(spark, docs, none, monkeypatch, bucket_rows):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", bucket_rows)
+def edited(text: str, seed: int) -> str:
+    """A copy with a few characters replaced, inserted or left out."""
+    r = random.Random(seed)
+    for _ in range(r.randint(1, 3)):
+        at = r.randrange(len(text))
+        text = text[:at] + r.choice(["", "#", "##" + text[at]]) + text[at + 1 :]
+    return text
+
+
+@pytest.mark.parametrize("widths", [(24, 4, 1), (48, 1)])
+def test_suffix_dedup(spark, docs, none, monkeypatch, widths):
+    monkeypatch.setattr(suffix_dedup, "WIDTHS", widths)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
     shared = prose(77, 60)
     more = frame(spark, [(100 + i, prose(200 + i, 30) + " " + shared[i * 7 :] + prose(300 + i, 20), "en", "a") for i in range(6)]).unionByName(docs.where("doc_id <> 8 OR doc_id IS NULL"))
+    periodic = [("abc" * 400, 120), ("=" * 300 + "x" + "=" * 400, 121), (prose(600, 20) + "-+" * 150 + prose(601, 30), 122), (prose(602, 9)[:40] * 30 + prose(603, 40), 123), ("=" * 230, 124)]
+    more = more.unionByName(frame(spark, [(i, t, "en", "a") for t, i in periodic] + [(200 + i, edited(prose(700, 90), i), "en", "a") for i in range(40)]))
     rows = [(r.doc_id, (r.text or "").encode()) for r in more.select("doc_id", "text").collect()]
     n = suffix_dedup.LENGTH
     counts = collections.Counter(b[i : i + n] for _, b in rows for i in range(len(b) - n + 1))
