@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..meta import F32, F64, Embedding, TensorError, TensorMeta, chunk_of
 from ..tensor import EmbeddedTensor, LodTensor, ScalarTensor, Tensor, positions
-from .select import chunk_columns, chunk_index
+from .select import chunk_columns, chunk_rows
 
 
 def _number(t: Tensor) -> Column:
@@ -20,10 +20,8 @@ def _number(t: Tensor) -> Column:
 
 def sampled(t: Tensor, n: int, seed: int = 0) -> DataFrame:
     """Rows of ``n`` chunks, chosen by a hash of seed and chunk number; chunk numbers are known without reading data."""
-    meta = t.shape()
-    chunks = t.df.sparkSession.range(meta.num_chunks).select(F.col("id").alias("gl_chunk"))
-    chosen = chunks.orderBy(F.xxhash64(F.lit(seed), "gl_chunk")).limit(n)
-    return t.df.withColumn("gl_chunk", chunk_index(meta)).join(chosen, "gl_chunk", "left_semi").drop("gl_chunk")
+    chunks = t.df.sparkSession.range(t.shape().num_chunks)
+    return chunk_rows(t, [r.id for r in chunks.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "id").cast("binary")), "id").limit(n).collect()])
 
 
 def aggregated(t: Tensor, f, num_samples: int | None = None, seed: int = 0) -> ScalarTensor:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import F64, Embedding, TensorError, TensorMeta
+from ..storage import staged
 from ..tensor import EmbeddedTensor, LodTensor, Tensor, positions
 from .geometry import rounded
 from .resample import resample_transform
-from .window import map_overlap
+from .select import chunk_index
+from .window import map_overlap, with_halo
 
 #: Results beyond these need no solving on a finer level; nor does a chunk that varies less.
 SURE_BELOW, SURE_ABOVE, SURE_RANGE = 0.49, 0.51, 0.01
@@ -150,10 +152,12 @@ def hierarchical(weights: list[Tensor], levels: LodTensor, foreground: DataFrame
 
     A chunk is solved with its surroundings; its outer border that does not
     lie on the volume's takes the coarser result as seeds. Chunks that the
-    coarser result decides keep it. ``between`` may store each level, which cuts
-    lineage. Returns the probabilities and, by level, the table of chunks that
+    coarser result decides keep it: their rows are neither gathered nor solved. Each level is
+    stored before the next, which cuts lineage; ``between`` may do that another
+    way. Returns the probabilities and, by level, the table of chunks that
     were not solved.
     """
+    between = between or (lambda level, k: EmbeddedTensor(level.inner.replaced(staged(level.df, f"level{k}")), level.embedding))
     found: list[EmbeddedTensor] = []
     upper: EmbeddedTensor | None = None
     for k in reversed(range(len(levels.levels))):
@@ -187,10 +191,15 @@ def hierarchical(weights: list[Tensor], levels: LodTensor, foreground: DataFrame
                     return init[core]
                 return solve(w, seed, config, init)[core]
 
-            out = map_overlap(frame, meta, halo, ["w", "seed", "init"], step, F64)
-        upper = EmbeddedTensor(out, level.embedding)
-        if between is not None:
-            upper = between(upper, k)
+            frame = staged(frame, f"system{k}")
+            # A chunk is decided if its values and seeds, and those around it, are all surely on one side or alike.
+            told = with_halo(frame.select(*p, "init", F.nanvl("seed", F.lit(None).cast("double")).alias("seed")), meta, halo)
+            told = told.groupBy("gl_chunk").agg(F.least(F.min("init"), F.min("seed")).alias("low"), F.greatest(F.max("init"), F.max("seed")).alias("high"))
+            open_ = staged(told.where((F.col("low") <= SURE_ABOVE) & (F.col("high") >= SURE_BELOW) & (F.col("high") - F.col("low") >= SURE_RANGE)).select("gl_chunk"), f"open{k}")
+            solved = map_overlap(frame, meta, halo, ["w", "seed", "init"], step, F64, open_)
+            kept = frame.withColumn("gl_chunk", chunk_index(meta)).join(open_, "gl_chunk", "left_anti").select(*p, F.col("init").alias("value"))
+            out = Tensor(meta, F64, solved.df.unionByName(kept))
+        upper = between(EmbeddedTensor(out, level.embedding), k)
         found.append(upper)
     result = LodTensor(found[::-1])
     from .aggregate import determined_chunk_table

@@ -21,6 +21,8 @@ from .transfer import TransferFunction
 CHECKER, LIGHT, DARK = 32, 48, 24
 #: Zoom for one step of the wheel.
 ZOOM = 0.05
+#: How far a camera turns for each pixel, and which part of its distance a unit of movement takes.
+PAN, MOVE = 0.005, 0.1
 
 
 def checkerboard() -> Column:
@@ -117,6 +119,12 @@ def position_of(matrix: np.ndarray, pixel) -> tuple[float, ...]:
     return tuple(transformed(matrix, point))
 
 
+def element_under(matrix: np.ndarray, pixel, meta: TensorMeta) -> tuple[int, ...] | None:
+    """The element under a pixel of a slice or of an image, halves to even; none outside the tensor."""
+    at = np.round(position_of(matrix, pixel)).astype(int)
+    return tuple(at.tolist()) if (at >= 0).all() and (at < np.array(meta.dims)).all() else None
+
+
 def _pixels(meta: TensorMeta, matrix: np.ndarray, source: TensorMeta, spark) -> DataFrame:
     """Pixels with the element below them (``q0..``) and whether it exists."""
     coords = [F.col("p0").cast("double"), F.col("p1").cast("double")]
@@ -186,21 +194,22 @@ class Trackball:
     up: tuple[float, float, float]
 
     def pan_around(self, delta: tuple[int, int]) -> Trackball:
-        look = np.subtract(self.center, self.eye)
-        far = np.linalg.norm(look)
-        look = look / far
-        left = np.cross(self.up, look)
-        left = left / np.linalg.norm(left)
-        up = np.asarray(self.up, float)
-        moved = look + left * (delta[1] * 0.005) + up * (delta[0] * 0.005)
-        moved = moved / np.linalg.norm(moved)
-        eye = np.asarray(self.center) - moved * far
-        up = np.cross(moved, left)
-        return Trackball(tuple(eye), self.center, tuple(up / np.linalg.norm(up)))
+        """Turned about the centre, towards where a step of ``delta`` (down, right) pixels across the view leads; up stays at right angles to the view."""
+        forward, right, up = self.basis()
+        slope = PAN * (up * delta[0] + right * delta[1])
+        aim = (forward + slope) / np.sqrt(1 + slope @ slope)
+        # The up vector is turned by the rotation that takes forward to aim: it keeps to the plane of both.
+        side = np.cross(self.up, aim)
+        over = np.cross(aim, side / np.linalg.norm(side))
+        return Trackball(tuple(np.asarray(self.center) - self.distance() * aim), self.center, tuple(over))
+
+    def distance(self) -> float:
+        return float(np.linalg.norm(np.subtract(self.center, self.eye)))
 
     def move_inout(self, delta: float) -> Trackball:
-        look = np.subtract(self.center, self.eye)
-        return replace(self, eye=tuple(np.asarray(self.center) - look * math.exp(-ZOOM * delta)))
+        """Nearer by a tenth of the distance for each unit of ``delta``."""
+        centre = np.asarray(self.center, float)
+        return replace(self, eye=tuple(centre + (np.asarray(self.eye) - centre) * (1 - MOVE * delta)))
 
     def basis(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward, right and up of unit length."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import Embedding, TensorError, TensorMeta, chunk_of
@@ -55,11 +55,15 @@ def sliced(t: Tensor, ranges, chunk=None) -> Tensor:
     found = [bounds(r, d) for r, d in zip(ranges, meta.dims, strict=True)]
     if any(b <= a for a, b, _ in found):
         raise TensorError("an empty slice")
-    keep = [(F.col(f"p{i}") >= a) & (F.col(f"p{i}") < b) for i, (a, b, _) in enumerate(found) if (a, b) != (0, meta.dims[i])]
-    frame = t.df.where(reduce(lambda x, y: x & y, keep)) if keep else t.df
+    frame = t.within([a for a, _, _ in found], [b - 1 for _, b, _ in found])
     dims = tuple(b - a for a, b, _ in found)
     size = tuple(chunk_of(c, d) for c, d in zip(chunk, dims, strict=True)) if chunk else tuple(min(c, d) for c, d in zip(meta.chunk, dims, strict=True))
-    return t.replaced(frame.select(*[(F.col(f"p{i}") - a).alias(f"p{i}") for i, (a, _, _) in enumerate(found)], "value"), TensorMeta(dims, size))
+    moved = lambda rows: rows.select(*[(F.col(f"p{i}") - a).alias(f"p{i}") for i, (a, _, _) in enumerate(found)], "value")
+
+    def narrow(low: list[int], high: list[int]) -> DataFrame:
+        return moved(t.within([x + a for x, (a, _, _) in zip(low, found, strict=True)], [x + a for x, (a, _, _) in zip(high, found, strict=True)]))
+
+    return Tensor(TensorMeta(dims, size), t.dtype, moved(frame), narrow=narrow)
 
 
 def squash(t: Tensor, dim: int) -> Tensor:
@@ -68,8 +72,13 @@ def squash(t: Tensor, dim: int) -> Tensor:
     if meta.dims[dim] != 1 or meta.chunk[dim] != 1:
         raise TensorError(f"axis {dim} has {meta.dims[dim]} elements in chunks of {meta.chunk[dim]}")
     rest = [i for i in range(meta.ndim) if i != dim]
-    frame = t.df.select(*[F.col(f"p{i}").alias(f"p{k}") for k, i in enumerate(rest)], "value")
-    return t.replaced(frame, TensorMeta(tuple(meta.dims[i] for i in rest), tuple(meta.chunk[i] for i in rest)))
+    part = lambda rows: rows.select(*[F.col(f"p{i}").alias(f"p{k}") for k, i in enumerate(rest)], "value")
+
+    def narrow(low: list[int], high: list[int]) -> DataFrame:
+        whole = lambda at: [*at[:dim], 0, *at[dim:]]
+        return part(t.within(whole(low), whole(high)))
+
+    return Tensor(TensorMeta(tuple(meta.dims[i] for i in rest), tuple(meta.chunk[i] for i in rest)), t.dtype, part(t.df), narrow=narrow)
 
 
 def indexed(t: Tensor, key) -> Tensor:
@@ -80,7 +89,7 @@ def indexed(t: Tensor, key) -> Tensor:
         raise TensorError(f"{len(key)} indices for {meta.ndim} axes")
     chunk = tuple(1 if bounds(k, d)[2] else c for k, d, c in zip(key, meta.dims, meta.chunk, strict=True))
     out = sliced(t, key)
-    out = t.replaced(out.df, TensorMeta(out.shape().dims, tuple(min(a, b) for a, b in zip(out.shape().chunk, chunk, strict=True))))
+    out = rechunk(out, tuple(min(a, b) for a, b in zip(out.shape().chunk, chunk, strict=True)))
     for i in reversed(range(meta.ndim)):
         if bounds(key[i], meta.dims[i])[2]:
             out = squash(out, i)
@@ -105,8 +114,7 @@ def rechunk(t: Tensor, chunk) -> Tensor:
     new = TensorMeta(meta.dims, tuple(chunk_of(c, d) for c, d in zip(chunk, meta.dims, strict=True)))
     if new == meta:
         return t
-    out = Tensor(new, t.dtype, t.df)
-    return out
+    return Tensor(new, t.dtype, t.df, narrow=t.within)
 
 
 def chunked(t: Tensor) -> Tensor:
@@ -116,6 +124,13 @@ def chunked(t: Tensor) -> Tensor:
     return t.replaced(frame.drop("gl_chunk"))
 
 
+def chunk_rows(t: Tensor, chunks) -> DataFrame:
+    """Rows of some chunks, by number. Each chunk is a box of its own, so the source reads these chunks alone."""
+    infos = [t.shape().chunk_info(c) for c in dict.fromkeys(chunks)]
+    boxes = [t.within(list(x.begin), [e - 1 for e in x.end]) for x in infos]
+    return reduce(DataFrame.unionByName, boxes) if boxes else t.df.limit(0)
+
+
 def point(t: Tensor, pos) -> Tensor:
     """The element at one position, as tensor without axes."""
     return indexed(t, tuple(int(p) for p in pos))

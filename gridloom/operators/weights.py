@@ -111,19 +111,80 @@ def best_centers(t: Tensor, extent) -> Tensor:
     return found.unfold_dtype()
 
 
-def bhattacharyya(m1, v1, n1, m2, v2, n2) -> float:
+def bhattacharyya(m1, v1, n1, m2, v2, n2) -> np.ndarray:
     below = (v1 + v2) / 2 + ((m1 - m2) / 2) ** 2
-    return float((math.sqrt(v1 * v2) / (below if below else 1.0)) ** ((n1 - 3) / 2)) if below else 1.0
+    share = np.sqrt(v1 * v2) / np.where(below == 0, 1.0, below)
+    with np.errstate(divide="ignore"):
+        return np.where(below == 0, 1.0, share ** ((n1 - 3) / 2))
 
 
-def ttest(m1, v1, n1, m2, v2, n2) -> float:
-    v1, v2 = max(1e-6, v1), max(1e-6, v2)
-    a, b = v1 / n1, v2 / n2
+def ttest(m1, v1, n1, m2, v2, n2) -> np.ndarray:
+    a, b = np.maximum(1e-6, v1) / n1, np.maximum(1e-6, v2) / n2
     t2 = (m1 - m2) ** 2 / (a + b)
-    m = math.floor((a + b) ** 2 / (a**2 / max(n1 - 1, 1) + b**2 / max(n2 - 1, 1)) + 0.5)
-    m = max(m, 1)
-    log_beta = math.lgamma(0.5) + math.lgamma(m / 2) - math.lgamma((m + 1) / 2)
-    return math.exp(-(m + 1) / 2 * math.log1p(t2 / m) - 0.5 * math.log(m) - log_beta)
+    freedom = np.floor((a + b) ** 2 / (a**2 / np.maximum(n1 - 1, 1) + b**2 / np.maximum(n2 - 1, 1)) + 0.5)
+    freedom = np.maximum(freedom, 1)
+    # Whole numbers, and few of them.
+    some, back = np.unique(freedom, return_inverse=True)
+    log_beta = np.array([math.lgamma(0.5) + math.lgamma(m / 2) - math.lgamma((m + 1) / 2) for m in some.tolist()])[back].reshape(freedom.shape)
+    return np.exp(-(freedom + 1) / 2 * np.log1p(t2 / freedom) - 0.5 * np.log(freedom) - log_beta)
+
+
+def _box_statistics(a: np.ndarray, low: np.ndarray, dims: np.ndarray, extent, centres: tuple[np.ndarray, np.ndarray], axis: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, variance and size of one of two boxes for every element at once; ``centres`` are (element, axis).
+
+    A box reaches ``extent`` around its centre inside the tensor. What both
+    boxes share goes to the nearer centre, ties to the side of their element
+    along ``axis``. Each place in the box is one pass over all elements.
+    """
+    reach = np.array(extent)
+    first = [np.maximum(c - reach, 0) for c in centres]
+    end = [np.minimum(c + reach + 1, dims) for c in centres]
+    lo, hi = np.maximum(*first), np.minimum(*end)
+    middle, way = (lo + hi - 1) / 2, centres[1] - centres[0]
+    sign = 1 if which == 0 else -1
+
+    def places():
+        for o in _offsets(extent):
+            at = centres[which] + np.array(o)
+            inside = np.all((at >= 0) & (at < dims), axis=1)
+            shared = np.all((at >= lo) & (at < hi), axis=1)
+            side = ((at - middle) * way).sum(axis=1)
+            side = np.where(side != 0, side, (at - middle)[:, axis]) * sign
+            own = inside & (~shared | (side < 0))
+            value = a[tuple(np.clip(at - low, 0, np.array(a.shape) - 1).T)]
+            yield own, np.where(own, value, 0.0)
+
+    n, total = np.zeros(len(way)), np.zeros(len(way))
+    for own, value in places():
+        n += own
+        total += value
+    mean = total / np.maximum(n, 1)
+    squares = np.zeros(len(way))
+    for own, value in places():
+        squares += np.where(own, (value - mean) ** 2, 0.0)
+    return mean, squares / np.maximum(n - 1, 1), np.maximum(n, 1)
+
+
+def region_weights(a: np.ndarray, low, dims, extent, core, min_weight: float, measure) -> np.ndarray:
+    """Weights of a chunk's elements, from the statistics of the best boxes of an element and of its next on each axis; NaN where there is none."""
+    low, dims, n = np.array(low), np.array(dims), a.ndim
+    offsets = centre_offsets(a, low, dims, extent)
+    shape = a[core].shape
+    place = np.indices(shape).reshape(n, -1).T + np.array([s.start for s in core]) + low
+    out = np.full((place.shape[0], n), np.nan)
+
+    def centre(at: np.ndarray) -> np.ndarray:
+        o = offsets[tuple((at - low).T)].astype(np.int64)
+        return np.where((o == 127).any(axis=1)[:, None], at, at + o)
+
+    for axis in range(n):
+        there = place[:, axis] + 1 < dims[axis]
+        p = place[there]
+        q = p + (np.arange(n) == axis)
+        centres = centre(p), centre(q)
+        one, other = (_box_statistics(a, low, dims, extent, centres, axis, k) for k in (0, 1))
+        out[there, axis] = np.maximum(measure(*one, *other), min_weight)
+    return out.reshape(*shape, n)
 
 
 def _region_weights(t: Tensor, extent, min_weight: float, measure) -> Tensor:
@@ -132,40 +193,8 @@ def _region_weights(t: Tensor, extent, min_weight: float, measure) -> Tensor:
     if any(c <= 2 * e + 1 and c < d for c, d, e in zip(t.shape().chunk, dims, extent, strict=True)):
         raise TensorError("chunks must be longer than the box")
 
-    def region(c):
-        return np.maximum(np.subtract(c, extent), 0), np.minimum(np.add(c, extent) + 1, dims)
-
     def kernel(arrays, low, core):
-        a, low = arrays[0], np.array(low)
-        offsets = centre_offsets(a, low, dims, extent)
-        out = np.full((*a[core].shape, n), np.nan)
-        first = np.array([s.start for s in core])
-        for at in np.ndindex(a[core].shape):
-            p = first + at + low
-            for d in range(n):
-                q = p.copy()
-                q[d] += 1
-                if q[d] >= dims[d]:
-                    continue
-                centres = []
-                for x in (p, q):
-                    o = offsets[tuple(x - low)]
-                    centres.append(x if (o == 127).any() else x + o)
-                boxes = [region(c) for c in centres]
-                lo, hi = np.maximum(boxes[0][0], boxes[1][0]), np.minimum(boxes[0][1], boxes[1][1])
-                middle = (lo + hi - 1) / 2
-                values = []
-                for k, (b, e) in enumerate(boxes):
-                    grid = np.stack(np.meshgrid(*[np.arange(x, y) for x, y in zip(b, e, strict=True)], indexing="ij"), -1).reshape(-1, n)
-                    shared = np.all((grid >= lo) & (grid < hi), axis=1)
-                    side = (grid - middle) @ (centres[1] - centres[0])
-                    tie = (grid - middle) @ (q - p)
-                    sign = np.where(side != 0, side, tie) * (1 if k == 0 else -1)
-                    own = grid[~shared | (sign < 0)] - low
-                    values.append(a[tuple(own.T)])
-                s = [(v.mean(), v.var(ddof=1) if v.size > 1 else 0.0, v.size) if v.size else (0.0, 0.0, 1) for v in values]
-                out[(*at, d)] = max(measure(*s[0], *s[1]), min_weight)
-        return out
+        return region_weights(arrays[0], low, dims, extent, core, min_weight, measure)
 
     found = window.map_overlap(t.cast("f64").df, t.shape(), tuple(4 * e + 1 for e in extent), ["value"], kernel, F64.vec(n)).unfold_dtype()
     return found.replaced(found.df.where(~F.isnan("value")))

@@ -171,18 +171,21 @@ def with_halo(frame: DataFrame, meta: TensorMeta, halo: tuple[int, ...]) -> Data
     return frame.withColumn("gl_chunk", index.cast("long")).drop(*[f"gl_c{i}" for i in range(meta.ndim)])
 
 
-def map_overlap(frame: DataFrame, meta: TensorMeta, halo, columns: list[str], kernel: Callable[..., np.ndarray | tuple[np.ndarray, ...]], dtype: DType | str, outputs: int = 1) -> Tensor:
+def map_overlap(frame: DataFrame, meta: TensorMeta, halo, columns: list[str], kernel: Callable[..., np.ndarray | tuple[np.ndarray, ...]], dtype: DType | str, only: DataFrame | None = None) -> Tensor:
     """A numpy kernel on each chunk with its surroundings.
 
     ``kernel(arrays, low, core)`` gets a dense array for each of ``columns``
     (vectors as last axis, NaN where a row is missing), the position of its
     first element, and the slices of the chunk itself; it returns the chunk's
     values. One shuffle whatever the number of axes; a task holds one chunk.
+    ``only`` may list the chunks (``gl_chunk``) that are computed; rows of others aren't shuffled to them.
     """
     dtype, n = DType.parse(dtype), meta.ndim
     halo = _extents(halo, n)
     p = positions(n)
     halved = with_halo(frame.select(*p, *columns), meta, halo)
+    if only is not None:
+        halved = halved.join(only, "gl_chunk", "left_semi")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         info = meta.chunk_info(key[0].as_py())

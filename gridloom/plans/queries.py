@@ -227,7 +227,7 @@ def z_order_chunks(s, d):
 def resolve_chunks(s, d):
     t = events(s, d, 3)
     k = select.chunk_index(t.shape())
-    return t.df.where(k.isin(0, 4, 8)).groupBy(k.alias("chunk")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return select.chunk_rows(t, (0, 4, 8)).groupBy(k.alias("chunk")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query(EV2 + "SELECT y, x, round(v, 6) AS value FROM t WHERE x < 50 UNION ALL SELECT y, x, round(v * 2, 6) FROM t WHERE x >= 50")
@@ -261,9 +261,9 @@ def agg_max(s, d):
     return events(s, d, 1).max_value().df
 
 
-@query()
+@query(EV3 + ", c AS (SELECT *, (z // 4) * 9 + (y // 4) * 3 + x // 4 AS chunk FROM t), drawn AS (SELECT chunk FROM (SELECT DISTINCT chunk FROM c) ORDER BY md5('3:' || chunk), chunk LIMIT 10) SELECT round(avg(v), 6) AS value FROM c WHERE chunk IN (FROM drawn)")
 def agg_mean_sampled(s, d):
-    return events(s, d, 3).mean_value(num_samples=10, seed=3).df
+    return events(s, d, 3).mean_value(num_samples=10, seed=3).df.select(F.round("value", 6).alias("value"))
 
 
 def _chunk_agg(method: str):
@@ -381,10 +381,9 @@ def box_variance(s, d):
     return out(window.variances(t, window.mean_filter(t, 1).compile(), 1), digits=8)
 
 
-@query(EV2 + "SELECT y, x, round(((lead(v) OVER w) - (lag(v) OVER w)) / 2, 6) AS value FROM t WINDOW w AS (PARTITION BY y ORDER BY x) QUALIFY lead(x) OVER w IS NOT NULL AND lag(x) OVER w IS NOT NULL")
+@query(EV2 + "SELECT y, x, round((coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / (CASE WHEN x IN (0, 99) THEN 1 ELSE 2 END), 6) AS value FROM t WINDOW w AS (PARTITION BY y ORDER BY x)")
 def gradient_central(s, d):
-    g = window.gradient(events(s, d, 2), 1)
-    return out(g).where("x > 0 AND x < 99")
+    return out(window.gradient(events(s, d, 2), 1))
 
 
 @query(EV2 + "SELECT y, x, round(v, 6) AS value FROM t")
@@ -465,14 +464,11 @@ def transfer_function_range(s, d):
     return s.createDataFrame([(tf.min, tf.max, len(tf.table))], "low double, high double, n int")
 
 
-@query("SELECT event_id AS x, trunc(r * (r / 255::DOUBLE)::FLOAT + 100 * (1 - (r / 255::DOUBLE)::FLOAT))::BIGINT AS r FROM (SELECT event_id, least(floor(greatest(0, value / 500) * 256), 255)::FLOAT AS r FROM events) WHERE r % 51 = 0")
+@query("SELECT event_id AS x, trunc(r * a + 100::FLOAT * (1::FLOAT - a))::BIGINT AS r FROM (SELECT event_id, r, (r / 255::DOUBLE)::FLOAT AS a FROM (SELECT event_id, least(floor(greatest(0, value / 500) * 256), 255)::FLOAT AS r FROM events))")
 def blend_alpha(s, d):
-    t = events(s, d, 1)
-    over = apply_tf(t, TransferFunction.grey_ramp(0.0, 500.0))
+    over = apply_tf(events(s, d, 1), TransferFunction.grey_ramp(0.0, 500.0))
     under = over.map(lambda c: F.transform(c, lambda v: F.lit(100)))
-    mixed = alpha_blending(over, under)
-    a = over.df.select("p0", F.col("value")[0].alias("r0"))
-    return mixed.df.join(a, "p0").where("r0 % 51 = 0").select(F.col("p0").alias("x"), F.col("value")[0].cast("long").alias("r"))
+    return alpha_blending(over, under).df.select(F.col("p0").alias("x"), F.col("value")[0].cast("long").alias("r"))
 
 
 @query(EV3 + "SELECT o.y, q.x, least(floor(greatest(0, v / 500) * 256), 255)::BIGINT AS r FROM range(40) o(y) CROSS JOIN range(30) q(x) JOIN t ON t.z = 5 AND t.y = floor((o.y + 0.5) * (10 / 40::DOUBLE) - 0.5 + 0.5) AND t.x = floor((q.x + 0.5) * (10 / 30::DOUBLE) - 0.5 + 0.5)")
@@ -499,7 +495,7 @@ def image_view(s, d):
 
 
 def _rays(s, d, mode: str, shading: str = "none"):
-    t = EmbeddedTensor(events(s, d, 3).slice((0, 10), None, None), Embedding((1.0, 1.0, 1.0)))
+    t = EmbeddedTensor(events(s, d, 3), Embedding((1.0, 1.0, 1.0)))
     frame = TensorMeta((24, 32))
     eep = render.entry_exit_points(t.meta, t.embedding, frame, render.Camera.for_volume(t.meta, t.embedding))
     v = render.raycast(t.single_level_lod(), eep, TransferFunction.grey_ramp(0.0, 500.0), render.RaycasterConfig(compositing=mode, shading=shading))
@@ -541,28 +537,28 @@ def seed_rasterize(s, d):
     return out(seeds)
 
 
-def _crop(s, d):
-    t = unit(s, d).slice((0, 10), (0, 10))
-    return t.replaced(t.df, TensorMeta((10, 10)))
-
-
-def _seeds(s):
-    return rw.rasterize_seed_points(memory.points([(9, 9)]), memory.points([(0, 0)]), TensorMeta((10, 10)), Embedding((1.0, 1.0))).inner
+def _corner_seeds(t):
+    """Foreground at the last element of an image, background at the first."""
+    far = tuple(n - 1 for n in t.shape().dims)
+    return rw.rasterize_seed_points(memory.points([far]), memory.points([(0, 0)]), t.shape(), Embedding((1.0, 1.0))).inner
 
 
 @query(
-    "WITH t AS (SELECT event_id // 100 AS y, event_id % 100 AS x, value * (1 / 500.0::DOUBLE) AS v FROM events WHERE event_id // 100 < 10 AND event_id % 100 < 10), e AS (SELECT y * 10 + x AS r, y * 10 + x + 10 AS c, exp(-100 * (v - lead(v) OVER (PARTITION BY x ORDER BY y)) ** 2) AS w FROM t UNION ALL SELECT y * 10 + x, y * 10 + x + 1, exp(-100 * (v - lead(v) OVER (PARTITION BY y ORDER BY x)) ** 2) FROM t),"
-    " g AS (SELECT r, c, greatest(w, 1e-5) AS w FROM e WHERE w IS NOT NULL), b AS (SELECT r, c, w FROM g UNION ALL SELECT c, r, w FROM g) SELECT r::BIGINT AS row, r::BIGINT AS col, round(sum(w), 6) AS value FROM b WHERE r NOT IN (0, 99) GROUP BY r UNION ALL SELECT r, c, round(-w, 6) FROM b WHERE r NOT IN (0, 99) AND c NOT IN (0, 99)"
+    UNIT + ", e AS (SELECT y * 100 + x AS r, y * 100 + x + 100 AS c, exp(-100 * (v - lead(v) OVER (PARTITION BY x ORDER BY y)) ** 2) AS w FROM t UNION ALL SELECT y * 100 + x, y * 100 + x + 1, exp(-100 * (v - lead(v) OVER (PARTITION BY y ORDER BY x)) ** 2) FROM t),"
+    " g AS (SELECT r, c, greatest(w, 1e-5) AS w FROM e WHERE w IS NOT NULL), b AS (SELECT r, c, w FROM g UNION ALL SELECT c, r, w FROM g), seeds AS (SELECT unnest([0, (SELECT count(*) // 100 * 100 - 1 FROM events)]) AS s)"
+    " SELECT r::BIGINT AS row, r::BIGINT AS col, round(sum(w), 6) AS value FROM b WHERE r NOT IN (FROM seeds) GROUP BY r UNION ALL SELECT r, c, round(-w, 6) FROM b WHERE r NOT IN (FROM seeds) AND c NOT IN (FROM seeds)"
 )
 def rw_laplacian(s, d):
-    a, _ = rw.laplacian(weights.grady(_crop(s, d), 100.0), _seeds(s))
+    t = unit(s, d)
+    a, _ = rw.laplacian(weights.grady(t, 100.0), _corner_seeds(t))
     return a.select("row", "col", F.round("value", 6).alias("value"))
 
 
 @query()
 def rw_solve(s, d):
-    w = weights.grady(_crop(s, d), 100.0)
-    return out(rw.random_walker_single_chunk(w, _seeds(s)))
+    t = unit(s, d)
+    t = t.replaced(t.df, t.shape().with_chunk(t.shape().dims))  # the flat solver takes one system
+    return out(rw.random_walker_single_chunk(weights.grady(t, 100.0), _corner_seeds(t)))
 
 
 @query()
@@ -582,17 +578,16 @@ def best_centers(s, d):
 
 @query()
 def rw_hierarchical(s, d):
-    t = unit(s, d)
-    n = min(t.shape().dims[0], 64)
-    t = EmbeddedTensor(t.slice((0, n), (0, 64), chunk=(16, 16)), Embedding((1.0, 1.0)))
+    t = EmbeddedTensor(unit(s, d), Embedding((1.0, 1.0)))
+    far = tuple(n - 1 for n in t.meta.dims)
     lod = resample.create_lod(t, (SynchronizedStep(2.0),) * 2)
     w = weights.random_walker_weights_lod(lod, "grady", beta=100.0)
-    return out(rw.hierarchical(w, lod, memory.points([(n - 1, 63)]), memory.points([(0, 0)]))[0].levels[0])
+    return out(rw.hierarchical(w, lod, memory.points([far]), memory.points([(0, 0)]))[0].levels[0])
 
 
 @query()
 def vesselness_multiscale(s, d):
-    t = EmbeddedTensor(events(s, d, 3, chunk=(8, 10, 10)).slice((0, 10), None, None, chunk=(8, 10, 10)), Embedding((1.0, 1.0, 1.0)))
+    t = EmbeddedTensor(events(s, d, 3, chunk=(32, 10, 10)), Embedding((1.0, 1.0, 1.0)))
     return out(vesselness.multiscale_vesselness(t, 0.5, 1.0, 2))
 
 
@@ -614,12 +609,22 @@ def rasterize_function(s, d):
     return out(memory.voxel((50,), (10,), lambda x: 2.0 * x))
 
 
-@query()
+@query(
+    "WITH RECURSIVE px AS (SELECT y, x, (x / 64::DOUBLE - 0.8::DOUBLE) * 5 AS cx, (y / 48::DOUBLE - 0.5::DOUBLE) * 5 AS cy FROM range(48) a(y) CROSS JOIN range(64) b(x)),"
+    " steps(y, x, cx, cy, vx, vy, i) AS (SELECT y, x, cx, cy, cx, cy, 0 FROM px UNION ALL SELECT y, x, cx, cy, vx * vx - vy * vy + cx, 2 * vx * vy + cy, i + 1 FROM steps WHERE i < 50 AND sqrt(vx * vx + vy * vy) <= 5)"
+    " SELECT y, x, round((greatest(max(i) - 2, 0) / 48::DOUBLE)::FLOAT::DOUBLE, 6) AS value FROM steps GROUP BY y, x"
+)
 def mandelbrot(s, d):
     return out(memory.mandelbrot(TensorMeta((48, 64), (16, 16)), Embedding((1.0, 1.0))).levels[0])
 
 
-@query()
+@query(
+    "WITH RECURSIVE px AS (SELECT z, y, x, (z / 16::DOUBLE - 0.5) * 2.3::DOUBLE AS cz, (y / 16::DOUBLE - 0.5) * 2.3::DOUBLE AS cy, (x / 16::DOUBLE - 0.5) * 2.3::DOUBLE AS cx FROM range(16) a(z) CROSS JOIN range(16) b(y) CROSS JOIN range(16) c(x)),"
+    " steps(z, y, x, cz, cy, cx, vz, vy, vx, i) AS (SELECT z, y, x, cz, cy, cx, cz, cy, cx, 0 FROM px UNION ALL SELECT z, y, x, cz, cy, cx,"
+    " pow(sqrt(vx * vx + vy * vy + vz * vz), 8) * cos(8 * atan2(sqrt(vx * vx + vy * vy), vz)) + cz, pow(sqrt(vx * vx + vy * vy + vz * vz), 8) * sin(8 * atan2(sqrt(vx * vx + vy * vy), vz)) * sin(8 * atan2(vy, vx)) + cy,"
+    " pow(sqrt(vx * vx + vy * vy + vz * vz), 8) * sin(8 * atan2(sqrt(vx * vx + vy * vy), vz)) * cos(8 * atan2(vy, vx)) + cx, i + 1 FROM steps WHERE i < 10 AND sqrt(vx * vx + vy * vy + vz * vz) <= 2.3::DOUBLE)"
+    " SELECT z, y, x, round((greatest(max(i) - 2, 0) / 8::DOUBLE)::FLOAT::DOUBLE, 6) AS value FROM steps GROUP BY z, y, x"
+)
 def mandelbulb(s, d):
     return out(memory.mandelbulb(TensorMeta((16, 16, 16), (8, 8, 8)), Embedding((1.0,) * 3)).levels[0])
 
@@ -640,7 +645,7 @@ def event_sessions_by_user(s, d):
 
 
 FLAGSHIP_SQL = (
-    "WITH t AS (SELECT event_id // 100 - 2 AS z, (event_id // 10) % 10 AS y, event_id % 10 AS x, value AS v FROM events WHERE event_id // 100 BETWEEN 2 AND 7), "
+    EV3.rstrip() + ", "
     f"a AS (SELECT z, y, x, v AS raw, {conv_sql([0.25, 0.5, 0.25], 'x', 'z, y', 'repeat')} AS v FROM t), b AS (SELECT z, y, x, raw, {conv_sql([0.25, 0.5, 0.25], 'y', 'z, x', 'repeat')} AS v FROM a), "
     f"c AS (SELECT z, y, x, raw, {conv_sql([0.25, 0.5, 0.25], 'z', 'y, x', 'repeat')} AS v FROM b) SELECT z // 4 AS z, y // 4 AS y, x // 4 AS x, round(avg(abs(v - raw)), 6) AS value FROM c GROUP BY ALL"
 )
@@ -648,8 +653,8 @@ FLAGSHIP_SQL = (
 
 @query(FLAGSHIP_SQL)
 def flagship(s, d):
-    """Slice, smooth along all axes, distance to the raw values, mean by chunk."""
-    raw = events(s, d, 3).slice((2, 8), None, None).compile()
+    """Smooth along all axes, distance to the raw values, mean by chunk."""
+    raw = events(s, d, 3).compile()
     smooth = raw.separable_convolution([[0.25, 0.5, 0.25]] * 3).compile()
     return out((smooth - raw).abs().chunk_aggregation("mean"))
 

@@ -24,7 +24,7 @@ def events(spark: SparkSession, sf_dir: str, rank: int, dtype=F64, chunk=None) -
     n = rows(t)
     shape = {1: ((n,), ["event_id"], (1000,)), 2: ((n // 100, 100), ["event_id div 100", "event_id % 100"], (32, 32)), 3: ((n // 100, 10, 10), ["event_id div 100", "(event_id div 10) % 10", "event_id % 10"], (4, 4, 4))}
     dims, coords, size = shape[rank]
-    return from_table(t, "value", coords, TensorMeta(dims, chunk or size), dtype)
+    return from_table(t, "value", coords, TensorMeta(dims, chunk or size), dtype, "event_id")
 
 
 def unit(spark: SparkSession, sf_dir: str) -> Tensor:
@@ -36,7 +36,7 @@ def embeddings(spark: SparkSession, sf_dir: str, dtype=F32) -> Tensor:
     """``embeddings`` as a list of vectors of 64."""
     t = table(spark, sf_dir, "embeddings")
     kind = dtype.vec(64)
-    return from_table(t, F.col("embedding"), ["vec_id"], TensorMeta((rows(t),), (100,)), kind)
+    return from_table(t, F.col("embedding"), ["vec_id"], TensorMeta((rows(t),), (100,)), kind, "vec_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> Tensor:
@@ -45,9 +45,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> Tensor:
 
 def part(spark: SparkSession, sf_dir: str) -> Tensor:
     t = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    return from_table(t, "p_retailprice", ["p_partkey"], TensorMeta((rows(t),), (500,)))
+    return from_table(t, "p_retailprice", ["p_partkey"], TensorMeta((rows(t),), (500,)), key="p_partkey")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Tensor:
     t = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return from_table(t, "o_totalprice", ["o_orderkey"], TensorMeta((rows(t),), (500,)))
+    return from_table(t, "o_totalprice", ["o_orderkey"], TensorMeta((rows(t),), (500,)), key="o_orderkey")

@@ -49,10 +49,8 @@ class RunTime:
         infos = [meta.chunk_info(c) for c in wanted]
         if not infos:
             return []
-        rows = t.df
-        for i in range(meta.ndim):
-            # The bounding box prunes scans; the exact set follows.
-            rows = rows.where(F.col(f"p{i}").between(min(x.begin[i] for x in infos), max(x.end[i] for x in infos) - 1))
+        # The bounding box prunes scans; the exact set follows.
+        rows = t.within([min(x.begin[i] for x in infos) for i in range(meta.ndim)], [max(x.end[i] for x in infos) - 1 for i in range(meta.ndim)])
         rows = rows.withColumn("gl_chunk", chunk_index(meta)).where(F.col("gl_chunk").isin(wanted)).toArrow()
         keys = rows.column("gl_chunk").to_numpy()
         return [dense(rows.filter(pa.array(keys == c)), x.logical, x.begin, t.dtype) for c, x in zip(wanted, infos, strict=True)]

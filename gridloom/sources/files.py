@@ -1,7 +1,7 @@
 """Tensors in files: raw, vvd, NIfTI, PNG and zarr (version 3).
 
-Headers are read on the driver; elements by the tasks, one chunk at a time, so
-paths must be visible to every executor.
+Headers are read on the driver; elements by the tasks, one chunk at a time and
+only those that a query needs, so paths must be visible to every executor.
 """
 
 from __future__ import annotations
@@ -10,35 +10,19 @@ import gzip
 import json
 import os
 import struct
+import sys
 import zipfile
 import zlib
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..meta import F32, U8, ChunkInfo, DType, Embedding, TensorError, TensorMeta, chunk_of
 from ..operators.transfer import TransferFunction
 from ..tensor import EmbeddedTensor, LodTensor, Tensor
-from .memory import rows, schema
-
-
-def from_chunks(meta: TensorMeta, dtype: DType, read: Callable[[ChunkInfo], np.ndarray]) -> Tensor:
-    """A tensor whose chunks are read by tasks; one task for each few chunks."""
-    spark = SparkSession.active()
-    n = meta.num_chunks
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                info = meta.chunk_info(k)
-                yield rows(info.begin, read(info), dtype)
-
-    parts = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    return Tensor(meta, dtype, spark.range(0, n, 1, parts).mapInArrow(run, schema(meta.ndim, dtype)))
+from .chunks import from_chunks
 
 
 def open_raw(path: str, meta: TensorMeta, dtype: DType | str, offset: int = 0) -> Tensor:
@@ -131,12 +115,18 @@ def open_nifti(path: str, data: str | None = None) -> EmbeddedTensor:
     meta = TensorMeta((dim[3], dim[2], dim[1]), (1, dim[2], dim[1]))
     source, plane = data or path, dim[2] * dim[1] * 4
 
+    kept: dict[int, object] = {}
+
     def read(info: ChunkInfo) -> np.ndarray:
-        with _opened(source) as f:
-            f.seek(offset + info.begin[0] * plane)
-            return np.frombuffer(f.read(plane * info.logical[0]), order + "f4").reshape(info.logical).astype(np.float32)
+        # A task's slices follow each other: one stream goes on from each to the next, as a gzip file can't be entered elsewhere (one task reads it).
+        at = offset + info.begin[0] * plane
+        f = kept.get(0)
+        if f is None or f.tell() > at:
+            f = kept[0] = _opened(source)
+        f.seek(at)
+        return np.frombuffer(f.read(plane * info.logical[0]), order + "f4").reshape(info.logical).astype(np.float32)
 
-    return EmbeddedTensor(from_chunks(meta, F32, read), Embedding((pix[3] * unit, pix[2] * unit, pix[1] * unit)))
+    return EmbeddedTensor(from_chunks(meta, F32, read, in_order=source.endswith(".gz")), Embedding((pix[3] * unit, pix[2] * unit, pix[1] * unit)))
 
 
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -210,11 +200,21 @@ class Store:
     def __init__(self, path: str):
         self.path, self.zip = path, path.endswith(".zip")
 
+    def archive(self) -> zipfile.ZipFile:
+        """The archive, kept open by each process, so that its directory is read once."""
+        kept = sys.__dict__.setdefault("_gridloom_archives", {})
+        key = (self.path, os.path.getmtime(self.path))
+        if key not in kept:
+            kept[key] = zipfile.ZipFile(self.path)
+        return kept[key]
+
     def get(self, key: str) -> bytes | None:
         key = key.strip("/")
         if self.zip:
-            with zipfile.ZipFile(self.path) as z:
-                return z.read(key) if key in z.namelist() else None
+            try:
+                return self.archive().read(key)
+            except KeyError:
+                return None
         full = os.path.join(self.path, key)
         if not os.path.isfile(full):
             return None
@@ -223,8 +223,7 @@ class Store:
 
     def arrays(self) -> list[str]:
         if self.zip:
-            with zipfile.ZipFile(self.path) as z:
-                names = [n[: -len("zarr.json")].rstrip("/") for n in z.namelist() if n.endswith("zarr.json")]
+            names = [n[: -len("zarr.json")].rstrip("/") for n in self.archive().namelist() if n.endswith("zarr.json")]
         else:
             names = [os.path.relpath(d, self.path) for d, _, files in os.walk(self.path) if "zarr.json" in files]
         found = []

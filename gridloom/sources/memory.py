@@ -63,11 +63,23 @@ def points(coords) -> DataFrame:
     return SparkSession.active().createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(coords)], "point_id long, coord array<double>")
 
 
-def from_table(frame: DataFrame, value: Column | str, coords: list[Column | str], meta: TensorMeta, dtype: DType | str = F64) -> Tensor:
-    """Table rows as elements: a position for each axis and a value. Positions must be dense and distinct."""
+def from_table(frame: DataFrame, value: Column | str, coords: list[Column | str], meta: TensorMeta, dtype: DType | str = F64, key: str | None = None) -> Tensor:
+    """Table rows as elements: a position for each axis and a value. Positions must be dense and distinct.
+
+    ``key`` names a column that numbers the elements row-major. A box of
+    positions then also is a range of keys, which the table's scan prunes by.
+    """
     kind = DType.parse(dtype)
     col = lambda c: F.expr(c) if isinstance(c, str) else c
-    return Tensor(meta, kind, frame.select(*[col(c).cast("long").alias(p) for c, p in zip(coords, positions(meta.ndim), strict=True)], col(value).cast(kind.spark).alias("value")))
+
+    def elements(rows: DataFrame) -> DataFrame:
+        return rows.select(*[col(c).cast("long").alias(p) for c, p in zip(coords, positions(meta.ndim), strict=True)], col(value).cast(kind.spark).alias("value"))
+
+    def narrow(low: list[int], high: list[int]) -> DataFrame:
+        strides = TensorMeta.strides(meta.dims)
+        return elements(frame.where(F.col(key).between(*(sum(a * s for a, s in zip(at, strides, strict=True)) for at in (low, high)))))
+
+    return Tensor(meta, kind, elements(frame), narrow=narrow if key else None)
 
 
 def voxel(dims, chunk, f: Callable[..., np.ndarray]) -> Tensor:
@@ -118,15 +130,28 @@ def full(meta: TensorMeta, embedding: Embedding) -> LodTensor:
     return rasterize_lod(meta, embedding, "1.0")
 
 
+#: Fixed values of the two fractals: centre of the view, its width and the radius at which a point counts as gone, most steps, and steps that count as none.
+MANDELBROT_CENTRE, MANDELBROT_RADIUS, MANDELBROT_STEPS = (0.5, 0.8), 5.0, 50
+MANDELBULB_RADIUS, MANDELBULB_STEPS, MANDELBULB_POWER = 2.3, 10, 8
+NO_STEPS = 2
+
+
+def _escape(points: np.ndarray, radius: float, most: int, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each column of ``points`` how long it takes to leave the radius when ``step`` is repeated from the point itself, from 0 (at once) to 1 (never)."""
+    at, taken = points.copy(), np.zeros(points.shape[1])
+    for _ in range(most):
+        inside = np.sqrt((at * at).sum(axis=0)) <= radius
+        if not inside.any():
+            break
+        at[:, inside] = step(at[:, inside], points[:, inside])
+        at[:, ~inside] = np.inf
+        taken += inside
+    return np.maximum(taken - NO_STEPS, 0) / (most - NO_STEPS)
+
+
 def _mandelbrot(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Steps until |z| passes 2, of 50, by position: the set's centre lies at (0.5, 0.8) of an image 2.5 wide."""
-    c = (x - 0.8) * 2.5 + 1j * (y - 0.5) * 2.5
-    z, steps = np.zeros_like(c), np.zeros(c.shape)
-    for _ in range(50):
-        inside = np.abs(z) <= 2
-        z = np.where(inside, z * z + c, z)
-        steps += inside
-    return steps / 50
+    points = np.stack([x - MANDELBROT_CENTRE[1], y - MANDELBROT_CENTRE[0]]) * MANDELBROT_RADIUS
+    return _escape(points, MANDELBROT_RADIUS, MANDELBROT_STEPS, lambda v, c: np.stack([v[0] * v[0] - v[1] * v[1], 2 * v[0] * v[1]]) + c)
 
 
 def mandelbrot(meta: TensorMeta, embedding: Embedding) -> LodTensor:
@@ -134,18 +159,13 @@ def mandelbrot(meta: TensorMeta, embedding: Embedding) -> LodTensor:
 
 
 def _mandelbulb(z: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Share of 10 steps of the bulb of power 8 within radius 2.3."""
-    c = np.stack([x, y, z]) * 2.3 - 1.15
-    p, steps = np.zeros_like(c), np.zeros(c.shape[1:])
-    for _ in range(10):
-        r = np.linalg.norm(p, axis=0)
-        inside = r <= 2
-        theta = np.arccos(np.clip(np.divide(p[2], r, out=np.zeros_like(r), where=r > 0), -1, 1)) * 8
-        phi = np.arctan2(p[1], p[0]) * 8
-        q = np.minimum(r, 2) ** 8 * np.stack([np.sin(theta) * np.cos(phi), np.sin(theta) * np.sin(phi), np.cos(theta)])
-        p = np.where(inside, q + c, p)
-        steps += inside
-    return steps / 10
+    def power(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        r = np.sqrt((v * v).sum(axis=0)) ** MANDELBULB_POWER
+        turn = MANDELBULB_POWER * np.arctan2(v[1], v[0])
+        tilt = MANDELBULB_POWER * np.arctan2(np.sqrt(v[0] * v[0] + v[1] * v[1]), v[2])
+        return np.stack([r * np.sin(tilt) * np.cos(turn), r * np.sin(tilt) * np.sin(turn), r * np.cos(tilt)]) + c
+
+    return _escape(np.stack([x - 0.5, y - 0.5, z - 0.5]) * MANDELBULB_RADIUS, MANDELBULB_RADIUS, MANDELBULB_STEPS, power)
 
 
 def mandelbulb(meta: TensorMeta, embedding: Embedding) -> LodTensor:

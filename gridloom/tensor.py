@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,11 @@ class Source:
 
     frame: DataFrame
     meta: TensorMeta
+    #: From the first and last positions of a box, a frame that holds at least its elements but is cheaper to read.
+    narrow: Callable[[list[int], list[int]], DataFrame] | None = None
+
+    def within(self, low: list[int], high: list[int]) -> DataFrame:
+        return self.narrow(low, high) if self.narrow else self.frame
 
 
 @dataclass(frozen=True, eq=False)
@@ -53,10 +59,10 @@ class Expr:
 class Tensor:
     """A lazy tensor of ``dtype``; ``meta`` is None for an expression that has no shape yet."""
 
-    def __init__(self, meta: TensorMeta | None, dtype: DType | str, frame: DataFrame | None = None, expr: Expr | None = None):
+    def __init__(self, meta: TensorMeta | None, dtype: DType | str, frame: DataFrame | None = None, expr: Expr | None = None, narrow: Callable[[list[int], list[int]], DataFrame] | None = None):
         self.meta, self.dtype = meta, DType.parse(dtype)
         if expr is None:
-            source = Source(frame, meta)
+            source = Source(frame, meta, narrow)
             expr = Expr((source,), lambda env: env[source])
         self.expr = expr
         self._compiled: DataFrame | None = frame
@@ -80,25 +86,36 @@ class Tensor:
     def df(self) -> DataFrame:
         """The frame ``(p0, .., value)``: one projection over the joined sources."""
         if self._compiled is None:
-            meta = self.shape()
-            p = positions(meta.ndim)
-            frames = []
-            env: dict[Source, Column] = {}
-            for k, s in enumerate(self.expr.sources):
-                frames.append(s.frame.select(*p, F.col("value").alias(f"v{k}")))
-                env[s] = F.col(f"v{k}")
-            if not frames:
-                base = grid_frame(SparkSession.active(), meta.dims)
-            else:
-                base = frames[0]
-                for f in frames[1:]:
-                    base = base.join(f, p) if p else base.crossJoin(f)
-            self._compiled = base.select(*p, self.expr.build(env).alias("value"))
+            self._compiled = self._projection(lambda s: s.frame)
         return self._compiled
 
+    def within(self, low: list[int], high: list[int]) -> DataFrame:
+        """The elements from ``low`` to ``high``, both included: each source is narrowed to the box where it can be, and rows are then filtered."""
+        meta = self.shape()
+        frame = self._projection(lambda s: s.within(low, high)) if any(s.narrow for s in self.expr.sources) else self.df
+        keep = [F.col(f"p{i}").between(a, b) for i, (a, b) in enumerate(zip(low, high, strict=True)) if (a, b) != (0, meta.dims[i] - 1)]
+        return frame.where(reduce(lambda x, y: x & y, keep)) if keep else frame
+
+    def _projection(self, of: Callable[[Source], DataFrame]) -> DataFrame:
+        meta = self.shape()
+        p = positions(meta.ndim)
+        frames = []
+        env: dict[Source, Column] = {}
+        for k, s in enumerate(self.expr.sources):
+            frames.append(of(s).select(*p, F.col("value").alias(f"v{k}")))
+            env[s] = F.col(f"v{k}")
+        if not frames:
+            base = grid_frame(SparkSession.active(), meta.dims)
+        else:
+            base = frames[0]
+            for f in frames[1:]:
+                base = base.join(f, p) if p else base.crossJoin(f)
+        return base.select(*p, self.expr.build(env).alias("value"))
+
     def compile(self) -> Tensor:
         """The same tensor as a plan of its own, which later expressions read as one source."""
-        return Tensor(self.shape(), self.dtype, self.df)
+        narrow = self.within if any(s.narrow for s in self.expr.sources) else None
+        return Tensor(self.shape(), self.dtype, self.df, narrow=narrow)
 
     def with_md(self, meta: TensorMeta) -> Tensor:
         if self.meta is not None and self.meta != meta:
