@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import release, release_all, shared_dir, staged  # noqa: F401
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,47 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+def sheltered(docs: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``docs`` with columns named by their place, and a function from a column's own name to that column.
 
-    A local session without that setting gets a temporary folder; a cluster
-    without it is an error, since no local folder is visible to every executor.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not getattr(shared_dir, "made", None):
-        shared_dir.made = tempfile.mkdtemp(prefix="gridloom-")
-    return shared_dir.made
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts lineage: what is stored survives the loss of any executor and is
-    computed once however often it is used. Shuffle files of the finished job
-    are released.
+    An operator that keeps all columns works on these and renames them back at
+    its end, so no name of its own can clash with one of the table's.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}/{label}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
-    out.gl_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete staged tables that no plan reads any more."""
-    for t in tables:
-        jvm, path = t.sparkSession.sparkContext._jvm, t.gl_path
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target.getParent(), True)
+    names = list(docs.columns)
+    return docs.toDF(*[f"in_{k}" for k in range(len(names))]), lambda name: F.col(f"in_{names.index(name)}")
 
 
 def ascii_lower(c: Column) -> Column:

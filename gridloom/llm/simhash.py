@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_filter, maybe_in, release, staged, table
+from .common import release, staged, table
 from .graph import connected_components
 
 SEED = 42
@@ -58,46 +58,22 @@ def hashed(found: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found))
 
 
-def majorities(found: list[bytes], hashes: np.ndarray, more: bool) -> tuple[int, ...]:
-    import xxhash
-
-    if not found:
-        return (0, 0, 0) if more else (0,)
-    own = majority(hashes)
-    if not more:
-        return (own,)
-    wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), np.uint64).reshape(-1, 2)
-    return own, majority(wide[:, 0].copy()), majority(wide[:, 1].copy())
-
-
-def fingerprint(text: bytes, words: int = 4, more: bool = False) -> tuple[int, ...]:
-    """The unsigned SimHash of a text's word shingles, repeats included; with ``more``, two further ones by another hash."""
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """The unsigned SimHash of a text's word shingles, repeats included; zero without words."""
     found = shingles(text, words)
-    return majorities(found, hashed(found), more)
-
-
-def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_id",), more: bool = False) -> DataFrame:
-    """``(*keep, fp)`` with the fingerprint as signed long, and ``e1, e2`` with ``more``, and ``gl_set``, a hash of the set of shingles; null texts count as empty."""
-    names = ["fp", "e1", "e2", "gl_set"] if more else ["fp"]
-    schema = docs.select(*keep).schema
-    for name in names:
-        schema = schema.add(name, "long")
+    return majority(hashed(found)) if found else 0
 
-    def of(text: bytes) -> tuple[int, ...]:
-        import xxhash
 
-        found = shingles(text, words)
-        hashes = hashed(found)
-        own = majorities(found, hashes, more)
-        return (*own, xxhash.xxh3_64_intdigest(np.unique(hashes).tobytes())) if more else own
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """``(doc_id, fp)`` with the fingerprint as signed long; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("gl_text").cast(pa.binary())
-            fps = np.array([of(t.as_py() or b"") for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(fps[:, k].copy()) for k in range(len(names)))], names=[*keep, *names])
+            texts = batch.column(1).cast(pa.binary())
+            fps = np.array([fingerprint(t.as_py() or b"", words) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(*keep, F.col("text").alias("gl_text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
 
 
 class BlockTree:
@@ -161,68 +137,71 @@ def hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, tree: BlockTree, more: np.ndarray | None = None, total: int = 0, leaf: int = 256, seed: int = 1) -> np.ndarray:
-    """Parent of each row in a spanning forest of the links in one shard.
+def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, blocks: int, block: int, leaf: int = 256, seed: int = 1) -> np.ndarray:
+    """Parent of each row in a spanning forest of the links in one shard of the tree over ``block``.
 
-    Links join a row to a home row within ``distance`` bits, and within
-    ``total`` bits of these and the fingerprints in ``more``, if given. ``tree`` names the
-    block and radius of the shard; a local vantage-point search halves the home
-    rows until ``leaf`` are left, and compares whole fingerprints there.
+    Links join a row to a home row within ``distance`` bits. A local
+    vantage-point search on the shard's block halves the home rows until
+    ``leaf`` are left. Home rows that it cannot part, since they agree in the
+    block, are searched on: of the other blocks one has to be near too, so a
+    search on each of them finds every pair. Whole fingerprints are compared at the leaves.
     """
+    width = BITS // blocks
+    values = [(fps >> np.uint64(width * k)) & np.uint64((1 << width) - 1) for k in range(blocks)]
     parent = np.arange(fps.size)
-    values, radius = tree.block(fps), tree.radius
     rng = np.random.default_rng(seed)
-    stack = [(np.arange(fps.size), np.flatnonzero(home))]
+    stack = [(np.arange(fps.size), np.flatnonzero(home), block, True)]
     while stack:
-        queries, points = stack.pop()
+        queries, points, k, first = stack.pop()
         if not points.size or not queries.size:
             continue
         if points.size > leaf:
-            at = values[points[rng.integers(points.size)]]
-            far = np.bitwise_count(values[points] ^ at).astype(np.int64)
+            radius = distance // blocks if first else distance // (blocks - 1)
+            at = values[k][points[rng.integers(points.size)]]
+            far = np.bitwise_count(values[k][points] ^ at).astype(np.int64)
             shell = int(np.partition(far, far.size // 2)[far.size // 2])
             inside = far <= shell
             if inside.all():
                 shell -= 1
                 inside = far <= shell
             if inside.any():
-                away = np.bitwise_count(values[queries] ^ at).astype(np.int64)
-                stack.append((queries[away - radius <= shell], points[inside]))
-                stack.append((queries[away + radius > shell], points[~inside]))
+                away = np.bitwise_count(values[k][queries] ^ at).astype(np.int64)
+                stack.append((queries[away - radius <= shell], points[inside], k, first))
+                stack.append((queries[away + radius > shell], points[~inside], k, first))
+                continue
+            if first and blocks > 1 and far.max() == 0:
+                near = queries[np.bitwise_count(values[k][queries] ^ at) <= radius]
+                stack.extend((near, points, other, False) for other in range(blocks) if other != block)
                 continue
-        width = max(1, (1 << 21) // points.size)
-        for k in range(0, queries.size, width):
-            some = queries[k : k + width]
+        step = max(1, (1 << 21) // points.size)
+        for at in range(0, queries.size, step):
+            some = queries[at : at + step]
             q, p = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[points][None, :]) <= distance)
-            q, p = some[q], points[p]
-            if more is not None:
-                near = np.bitwise_count(more[q] ^ more[p]).sum(1) + np.bitwise_count(fps[q] ^ fps[p]) <= total
-                q, p = q[near], p[near]
-            hook(parent, q, p)
+            hook(parent, some[q], points[p])
     return parent
 
 
-def near_links(distinct: DataFrame, distance: int = 4, total: int | None = None, blocks: int = 4, shard_rows: int = 20_000, sample_rows: int = 8192, max_depth: int = 14) -> DataFrame:
+def near_links(distinct: DataFrame, distance: int = 4, blocks: int = 4, shard_rows: int = 20_000, sample_rows: int = 8192) -> DataFrame:
     """Links ``(a, b)`` that connect exactly the fingerprints within ``distance`` bits, from distinct ``(node, fp)``.
 
-    With ``total``, rows also have ``e1, e2``, and links need at most so many
-    differing bits in all three, which tells chance from likeness where ``distance`` alone can't.
-
     They are spanning forests of all links, shard by shard: as many components
-    as all links have, but never the pairs of a dense group. The trees are
-    built from a bounded sample, which sets how even the shards are, never
+    as all links have, but never the pairs of a dense group. There are as many
+    shards as make ``shard_rows`` home rows each, up to one for each value of a block;
+    a fingerprint then visits the values within the radius, 17 at four blocks
+    of 16 bits, however many fingerprints there are. The trees are
+    built from a sample bounded by ``sample_rows`` and by 32 a shard, which sets how even the shards are, never
     what is found. A shard with more than ``shard_rows`` home rows, or four
     times as many queries, is cut into cells of (part of the queries, part of
     the home rows), so that no task holds more, whatever the data.
     """
     spark = distinct.sparkSession
-    columns = ["node", "fp"] if total is None else ["node", "fp", "e1", "e2"]
+    width = BITS // blocks
     n = distinct.count()
     depth = 0
-    while n > shard_rows << depth and depth < max_depth:
+    while n > shard_rows << depth and depth < width:
         depth += 1
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("node")).limit(sample_rows).collect()], np.int64).view(np.uint64)
-    width = BITS // blocks
+    taken = distinct.select("fp").orderBy(F.xxhash64("node")).limit(max(sample_rows, 32 << depth)).toArrow()
+    sample = taken.column("fp").to_numpy().view(np.uint64)
     trees = [BlockTree(sample, width * k, width, distance // blocks, depth, seed=k + 1) for k in range(blocks)]
     sent = spark.sparkContext.broadcast(trees)
 
@@ -234,25 +213,25 @@ def near_links(distinct: DataFrame, distance: int = 4, total: int | None = None,
                 rows, shard = tree.visits(fps)
                 # Of two shards, the rows of the later one do the visiting.
                 rows, shard = rows[shard <= own[rows]], shard[shard <= own[rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.size, k, np.int32)), pa.array(shard.astype(np.int32)), pa.array(shard == own[rows]), *(c.take(pa.array(rows)) for c in batch.columns)], names=["block", "shard", "home", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.size, k, np.int32)), pa.array(shard.astype(np.int32)), pa.array(shard == own[rows]), *(c.take(pa.array(rows)) for c in batch.columns)], names=["block", "shard", "home", "node", "fp"])
 
-    routed = staged(distinct.select(*columns).mapInArrow(route, "block int, shard int, home boolean, " + ", ".join(f"{c} long" for c in columns)), "routed")
+    routed = staged(distinct.select("node", "fp").mapInArrow(route, "block int, shard int, home boolean, node long, fp long"), "routed")
     cells = routed.groupBy("block", "shard").agg(
         F.ceil(F.count_if("home") / shard_rows).cast("int").alias("home_cells"), F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("query_cells")
     )
     cell = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     sized = routed.join(cells, ["block", "shard"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = sized.select("block", "shard", *columns, F.lit(False).alias("home"), cell("query_cells", 1).alias("q"), every("home_cells").alias("h"))
-    homes = sized.where("home").select("block", "shard", *columns, F.lit(True).alias("home"), cell("home_cells", 2).alias("h"), every("query_cells").alias("q"))
+    queries = sized.select("block", "shard", "node", "fp", F.lit(False).alias("home"), cell("query_cells", 1).alias("q"), every("home_cells").alias("h"))
+    homes = sized.where("home").select("block", "shard", "node", "fp", F.lit(True).alias("home"), cell("home_cells", 2).alias("h"), every("query_cells").alias("q"))
     rows = queries.unionByName(homes)
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         nodes, first, back = np.unique(group.column("node").to_numpy(), return_index=True, return_inverse=True)
-        words = np.stack([group.column(c).to_numpy()[first].view(np.uint64) for c in columns[1:]], 1)
+        fps = group.column("fp").to_numpy()[first].view(np.uint64)
         home = np.zeros(nodes.size, bool)
         home[back[group.column("home").to_numpy()]] = True
-        parent = shard_links(words[:, 0].copy(), home, distance, sent.value[key[0].as_py()], words[:, 1:] if total is not None else None, total or 0)
+        parent = shard_links(fps, home, distance, blocks, key[0].as_py())
         child = np.flatnonzero(parent != np.arange(nodes.size))
         return pa.table({"a": nodes[child], "b": nodes[parent[child]]})
 
@@ -261,96 +240,10 @@ def near_links(distinct: DataFrame, distance: int = 4, total: int | None = None,
     return links
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(node, hashes)`` of every ``(node, gl_key)`` in ``wanted``: the sorted hashes of a text's shingles, 8 bytes each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("gl_text").cast(pa.binary())
-            sets = [np.unique(hashed(shingles(t.as_py() or b"", words))).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
-
-    texts = docs.select("gl_key", F.col("text").alias("gl_text"))
-    # Few texts are candidates; copies of one are combined before the shuffle.
-    found = maybe_in(texts, "gl_key", key_filter(wanted, "gl_key")).groupBy("gl_key").agg(F.first("gl_text").alias("gl_text"))
-    return found.join(wanted, "gl_key").select("node", "gl_text").mapInArrow(run, "node long, hashes binary")
-
-
-def similar_sets(sets: list[np.ndarray], parent: np.ndarray, similar: float) -> None:
-    """Union all sets that share at least ``similar`` of their elements; every pair is compared, by lists of the sets that hold an element."""
-    sizes = np.array([s.size for s in sets], np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    elements = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    holders = np.repeat(np.arange(sizes.size), sizes)[np.argsort(elements, kind="stable")]
-    counts = np.bincount(elements)
-    first = np.cumsum(counts) - counts
-    for k in range(1, sizes.size):
-        if not parent.any():  # all are one set already
-            return
-        own = elements[bounds[k] : bounds[k + 1]]
-        n = counts[own]
-        listed = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        common = np.bincount(holders[listed], minlength=sizes.size)[:k]
-        near = np.flatnonzero(common / np.maximum(sizes[:k] + sizes[k] - common, 1) >= similar)
-        hook(parent, np.full(near.size, k), near)
-
-
-def similar_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: float, cell_rows: int = 512) -> DataFrame:
-    """Links ``(a, b)`` that connect exactly the nodes of a component of ``links`` whose texts share ``similar`` of their shingles (Jaccard), directly or through others.
-
-    ``nodes`` has ``(node, gl_key)``, and ``docs`` the texts by ``gl_key``.
-
-    A component of candidates of up to ``cell_rows`` nodes is compared whole, each pair of texts exactly. A
-    larger one is first joined along its links, which leaves nothing to do in
-    most dense groups; what stays apart is compared in cells of (part, other
-    part), so that no task holds more.
-    """
-    found = connected_components(links)
-    found = staged(found.select("node", F.col("component").alias("gl_group")), "candidates")
-    sets = staged(shingle_sets(docs, nodes.join(found, "node").select("node", "gl_key"), words).join(found, "node"), "sets")
-    sizes = staged(found.groupBy("gl_group").agg(F.count("*").alias("n")), "sizes")
-    large = found.join(sizes.where(F.col("n") > cell_rows), "gl_group").select("node")
-    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct().join(large, F.col("a") == F.col("node"), "left_semi")
-    ends = [sets.select(F.col("node").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab"]
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-                common = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(common / max(x.size + y.size - common, 1) >= similar)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sure = staged(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(alike, "a long, b long"), "sure")
-    joined = connected_components(sure)
-    whole = sets.join(joined, "node", "left").withColumn("sub", F.coalesce("component", "node"))
-    apart = whole.groupBy("gl_group").agg(F.count("*").alias("n"), F.min("sub").alias("low"), F.max("sub").alias("high")).where("low < high")
-    rows = whole.join(apart.select("gl_group", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells")), "gl_group")
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("node", F.lit(3)), F.col("cells")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    rows = rows.select("gl_group", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"), "node", "sub", "hashes")
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        nodes, subs = (group.column(k).to_numpy() for k in ("node", "sub"))
-        _, first, back = np.unique(subs, return_index=True, return_inverse=True)
-        parent = first[back]
-        similar_sets([np.frombuffer(s.as_py(), np.uint64) for s in group.column("hashes")], parent, similar)
-        child = np.flatnonzero(parent != np.arange(nodes.size))
-        return pa.table({"a": nodes[child], "b": nodes[parent[child]]})
-
-    compared = staged(rows.groupBy("gl_group", "c", "d").applyInArrow(compare, "a long, b long"), "similar")
-    return sure.unionByName(compared)
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """``(doc_id, fp, component, component_id)``, a row for each row of ``docs``.
 
-
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: int | None = None, keep: tuple[str, ...] = ("doc_id",), similar: float | None = None) -> DataFrame:
-    """``(*keep, fp, component, component_id)``, a row for each row of ``docs``.
-
-    Fingerprints at ``distance`` or fewer differing bits link their documents
-    (with ``total``, if any of three fingerprints is that near, and all three
-    together differ in at most ``total`` bits; with ``similar`` besides, such
-    documents are only candidates, and those are linked that have at least this
-    share of their distinct shingles in common);
+    Fingerprints at ``distance`` or fewer differing bits link their documents;
     ``component_id`` is the smallest doc_id that links lead to, the document's
     own included. Copies share a fingerprint and are searched once; a group of
     copies is combined before the shuffle and rejoined by fingerprint.
@@ -358,63 +251,24 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, total: i
     Null and empty texts have fingerprint zero and link like any other; a null
     doc_id is never a component's smallest, unless the component has no other;
     repeated rows get a row each; an empty table gives no rows; further columns
-    are ignored, unless named in ``keep``.
-    """
-    if similar is not None and total is None:
-        raise ValueError("similar needs total")
-    turns = ["fp"] if total is None else ["fp", "e1", "e2"]
-    # Texts of equal fingerprints may still differ in their shingles.
-    own = turns if similar is None else [*turns, "gl_set"]
-    kept = keep
-    if similar is not None:
-        docs = docs.withColumn("gl_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-        kept = tuple(dict.fromkeys([*keep, "gl_key"]))
-    prints = staged(fingerprints(docs, words, kept, total is not None), "fingerprints")
-    node = F.col("fp") if total is None else F.xxhash64(*own)
-    some = [F.min("gl_key").alias("gl_key")] if similar is not None else []
-    distinct = staged(prints.groupBy(*own).agg(F.min("doc_id").alias("first_id"), *some).withColumn("node", node), "distinct")
-    links = near_links(distinct, distance, total)
-    for k in range(1, len(turns)):
-        # Each of the fingerprints is searched in turn, as chance may put any one of them too far apart.
-        turned = distinct.select("node", *[F.col(turns[(k + i) % 3]).alias(name) for i, name in enumerate(turns)])
-        links = links.unionByName(near_links(turned, distance, total))
-    if similar is not None:
-        links = similar_links(links, distinct, docs, words, similar)
-        # Equal sets need no comparison, and repeats may put their fingerprints apart.
-        equal = distinct.groupBy("gl_set").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-        links = links.unionByName(distinct.join(equal, "gl_set").where("node != b").select(F.col("node").alias("a"), "b"))
-    found = connected_components(links)
-    classes = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = staged(classes, "members")
-    # A plain table, so that the join can split a component that very many fingerprints share.
-    smallest = staged(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
-    classes = staged(classes.join(smallest, "component").select(*own, "component", "component_id"), "classes")
-    return prints.join(classes, own).select(*keep, "fp", "component", "component_id")
-
-
-#: Of the pipeline's stage: texts with ``SIMILAR`` of their five-word shingles in common are linked. That leaves about
-#: 15 % of a fingerprint's bits differing, 29 of 192 with a deviation of 5. Candidates are those within ``NEAR_TOTAL`` bits, of
-#: which any has a fingerprint within ``NEAR`` and in it a block within 3, the radius searched.
-NEAR_WORDS, NEAR, NEAR_TOTAL, SIMILAR = 5, 15, 47, 0.8
-
-
-def near_deduplicated(docs: DataFrame, words: int = NEAR_WORDS, distance: int = NEAR, total: int = NEAR_TOTAL, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates; columns stay.
-
-    The row with the smallest doc_id stays (nulls last), of a tie the one whose
-    text has the smallest hash; rows that repeat each other leave one.
+    are ignored.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = near_duplicates(docs.withColumn("gl_key", key), words, distance, total, keep=("doc_id", "gl_key"), similar=similar)
-    found = staged(found.select("doc_id", "gl_key", "component"), "groups")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "gl_key")
-    best = staged(found.groupBy("component").agg(F.min(place).alias("best")), "best")
-    lost = found.join(best, "component").where(place != F.col("best")).select(F.col("doc_id").alias("gl_id"), F.col("gl_key").alias("gl_lost")).distinct()
-    again = found.groupBy("doc_id", "gl_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    out = docs.withColumn("gl_key", key).join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gl_id")) & (F.col("gl_key") == F.col("gl_lost")), "left_anti")
-    if again:
-        out = out.dropDuplicates(["doc_id", "gl_key"])
-    return out.select(*docs.columns)
+    prints = staged(fingerprints(docs, words), "fingerprints")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.col("fp")), "distinct")
+    links = near_links(distinct, distance)
+    classes = components_of(distinct, links).select("fp", "component", "component_id")
+    release(distinct, links)
+    return prints.join(classes, "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def components_of(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``distinct (node, first_id, ..)`` with the ``component`` that ``links`` make, and the smallest first_id in it; staged."""
+    members = staged(distinct.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+    # A plain table, so that the join can split a component that very many nodes share.
+    smallest = staged(members.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
+    out = staged(members.join(smallest, "component"), "classes")
+    release(members, smallest)
+    return out
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
