@@ -7,9 +7,10 @@ each once however many documents hold it, and appended to the cache.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
+import os
+import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import shared_dir, staged, table
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
-#: Texts whose characters are all below this code point may use the rank
-#: tables; the two libraries' Unicode tables agree there (tests check it).
-PLAIN_BELOW = 0x250
+#: Characters encoded at once: the libraries take some 130 bytes of memory for each.
+BLOCK = 1 << 18
+#: A space between two other characters, where byte-level tokenizers always part words.
+_PART = re.compile(r"(?<=\S) (?=\S)")
 
 
 def tokenizer_digest(path: str) -> str:
@@ -34,15 +36,14 @@ def tokenizer_digest(path: str) -> str:
 
 
 class Counter:
-    """Counts tokens as the library of the vocabulary file gives them.
+    """Counts tokens as the library of the vocabulary file gives them: sentencepiece for .model, else tokenizers.
 
-    ``ranks`` may name the same vocabulary as rank file, with ``pattern``;
-    plain texts are then counted by the faster encoder of equal results.
+    Where a tokenizer is known to part words at single spaces, long texts are
+    encoded block by block, cut there; the counts are the same, and memory is bounded.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str):
         self.piece = path.endswith(".model")
-        self.fast = None
         if self.piece:
             import sentencepiece
 
@@ -53,42 +54,60 @@ class Counter:
         self.model = tokenizers.Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        if ranks:
-            import tiktoken
-
-            with open(path, encoding="utf-8") as f:
-                special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
+        with open(path, encoding="utf-8") as f:
+            self.parts = parts_at_spaces(json.load(f))
 
     def counts(self, texts: list[str]) -> list[int]:
         if self.piece:
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
+            return [len(x) for t in texts for x in self.model.encode([t], num_threads=1)]
         out = [0] * len(texts)
-        slow = []
+        rows, held, size = [], [], 0
         for i, text in enumerate(texts):
-            if self.fast is not None and (text.isascii() or max(text) < chr(PLAIN_BELOW)):
-                out[i] = len(self.fast.encode(text, allowed_special="all"))
-            else:
-                slow.append(i)
-        for k in range(0, len(slow), 64):
-            some = slow[k : k + 64]
-            for i, x in zip(some, self.model.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = len(x.ids)
+            for part in blocks(text, BLOCK) if self.parts else [text]:
+                rows.append(i)
+                held.append(part)
+                size += len(part)
+                if size >= BLOCK:
+                    self._add(out, rows, held)
+                    rows, held, size = [], [], 0
+        self._add(out, rows, held)
         return out
 
+    def _add(self, out: list[int], rows: list[int], held: list[str]) -> None:
+        for i, x in zip(rows, self.model.encode_batch_fast(held, add_special_tokens=False), strict=True):
+            out[i] += len(x.ids)
+
+
+def parts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's file says that words always part before a space that stands between two other characters.
+
+    So it is for byte-level ones with their own pattern, nothing added or
+    changed before it, and special tokens without white space around or inside.
+    """
+    before = spec.get("pre_tokenizer") or {}
+    plain = all(not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") and not re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
+    return spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and plain
 
-def counter(path: str, ranks: str | None, pattern: str | None) -> Counter:
+
+def blocks(text: str, size: int) -> Iterator[str]:
+    """``text`` in parts of ``size`` characters and up to the next place where words part, if there is one."""
+    at = 0
+    while len(text) - at > size:
+        m = _PART.search(text, at + size)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def counter(path: str) -> Counter:
     """One counter a worker process, kept between tasks."""
     kept = sys.__dict__.setdefault("_gridloom_counters", {})
-    key = (path, ranks)
-    if key not in kept:
-        import os
-
+    if path not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        kept[key] = Counter(path, ranks, pattern)
-    return kept[key]
+        kept[path] = Counter(path)
+    return kept[path]
 
 
 def content(text: Column) -> Column:
@@ -108,7 +127,7 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, ranks: str | None = None, pattern: str | None = None, limit: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 1024) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)``, a row for each row of ``docs``.
 
     1. Digest every text (SHA-256) and keep one text of each digest. The
@@ -133,7 +152,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, rank
     misses = texts.join(known.select("digest"), "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = counter(tokenizer, ranks, pattern)
+        model = counter(tokenizer)
         for batch in batches:
             n = model.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
@@ -154,4 +173,4 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     cache = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}/token_cache"
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
