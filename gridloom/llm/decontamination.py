@@ -18,6 +18,8 @@ from .common import table
 K1, B = 1.2, 0.75
 #: Postings in a block, whose largest weight is kept.
 BLOCK = 32
+#: Words of a text that are bounded at once, which bounds the memory that a long text takes.
+BLOCK_WORDS = 2048
 #: Score at which an item is retrieved, as part of the score that the item itself would get.
 THRESHOLD = 0.6
 #: Words in a shingle; parts of an item's shingles that a passage must hold: of both halves, and of all.
@@ -135,33 +137,37 @@ class Index:
                     if c[0] < at:
                         move(c, at)
 
-    def passages(self, found: list[str]) -> Iterator[tuple[int, int]]:
-        """Starts and ends of the passages: twice the longest item, every longest item, so that each place of an item lies in one."""
-        step = self.longest
-        for a in range(0, max(1, len(found) - step), step):
-            yield a, min(a + 2 * step, len(found))
+    def likely(self, ids: np.ndarray) -> Iterator[int]:
+        """Numbers of the passages whose rare words may reach the threshold for some item.
+
+        Passage k has the words from ``k * longest`` on, twice the longest item, so
+        that each place of an item lies in one. They are bounded block by block, so memory doesn't grow with the text.
+        """
+        none, width, step = len(self.lists), len(self.items), max(1, BLOCK_WORDS // self.longest)
+        last = max(1, -(-ids.size // self.longest) - 1)
+        for at in range(0, last, step):
+            some = ids[at * self.longest : (at + step + 1) * self.longest]
+            count = np.where(some == none, 0, self.begin[some + 1] - self.begin[some])
+            spots = np.flatnonzero(count)
+            if not spots.size:
+                continue
+            n = count[spots]
+            posting = np.repeat(self.begin[some[spots]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, weight, chunk = self.essential_item[posting], self.essential_weight[posting], np.repeat(spots, n) // self.longest
+            # A passage is two neighbouring chunks. Words that repeat count again: a bound, never too low.
+            key = np.concatenate([chunk * width + item, (chunk - 1) * width + item])
+            keys, back = np.unique(key, return_inverse=True)
+            bound = np.bincount(back, np.concatenate([weight, weight]))
+            hit = np.unique(keys[bound >= self.need[keys % width]] // width)
+            yield from (at + hit[(hit >= 0) & (hit < min(step, last - at))]).tolist()
 
     def matches(self, text: str) -> dict[int, tuple[float, float, float, int]]:
         """Of a document: ``{item: (score, question overlap, answer overlap, word offset)}``, verified."""
         found = words(text)
         get, none = self.ids.get, len(self.lists)
         ids = np.fromiter((get(w, none) for w in found), np.int64, len(found))
-        count = self.begin[ids + 1] - self.begin[ids] if ids.size else ids
-        count = np.where(ids == none, 0, count)
-        spots = np.flatnonzero(count)
-        if not spots.size:
-            return {}
-        n = count[spots]
-        posting = np.repeat(self.begin[ids[spots]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, weight, chunk = self.essential_item[posting], self.essential_weight[posting], np.repeat(spots, n) // self.longest
-        width = len(self.items)
-        # A passage is two neighbouring chunks. Words that repeat count again: a bound, never too low.
-        key = np.concatenate([chunk * width + item, np.maximum(chunk - 1, 0) * width + item])
-        keys, back = np.unique(key, return_inverse=True)
-        bound = np.bincount(back, np.concatenate([weight, np.where(chunk > 0, weight, 0)]))
-        likely = np.unique(keys[bound >= self.need[keys % width]] // width)
         best: dict[int, tuple[float, float, float, int]] = {}
-        for k in likely.tolist():
+        for k in self.likely(ids):
             a = k * self.longest
             passage = found[a : a + 2 * self.longest]
             held = None

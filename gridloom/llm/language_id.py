@@ -14,8 +14,8 @@ from .common import remainder, table
 
 #: Hashed n-grams of 1 to ``ORDERS`` characters.
 FEATURES, ORDERS = 4096, 3
-#: Documents that the regression and the calibration may learn from, for each language. Document frequencies are taken from all.
-SAMPLE_ROWS = 1500
+#: Documents that the regression and the calibration may learn from, for each language, and for all together. Document frequencies are taken from all.
+SAMPLE_ROWS, SAMPLE_TOTAL = 1500, 12_000
 #: Code points hashed at once, which bounds the memory that a long text takes.
 BLOCK = 1 << 18
 UNDETERMINED = "und"
@@ -121,11 +121,11 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from ``(doc_id, text, lang)``; rows without text, letter or language are left out.
 
     Document frequencies cover all rows. The regression is fitted on at most
-    ``sample_rows`` rows of each language, those with the smallest hashes, and
-    the temperature on a fifth of them that the regression has not seen.
-    Languages are what the rows hold: their number must be small.
+    ``sample_rows`` rows of each language and ``SAMPLE_TOTAL`` of all, those with the smallest hashes of id and text, and
+    the temperature on a fifth of them that the regression has not seen. Rows that
+    repeat count once there, so no id or text, null or not, makes the sample
+    larger. Languages are what the rows hold: their number must be small.
     """
-    spark = rows.sparkSession
     base = rows.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +142,16 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     for r in found:
         df[r.place] = r.n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 1)
-    each = {r.lang: r.n for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    base = base.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "text"), 1))
+    each = {r.lang: r.n for r in base.groupBy("lang").agg(F.approx_count_distinct("draw", 0.01).alias("n")).collect()}
     languages = sorted(each)
     if not languages:
         return Model([], idf, np.zeros((FEATURES + 1, 0)), 1.0)
-    # Twice the wanted share of the hash range is nearly always enough; the cut below is exact.
-    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(2**63 - 1, int(2 * sample_rows / each[lang] * 2**63)))])
-    chosen = base.where(draw <= limit[F.col("lang")]).select("lang", draw.alias("draw"), "text")
+    sample_rows = max(1, min(sample_rows, SAMPLE_TOTAL // len(languages)))
+    # A part of the hash range that nearly always has enough rows, and few more; the cut below is exact.
+    wanted = 1.05 * sample_rows + 5 * sample_rows**0.5
+    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(2**63 - 1, int(wanted / each[lang] * 2**63)))])
+    chosen = base.where(F.col("draw") <= limit[F.col("lang")]).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,22 +189,26 @@ def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
 
     ``lang_pred`` is the likeliest learned language and ``score`` its calibrated
     probability; ``und`` and 0 if the text is null or has no letter, or if
-    there was nothing to learn from. Repeated rows get a row each; an empty
-    table gives no rows.
+    there was nothing to learn from. Repeated rows get a row each; a null doc_id
+    stays null; an empty table gives no rows; further columns are ignored, unless named in ``keep``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = sent.value.predict(batch.column("gl_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            names, scores = sent.value.predict(batch.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").alias("gl_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("whole_text")).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """``docs`` without rows of undetermined language or a score below ``min_score``; columns stay."""
+    """``docs`` without rows of undetermined language or a score below ``min_score``; columns stay, whatever their names.
+
+    Null and empty texts, and texts without a letter, are undetermined and go;
+    ids play no part, repeated rows stay or go together, and an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

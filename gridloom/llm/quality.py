@@ -147,27 +147,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", positives:
     """A model from texts whose label is 1 and texts that have none.
 
     Labels of 0 are never read as negatives; such rows, and rows labelled both
-    ways, are left out. The classifier is fitted on the ``positives`` and
-    ``unlabelled`` rows with the smallest hashes of their ids. Without rows of
+    ways, are left out, as are rows without doc_id. The classifier is fitted on the ``positives`` and
+    ``unlabelled`` rows with the smallest hashes of id and text; rows that repeat count once, so
+    no more than these are ever collected, and ties can't occur. Without rows of
     either sort every score is 0.5.
     """
     spark = docs.sparkSession
     told = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high"))
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(told, "doc_id", "left")
-    ids = ids.select("doc_id", F.when((F.col("low") == 1) & (F.col("high") == 1), 1).when(F.col("low").isNull() & F.col("high").isNull(), 0).alias("kind"), F.xxhash64(F.lit("quality"), "doc_id").alias("draw"))
-    # At most positives + unlabelled ids: a bounded list.
-    chosen = [r for kind, n in ((1, positives), (0, unlabelled)) for r in ids.where(F.col("kind") == kind).orderBy("draw", "doc_id").limit(n).collect()]
-    if not chosen or len({r.kind for r in chosen}) < 2:
+    draw = F.xxhash64(F.lit("quality"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("draw")
+    drawn = docs.where(F.col("doc_id").isNotNull()).select("doc_id", draw).join(told, "doc_id", "left")
+    drawn = drawn.select("draw", F.when((F.col("low") == 1) & (F.col("high") == 1), 1).when(F.col("low").isNull() & F.col("high").isNull(), 0).alias("kind"))
+    # At most positives + unlabelled hashes: a bounded list.
+    chosen = [(r.draw, kind) for kind, n in ((1, positives), (0, unlabelled)) for r in drawn.where(F.col("kind") == kind).select("draw").distinct().orderBy("draw").limit(n).collect()]
+    if len({kind for _, kind in chosen}) < 2:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1), 0.5)
-    some = F.broadcast(spark.createDataFrame([(r.doc_id, r.kind) for r in chosen], "doc_id long, kind int").distinct())
+    some = F.broadcast(spark.createDataFrame(chosen, "draw long, kind int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs = [features(t or "").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array(xs, pa.binary())], names=["doc_id", "kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("kind"), pa.array(xs, pa.binary())], names=["draw", "kind", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id").select("doc_id", "kind", "text").mapInArrow(run, "doc_id long, kind int, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))
+    once = docs.where(F.col("doc_id").isNotNull()).select(draw, "text").join(some, "draw").groupBy("draw", "kind").agg(F.first("text").alias("text"))
+    rows = sorted(once.mapInArrow(run, "draw long, kind int, x binary").collect(), key=lambda r: (r.kind, r.draw))
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(np.float64)
     kind = np.array([r.kind for r in rows])
     mean, scale = x.mean(0), x.std(0)
