@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, language_id, line_dedup, mixing, prefix_hash, quality, simhash, suffix_dedup, token_counts, url_filter
+from gridloom.llm import decontamination, language_id, line_dedup, mixing, near_texts, prefix_hash, quality, simhash, suffix_dedup, token_counts, url_filter
 from gridloom.llm.graph import connected_components
 
 #: Names that operators use inside.
@@ -53,26 +54,34 @@ def test_token_counts(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     path, cache = P.path("byte_bpe_50k.json"), str(tmp_path / "cache")
-    args = {"cache": cache, "ranks": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
     library = Tokenizer.from_file(path)
     want = collections.Counter((i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in texts())
     for _ in range(2):  # the second time all counts come from the cache
-        got = token_counts.token_counts(docs, path, **args).collect()
+        got = token_counts.token_counts(docs, path, cache).collect()
         assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
         assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
         assert spark.read.parquet(cache).count() == len({t for _, t in texts()})
     assert token_counts.token_counts(none, path, cache=str(tmp_path / "other")).count() == 0
 
 
-def test_token_counts_of_all_libraries(spark):
+def test_token_counts_of_all_libraries(spark, monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     import sentencepiece
+    from tokenizers import Tokenizer
 
     some = ["Plain words, 12 of them.", "über 中文 \U0001f600", "", "tabs\t and   spaces \n\n end ", "İstanbul ʰ ͅx"]
-    fast = token_counts.Counter(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    slow = token_counts.Counter(P.path("byte_bpe_50k.json"))
-    every = ["".join(map(chr, range(a, a + 64))) for a in range(0, token_counts.PLAIN_BELOW, 64)]
-    assert fast.counts(some + every) == slow.counts(some + every)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    whole = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    r = random.Random(12)
+    odd = ["".join(r.choice("ab'sA \n\t.,1\u00e9\u4e2d") + r.choice(["", " ", "<|endoftext|>"] if r.random() < 0.2 else [""]) for _ in range(3000)) for _ in range(20)]
+    long = [" " * 2_000_000 + "x", "a" * 1_000_000, " ".join(prose(k, 2000) for k in range(40))]
+    monkeypatch.setattr(token_counts, "BLOCK", 50)
+    model = token_counts.Counter(P.path("byte_bpe_50k.json"))
+    assert model.parts and model.counts(some + odd + long) == [whole(t) for t in some + odd + long]
+    assert all("".join(token_counts.blocks(t, 50)) == t for t in some + odd)
+    words = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    other = token_counts.Counter(P.path("word_bpe_49k.json"))
+    assert not other.parts and other.counts(some + odd) == [len(words.encode(t, add_special_tokens=False).ids) for t in some + odd]
     pieces = token_counts.Counter(P.path("piece_bpe_32k.model"))
     own = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     assert pieces.counts(some) == [len(own.encode(t)) for t in some]
@@ -182,17 +191,21 @@ def test_line_dedup(spark, docs, none):
         seen: dict[str, tuple] = {}
         want = collections.Counter()
         rows = {(r.doc_id, r.text or "") for r in more.select("doc_id", "text").collect()}
-        ranked = sorted(((i is not None, i or 0, k, i, t, a, b, piece) for i, t in rows for k, a, b, piece in line_dedup.units(t, unit, 5)), key=lambda x: x[:3])
+        ranked = sorted(((i is not None, i or 0, k, i, t, a, b, piece) for i, t in rows for k, a, b, piece in line_dedup.units(t, unit, 5)), key=lambda x: (*x[:3], x[6]))
         for _, _, k, i, _, a, b, piece in ranked:
             if piece in seen:
                 want[i, k, a, b, *seen[piece]] += 1
             seen.setdefault(piece, (i, k))
-        got = collections.Counter(tuple(r)[:6] for r in line_dedup.repeated_units(more, unit=unit).distinct().collect())
+        got = collections.Counter(tuple(r)[:6] for r in line_dedup.repeated_units(more, unit, 5).distinct().collect())
         assert got == want
         assert all("".join(m[0] for m in line_dedup.UNITS[unit].finditer(t)) == t for _, t in rows)
-    kept = line_dedup.deduplicated(more, spans="cut")
+    kept = line_dedup.deduplicated(more, min_words=5, spans="cut")
     assert kept.columns == [*more.columns, "cut"] and kept.count() == more.count()
     assert kept.where("doc_id = 21").first().text == "before it.\nshort line"
+    cut = {(r.doc_id, r.text): r.cut for r in kept.where("cut IS NOT NULL").collect()}
+    whole = {r.doc_id: r.text for r in more.collect()}
+    assert cut and all("".join(t.split()) == "".join("".join(whole[i][a:b] for a, b in zip([0, *(x.end for x in c)], [*(x.start for x in c), None], strict=True)).split()) for (i, t), c in cut.items() if i is not None and i != 2)
+    assert line_dedup.cut_out("a\nbc\nd", [(2, 5)]) == "a\nd" and line_dedup.cut_out("a bc\nd", [(2, 5)]) == "a \nd"
     assert line_dedup.repeated_units(none).count() == 0 and line_dedup.deduplicated(none).count() == 0
 
 
@@ -216,11 +229,15 @@ def brute_components(prints, near):
 def test_simhash(spark, docs, none):
     import xxhash
 
-    h = [xxhash.xxh64_intdigest(s, 42) for s in (b"a b c d", b"b c d e")]
-    assert simhash.fingerprint(b"A b\x0bC\x1c d E") != (0,) and simhash.fingerprint(b"") == (0,)
-    assert simhash.fingerprint(b"A b\tc  d e") == (h[0] & h[1],) and simhash.fingerprint(b"Only three words") == (xxhash.xxh64_intdigest(b"only three words", 42),)
+    def bits(text: str) -> int:
+        """The contract, word by word and bit by bit."""
+        found = [w for w in re.split("[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+        hashes = [xxhash.xxh64_intdigest(" ".join(found[k : k + 4]).encode(), 42) for k in range(max(1, len(found) - 3))] if found else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    assert simhash.fingerprint(b"A b\x0bC\x1c d E") != 0 and simhash.fingerprint(b"") == 0
     more = docs.unionByName(frame(spark, [(30 + i, prose(9, 400) + f" v{i}", "en", "a") for i in range(12)]))
-    rows = [(r.doc_id, simhash.fingerprint((r.text or "").encode())[0]) for r in more.select("doc_id", "text").collect()]
+    rows = [(r.doc_id, bits(r.text or "")) for r in more.select("doc_id", "text").collect()]
     label = brute_components([p for _, p in rows], lambda a, b: (a ^ b).bit_count() <= 4)
     least: dict[int, int] = {}
     for i, p in rows:
@@ -231,12 +248,18 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("distance", [4, 7, 11])
-def test_vantage_point_trees_find_every_pair(spark, distance):
+@pytest.mark.parametrize(("distance", "leaf"), [(4, 256), (4, 2), (7, 256), (7, 4), (11, 256)])
+def test_vantage_point_trees_find_every_pair(spark, distance, leaf, monkeypatch):
+    import functools
+
+    monkeypatch.setattr(simhash, "shard_links", functools.partial(simhash.shard_links, leaf=leaf))
     r = random.Random(distance)
     base = [r.getrandbits(64) for _ in range(300)]
     prints = set(base)
-    for x in base[:150]:
+    # Many that agree in the first block, which a search on it cannot part.
+    base += [base[0] & 0xFFFF | r.getrandbits(48) << 16 for _ in range(60)]
+    prints |= set(base)
+    for x in base[:150] + base[-60:]:
         y = x
         for b in r.sample(range(64), r.randint(1, 13)):
             y ^= 1 << b
@@ -245,7 +268,7 @@ def test_vantage_point_trees_find_every_pair(spark, distance):
     signed = [(p - 2**64 if p >= 2**63 else p,) for p in prints]
     distinct = spark.createDataFrame(signed, "fp long").withColumn("node", F.col("fp"))
     # Small shards make deep trees, and cells within shards.
-    links = simhash.near_links(distinct, distance, shard_rows=20, max_depth=4).collect()
+    links = simhash.near_links(distinct, distance, shard_rows=40).collect()
     found = {p: p for p in prints}
     pairs = [(x.a % 2**64, x.b % 2**64) for x in links]
     assert all((a ^ b).bit_count() <= distance * 64 for a, b in pairs)
@@ -262,11 +285,11 @@ def test_vantage_point_trees_find_every_pair(spark, distance):
 
 
 def test_near_deduplicated(spark, docs, none):
-    kept = simhash.near_deduplicated(docs)
+    kept = near_texts.near_deduplicated(docs)
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.select("doc_id").collect())
     assert kept.columns == docs.columns
     assert (False, 1) in ids and (False, 2) not in ids and (False, 3) not in ids and (True, 0) in ids
-    assert simhash.near_deduplicated(none).count() == 0
+    assert near_texts.near_deduplicated(none).count() == 0
 
 
 def test_connected_components(spark):
@@ -375,11 +398,17 @@ def test_url_filter(spark):
     assert url_filter.filtered(pages.limit(0)).count() == 0
 
 
+def shingle_sets(text: str) -> frozenset:
+    found = [w for w in re.split("[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+    return frozenset(" ".join(found[k : k + 5]) for k in range(max(1, len(found) - 4))) if found else frozenset()
+
+
 @pytest.mark.parametrize("cell_rows", [512, 4])
 def test_near_duplicates_share_eight_tenths_of_their_shingles(spark, cell_rows, monkeypatch):
     import functools
 
-    monkeypatch.setattr(simhash, "similar_links", functools.partial(simhash.similar_links, cell_rows=cell_rows))
+    monkeypatch.setattr(near_texts, "alike_links", functools.partial(near_texts.alike_links, cell_rows=cell_rows))
+    monkeypatch.setattr(near_texts, "candidate_links", functools.partial(near_texts.candidate_links, cell_rows=cell_rows))
     r = random.Random(8)
     rows = []
     for k in range(40):  # copies with more and more words replaced, on both sides of 0.8
@@ -391,13 +420,39 @@ def test_near_duplicates_share_eight_tenths_of_their_shingles(spark, cell_rows,
                 other[i] = f"new{r.random()}"
             rows.append(" ".join(other))
     rows += ["again and again the same few words " * 40 + prose(s, 12) for s in (1, 2, 3)]  # repeats rule the bits, not the set
-    sets = {i: frozenset(simhash.shingles(t.encode(), 5)) for i, t in enumerate(rows)}
+    for k in range(60):  # short ones, which are alike with one word more at one end
+        own = prose(3000 + k, 8 + k % 30)
+        rows += [own, own + " more", "else " + own + " more"]
+    sets = {i: shingle_sets(t) for i, t in enumerate(rows)}
     label = brute_components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    found = simhash.near_duplicates(docs, simhash.NEAR_WORDS, simhash.NEAR, simhash.NEAR_TOTAL, similar=0.8)
-    got = {x.doc_id: x.component_id for x in found.collect()}
+    got = {x.doc_id: x.component_id for x in near_texts.similar_texts(docs).collect()}
     assert got == label
-    assert {x.doc_id for x in simhash.near_deduplicated(docs).select("doc_id").collect()} == set(label.values())
+    assert {x.doc_id for x in near_texts.near_deduplicated(docs).select("doc_id").collect()} == set(label.values())
+
+
+def test_classes_find_pairs_at_the_threshold():
+    """Of pairs of sets that share just 0.8, hardly any has no class in common, whatever their size."""
+    rng = np.random.default_rng(5)
+    for n in (5, 6, 9, 14, 23, 24, 40, 47, 48, 95, 96, 191, 400, 1500):
+        lost = 0
+        for _ in range(300):
+            every = rng.integers(0, 2**63, n, np.uint64)
+            gone = int(n * 0.2 + 1e-9)
+            cut = int(rng.integers(0, gone + 1))
+            a, b = np.unique(every[cut:]), np.unique(every[: n - (gone - cut)])
+            x, y = near_texts.class_keys([a, b], 0.8)
+            lost += not np.intersect1d(x, y).size
+        assert lost <= 3, (n, lost)
+
+
+def test_majorities_of_runs():
+    rng = np.random.default_rng(1)
+    size = np.array([1, 2, 3, 70_000, 1, 140_000, 5])
+    values = rng.integers(0, 2**64, size.sum(), np.uint64)
+    begin = np.cumsum(size) - size
+    got = near_texts.majorities(values, begin, size)
+    assert got.tolist() == [simhash.majority(values[a : a + n]) for a, n in zip(begin, size, strict=True)]
 
 
 def test_short_units_are_joined(spark):
@@ -405,7 +460,7 @@ def test_short_units_are_joined(spark):
     chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u3002"
     rows = [(1, "One own start. " + passage + " Own end."), (2, "Other. " + passage + " And the end."), (3, passage), (4, passage), (5, "Yes. No."), (6, "Yes. No."), (7, chinese), (8, "\u524d\u3002" + chinese)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs, min_words=5).collect()}
     assert kept[1] == rows[0][1] and kept[2] == "Other. And the end." and kept[3].strip() == kept[4].strip() == ""
     assert kept[5] == kept[6] == "Yes. No." and kept[7] == chinese and kept[8] == "\u524d\u3002"
 
@@ -415,6 +470,11 @@ def test_joined_units_cover_every_passage_of_enough_words():
     for _ in range(200):
         text = "".join(" ".join(r.choice("abc") for _ in range(r.randint(0, 7))) + r.choice([". ", "!", "\n", "\n\n"]) for _ in range(r.randint(1, 12)))
         found = list(line_dedup.units(text, "sentence", 5))
+        # The shortest run from each unit on and up to each unit, tried one by one.
+        parts = [(m.start(), m.end(), len(m[0].split())) for m in line_dedup.UNITS["sentence"].finditer(text) if m[0].strip()]
+        long = lambda a, b: sum(n for *_, n in parts[a:b]) >= 5
+        ends = {(a, min(b for b in range(len(parts) + 1) if long(a, b))) for a in range(len(parts)) if long(a, len(parts))} | {(max(a for a in range(b) if long(a, b)), b) for b in range(1, len(parts) + 1) if long(0, b)}
+        assert {(a, b) for _, a, b, _ in found} == {(parts[a][0], parts[b - 1][1]) for a, b in ends}
         assert all(x[1] <= y[1] and x[2] <= y[2] for x, y in zip(found, found[1:]))
         covered = {i for _, a, b, _ in found for i in range(a, b)}
         enough = sum(line_dedup.word_count(line_dedup.normalised(m[0])) for m in line_dedup.UNITS["sentence"].finditer(text)) >= 5

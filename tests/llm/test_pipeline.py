@@ -4,8 +4,8 @@ import collections
 
 import pytest
 
-from gridloom.llm import decontamination, language_id, line_dedup, simhash
-from test_operators import brute_components, prose  # noqa: E402
+from gridloom.llm import decontamination, language_id, line_dedup
+from test_operators import brute_components, prose, shingle_sets  # noqa: E402
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -28,22 +28,29 @@ def test_pipeline(spark, tmp_path):
     model = language_id.train(language_id.eligible(docs))
     names, scores = model.predict([t for _, t, _ in rows])
     rows = [r for r, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= 0.5]
-    prints = [simhash.fingerprint(t.encode(), simhash.NEAR_WORDS, True) for _, t, _ in rows]
-    apart = lambda a, b: [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-    near = lambda a, b: min(apart(a, b)) <= simhash.NEAR and sum(apart(a, b)) <= simhash.NEAR_TOTAL
-    label = brute_components(prints, near)
+    sets = [shingle_sets(t) for _, t, _ in rows]
+    label = brute_components(list(range(len(rows))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     first: dict = {}
-    for (i, _, _), p in zip(rows, prints, strict=True):
-        first[label[p]] = min(first.get(label[p], i), i)
-    rows = [r for r, p in zip(rows, prints, strict=True) if first[label[p]] == r[0]]
+    for k, (i, _, _) in enumerate(rows):
+        first[label[k]] = min(first.get(label[k], i), i)
+    rows = [r for k, r in enumerate(rows) if first[label[k]] == r[0]]
     seen, cut = set(), []
     for i, t, s in sorted(rows):
-        out, at = "", 0
+        gone = [False] * len(t)
         for _, a, b, piece in line_dedup.units(t, "sentence", line_dedup.MIN_WORDS):
             if piece in seen:
-                out, at = out + t[at:a], b
+                gone[a:b] = [True] * (b - a)
             seen.add(piece)
-        cut.append((i, out + t[at:], s))
+        out = ""
+        for k, c in enumerate(t):
+            if not gone[k]:
+                out += c
+            elif c == "\n" and (k + 1 == len(t) or not gone[k + 1]):  # a break stays, unless a whole line went
+                begin = k
+                while begin and gone[begin - 1]:
+                    begin -= 1
+                out += "\n" if begin and t[begin - 1] != "\n" else ""
+        cut.append((i, out, s))
     rows = [r for r in cut if r[1].strip(" ")]
     every = [(j, decontamination.halves(x)) for j, x in bench]
 
