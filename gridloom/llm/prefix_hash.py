@@ -9,11 +9,13 @@ of its fixed-length spans, whose hashes all come from the same prefix array.
 from __future__ import annotations
 
 import hashlib
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts, table
@@ -184,39 +186,90 @@ def edited(doc: Document, following: Document) -> tuple[str, str]:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix_next long"
 
 
+#: Where a document stands: nulls last, ids descending, then by a hash of the text.
+KEY, NAMES = "none boolean, below long, hash long", ["none", "below", "hash"]
+#: Sampled keys for each range, which sets how even the ranges are.
+SAMPLED = 20
+
+
+def _key() -> Column:
+    doc_id = F.col("doc_id")
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(F.bitwise_not(doc_id), F.lit(0)).alias("below"), F.xxhash64("text").alias("hash"))
+
+
+def _bounds(rows: DataFrame, n: int) -> list[tuple]:
+    """Keys of rows at which ranges start, at most ``n - 1``, ascending; a key of very many rows is there several times."""
+    wanted = SAMPLED * n
+    drawn = rows.sample(min(1.0, 2 * wanted / max(1, rows.count())), 42).select("key.*").limit(4 * wanted).collect()
+    found = sorted(map(tuple, drawn))
+    return [found[k * len(found) // n] for k in range(1, n)] if found else []
+
+
+def _place(bounds: list[tuple]) -> Column:
+    """The number of a key's range: how many bounds are not above it."""
+    if not bounds:
+        return F.lit(0)
+    # One constant, however many bounds, and a binary search in it.
+    listed = F.from_json(F.lit(json.dumps([dict(zip(NAMES, x, strict=True)) for x in bounds])), "array<struct<none: boolean, below: bigint, hash: bigint>>")
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        goes, open_ = F.get(listed, middle) <= F.col("key"), s["low"] < s["high"]
+        return F.struct(F.when(open_ & goes, middle + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~goes, middle).otherwise(s["high"]).alias("high"))
+
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), begin, halve)["low"]
+
+
+#: Rows that one row stands for at most while equal rows are written out.
+COPIES = 10_000
+
+
 def document_fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Fingerprints of every text, of its edited text, and its likeness to the next one.
 
     ``next`` is the following document in descending doc_id, and the first for
-    the last. Documents are cut into ranges of doc_id by quantiles, and each
-    range is one sorted partition: texts are shuffled once. A range's last row
-    needs the first of the range below, so each range's first row is also sent
-    to the range above; those rows are a bounded list, one for each range, and
-    found by an aggregate. No task sees more than its range.
+    the last. Documents are dealt into ranges that start at the keys of sampled
+    documents, and each range is one sorted partition: texts are shuffled once.
+    A range's last row needs the row that the next range starts at, which is
+    known beforehand, so it is sent there too; the last range gets the first
+    row of all. Of equal rows that are as many as a range or more, one is
+    laid and stands for the others, which all follow each other. No task sees more than its range, and what the driver holds are ``SAMPLED`` keys a range.
 
     Null texts count as empty, with an empty sketch; equal texts have equal
-    fingerprints. Rows of equal doc_id are ordered by their texts; null doc_ids
+    fingerprints. Rows of equal doc_id are ordered by the hashes of their texts; null doc_ids
     come last; repeated rows get a row each; a single document follows itself;
     an empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
     n = partitions or parts(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = rows.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (20 * n)) if n > 1 else []
-    cuts = sorted({int(x) for x in cuts or []})
-    # Range 0 holds the largest ids; nulls are below all.
-    place = F.coalesce(F.lit(len(cuts)) - F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, c: a + (F.col("doc_id") > c).cast("int")), F.lit(len(cuts))) if cuts else F.lit(0)
-    rows = rows.withColumn("place", place.cast("int"))
-    found = rows.groupBy("place").agg(F.max("doc_id").alias("top")).collect()
-    tops = {r.place: r.top for r in found}
-    order = sorted(tops)
-    above = {p: order[i - 1] for i, p in enumerate(order)}  # the first range is needed by the last
-    ids = [x for x in tops.values() if x is not None]
-    lent = rows.where(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if None in tops.values() else F.lit(False)))
-    first = lent.groupBy("place", "doc_id").agg(F.min("text").alias("text"))  # of a tie, the one that sorts first
-    goes = F.create_map(*[F.lit(x) for p in order for x in (p, above[p])]) if order else F.create_map(F.lit(0), F.lit(0))
-    sent = rows.withColumn("guest", F.lit(False)).unionByName(first.select("doc_id", "text", goes[F.col("place")].alias("place"), F.lit(True).alias("guest")))
-    laid = sent.repartitionById(max(1, len(cuts) + 1), "place").sortWithinPartitions(F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _key())
+    drawn = _bounds(rows, n) if n > 1 else []
+    bounds = sorted(set(drawn))
+    hot = sorted(x for x, times in Counter(drawn).items() if times > 1)
+    flat = rows.select("doc_id", "text", "key.*")
+
+    def once(keys: list[tuple], *more: Column) -> DataFrame:
+        """One row of each of some keys, few at most, combined before the shuffle."""
+        listed = F.broadcast(spark.createDataFrame(keys, KEY))
+        return flat.join(listed, NAMES).groupBy(*NAMES).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), *more)
+
+    copies = None
+    if hot:
+        one = once(hot, (F.count("*") - 1).alias("times"))
+        copies = one.where("times > 0").select("doc_id", "text", "times")
+        flat = flat.join(F.broadcast(spark.createDataFrame(hot, KEY)), NAMES, "left_anti").unionByName(one.select("doc_id", "text", *NAMES))
+    least = rows.agg(F.min("key").alias("key")).first()["key"]
+    # Each range's guest is a row with the key that the next one starts at; a bounded list of keys.
+    guests = [(*x, k) for k, x in enumerate(bounds)] + ([(*least, len(bounds))] if least is not None else [])
+    first = once(sorted({x[:3] for x in guests})).join(F.broadcast(spark.createDataFrame(guests, f"{KEY}, place int")), NAMES)
+    key = F.struct(*NAMES).alias("key")
+    sent = flat.select("doc_id", "text", key).withColumn("place", _place(bounds)).withColumn("guest", F.lit(False)).unionByName(first.select("doc_id", "text", key, "place", F.lit(True).alias("guest")))
+    laid = sent.repartitionById(len(bounds) + 1, "place").sortWithinPartitions("guest", "key")
+
+    def row_of(doc_id: int | None, doc: Document, after: Document) -> tuple:
+        sha, changed = edited(doc, after)
+        return doc_id, doc.codes.size, sha, doc.print, changed, likeness(doc.print, changed), likeness(doc.print, after.print), doc.prefix.extension(0, after.prefix, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -230,8 +283,7 @@ def document_fingerprints(docs: DataFrame, partitions: int | None = None) -> Dat
         for doc_id, text, guest in rows_of():
             doc = Document(text)
             if held is not None:
-                sha, after = edited(held[1], doc)
-                out.append((held[0], held[1].codes.size, sha, held[1].print, after, likeness(held[1].print, after), likeness(held[1].print, doc.print), held[1].prefix.extension(0, doc.prefix, 0)))
+                out.append(row_of(*held, doc))
                 if len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
                     out = []
@@ -240,7 +292,22 @@ def document_fingerprints(docs: DataFrame, partitions: int | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
 
     kind = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_prefix_next", pa.int64())])
-    return laid.select("doc_id", "text", "guest").mapInArrow(run, OUT)
+    found = laid.select("doc_id", "text", "guest").mapInArrow(run, OUT)
+    if copies is None:
+        return found
+
+    def follow_each_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [row_of(i, doc, doc) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for doc in (Document(t),)]
+            if own:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*own, strict=True), kind.types, strict=True)), batch.column(2)], names=[*kind.names, "times"])
+
+    equal = copies.mapInArrow(follow_each_other, f"{OUT}, times long")
+    # Written out by many tasks, a part of the rows each.
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))).alias("part")
+    dealt = equal.select("*", part).repartition("doc_id", "fingerprint", "part")
+    some = F.least(F.lit(COPIES), F.col("times") - F.col("part") * COPIES)
+    return found.unionByName(dealt.select(*kind.names, F.explode(F.sequence(F.lit(1).cast("long"), some)).alias("copy")).drop("copy"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
