@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, table
+from .common import shared_dir, shuffles_removed, staged, table
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 #: Characters encoded at once: the libraries take some 130 bytes of memory for each.
@@ -157,7 +157,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             n = model.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
-    misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+    with shuffles_removed(spark):
+        misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     stored = staged(stored, "counts")  # a plain table, so that the join below can split a digest that very many rows share
     keyed = base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest)

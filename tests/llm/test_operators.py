@@ -14,7 +14,12 @@ from gridloom.llm import decontamination, language_id, line_dedup, mixing, near_
 from gridloom.llm.graph import connected_components
 
 #: Names that operators use inside.
-CLASHES = ("score", "fingerprint", "fp", "size", "taken", "key", "bucket", "group", "spans", "digest", "place", "guest", "n", "value", "component", "label", "anchor")
+CLASHES = tuple(
+    "score fingerprint fp size taken key bucket group spans digest place guest n value component label anchor in_0 in_1 own_id own_key lost_id lost_key list_id list_key text_key node row "
+    "none below hash turn earlier inside offset plan target source_size keep_0 keep_1 draw kind low high kinds x first last unit_no unit_start unit_end h1 h2 start number opens removed whole "
+    "classes least stray family cells sub hashes first_id component_id fp0 tokenizer n_tokens n_bytes over_limit range_no caps ws cap w whole_text lang_pred item_id question_overlap "
+    "doc text1 shard home block until spot core hull alone s_id s_key r_id r_key ranges mix_taken".split()
+)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
@@ -132,21 +137,51 @@ def test_prefix_hashes_answer_spans():
         assert p.extension(i, q, j) == k
 
 
+def plain_print(text: str) -> str:
+    """The fingerprint by its definition, span by span, without prefix sums."""
+    codes = [ord(c) + 1 for c in text]
+    (p, b), (q, c) = zip(prefix_hash.PRIMES, prefix_hash.BASES, strict=True)
+    whole = "".join(f"{sum(x * pow(base, k, prime) for k, x in enumerate(codes)) % prime:08x}" for prime, base in ((p, b), (q, c)))
+    if len(codes) >= 12:
+        hashes = {sum(x * pow(b, k, p) for k, x in enumerate(codes[i : i + 12])) % p for i in range(len(codes) - 11)}
+    else:
+        raw = b"".join((x - 1).to_bytes(4, "little") for x in codes)
+        hashes = {int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest(), "big")} if codes else set()
+    mixed = []
+    for h in hashes:
+        x = h * 0x9E3779B97F4A7C15 % 2**64
+        mixed.append((x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64)
+    return f"{len(codes):x}-{whole}-" + "".join(f"{x >> 32:08x}" for x in sorted(mixed)[:64])
+
+
+def plain_likeness(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    x, y = ({s[k : k + 8] for k in range(0, len(s), 8)} for s in (a.rsplit("-", 1)[1], b.rsplit("-", 1)[1]))
+    least = sorted(x | y)[:64]
+    return sum(s in x and s in y for s in least) / len(least) if x and y else 0.0
+
+
 def test_fingerprints(spark, docs, none):
-    rows = sorted(texts(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    want = collections.Counter()
-    for k, (i, t) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
-        h = len(t) // 2
-        e = t[: len(t) - h] + after[:h]
-        a, b, c = (prefix_hash.Document(x).print for x in (t, e, after))
-        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, prefix_hash.likeness(a, b), prefix_hash.likeness(a, c)] += 1
-    for partitions in (1, 3, 8):
-        got = prefix_hash.document_fingerprints(docs, partitions).drop("common_prefix_next").collect()
-        assert collections.Counter(map(tuple, got)) == want
+    same = [(2, ROWS[1][1], "en", "a")] * 30 + [(None, "the same text without an id, again and again", "en", "a")] * 90 + [(7, "another text of that id", "en", "a"), (7, "ab", "fr", "a")]
+    rare = docs.where("doc_id <> 8 OR doc_id IS NULL")
+    for table in (rare, rare.unionByName(frame(spark, same))):
+        keyed = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+        rows = [(r.doc_id, r.text) for r in sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))]
+        want = collections.Counter()
+        for k, (i, t) in enumerate(rows):
+            after = rows[(k + 1) % len(rows)][1]
+            h = len(t) // 2
+            e = t[: len(t) - h] + after[:h]
+            a, b, c = map(plain_print, (t, e, after))
+            want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, plain_likeness(a, b), plain_likeness(a, c)] += 1
+        for partitions in (1, 3, 8, 40):
+            got = prefix_hash.document_fingerprints(table, partitions).drop("common_prefix_next").collect()
+            assert collections.Counter(map(tuple, got)) == want
     assert prefix_hash.document_fingerprints(none, 3).count() == 0
     one = prefix_hash.document_fingerprints(docs.where("doc_id = 1"), 3).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+    assert prefix_hash.Document("word " * 60_000).print == prefix_hash.Document("word " * 60_000).print
 
 
 def edited(text: str, seed: int) -> str:
@@ -479,3 +514,48 @@ def test_joined_units_cover_every_passage_of_enough_words():
         covered = {i for _, a, b, _ in found for i in range(a, b)}
         enough = sum(line_dedup.word_count(line_dedup.normalised(m[0])) for m in line_dedup.UNITS["sentence"].finditer(text)) >= 5
         assert (not enough) or all(i in covered for i, c in enumerate(text) if c in "abc")
+
+
+def test_very_long_texts(spark):
+    """One text of each kind that made an operator fail or fill its memory."""
+    P = pytest.importorskip("public_tokenizers")
+    words = prose(71, 4000)
+    many = " ".join(words.split()[k % 4000][::-1] if k % 7 else f"w{k}" for k in range(400_000))
+    every = many.split()
+    texts = {1: "=" * 3_000_000, 2: " " * 2_000_000 + "x", 3: many, 4: "ab. " * 500_000, 5: "\n" * 1_000_000, 6: "one line\n" * 200_000}
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").repartition(3)
+    items = spark.createDataFrame([(k, " ".join(every[k * 1900 : k * 1900 + 45])) for k in range(200)] + [(900, prose(72, 40))], "item_id long, text string")
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert found[1].n_removed == 3_000_000 and found[1].n_spans == 1 and found[4].n_removed == 2_000_000 and found[5].n_removed == 1_000_000 and found[2].n_removed == 2_000_000
+    assert len(found[3].starts) < 1000
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, P.path("byte_bpe_50k.json")).where("doc_id = 2").collect()} == {2: 2_000_000}
+    assert {r.doc_id for r in decontamination.contaminated(docs, items).collect()} == {3}
+    assert decontamination.contaminated(docs, items).count() == 200
+    assert language_id.identified(docs, language_id.train(docs)).count() == 6
+    model = quality.train(docs, spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int"))
+    assert all(0 <= r.score <= 1 for r in quality.scored(docs, model).collect())
+    assert prefix_hash.document_fingerprints(docs, 3).count() == 6
+    kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    assert len(kept[4]) < 1000 and len(kept[6]) < 1000 and kept[1] == texts[1] and kept[5] == texts[5]
+    assert simhash.near_duplicates(docs).count() == 6 and near_texts.near_deduplicated(docs).count() == 6
+    assert sum(r.taken for r in mixing.mix(docs).collect()) == round(1.5 * sum(len(t.split()) for t in texts.values()))
+
+
+def test_one_id_of_very_many_rows(spark):
+    """What the fits collect is bounded by rows, not ids; a hot or null id neither fills the sample nor is all of it."""
+    rows = [(5, "again and again the same row", "en", "s")] * 3000 + [(None, f"no id {prose(k, 6)}", "en" if k % 2 else "de", "s") for k in range(400)] + [(1000 + k, prose(k, 12), "en" if k % 2 else "de", "s") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(5, 1)] + [(1000 + k, 1) for k in range(0, 400, 2)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit_pu
+    quality.fit_pu = lambda xp, xu, *a: seen.append((len(xp), len(xu))) or fit(xp, xu, *a)
+    try:
+        quality.train(docs, labels, positives=50, unlabelled=70)
+        quality.train(docs, labels, positives=5000, unlabelled=5000)
+    finally:
+        quality.fit_pu = fit
+    assert seen == [(50, 70), (201, 200)]
+    assert len(language_id.train(docs, sample_rows=20).languages) == 2
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == len(rows) and sum(r.taken for r in taken) == round(1.5 * sum(len(t.split()) for _, t, _, _ in rows))
+    assert len({r.taken for r in taken if r.doc_id == 5}) <= 3

@@ -5,7 +5,8 @@ import collections
 import pytest
 
 from gridloom.llm import decontamination, language_id, line_dedup
-from test_operators import brute_components, prose, shingle_sets  # noqa: E402
+from pyspark.sql import functions as F
+from test_operators import CLASHES, brute_components, prose, shingle_sets  # noqa: E402
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -77,8 +78,19 @@ def test_pipeline(spark, tmp_path):
 
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     docs, _ = build(spark, str(tmp_path))
+    text = prose(4321, 300)
+    odd = [(None, text, None, None, None), (None, text, None, None, None), (None, None, "en", "s1", 3), (500, "", None, "s1", None), (501, "a" * 1_500_000, "en", "s1", 1), (502, ". " * 400_000, "en", "s1", 1), (503, "word " * 300_000, "en", None, 1), (7, text, "en", "s1", 1), (504, "\ud55c\uad6d\uc5b4 " * 50, "ko", "", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    docs = docs.select("*", *[F.lit(f"{c}!").alias(c) for c in CLASHES])
     empty = docs.limit(0)
-    for name, stage in pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    for name, stage in pipeline.STAGES:
+        kept = stage(spark, docs, str(tmp_path))
+        own = kept.columns[: len(docs.columns)]
+        assert own == docs.columns and (name == "source_mixing" or kept.columns == own), name
+        rows = kept.collect()
+        assert len(rows) > 40 and all(r[c] == f"{c}!" for r in rows for c in CLASHES), name
+        if name != "substring_dedup":
+            texts = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+            assert all((r.doc_id, r.text) in texts for r in rows), name
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
-    assert pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+    assert kept.columns[len(docs.columns) :] == ["mix_size", "mix_source_size", "mix_target", "mix_mix_taken"]
