@@ -1,118 +1,45 @@
-"""A data source of chunks: filters on positions reach it, and chunks outside their box are neither listed nor read."""
+"""Tensors that are read chunk by chunk; a box of positions is turned into the chunks that it meets, and no others are read.
+
+A Python data source with pushed filters would say the same to the optimizer.
+Spark 4.1 keeps the last pushed filters with the relation, though, and a later
+query without filters on the same frame then reads the former box; so boxes
+are given by the tensor's own operations (``Source.narrow``) instead.
+"""
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import DataFrame, SparkSession
 
 from ..meta import ChunkInfo, DType, TensorMeta
 from ..tensor import Tensor
 from .memory import rows, schema
 
-NAME = "gridloom_chunks"
 #: Chunks that one task reads at most.
 CHUNKS_A_TASK = 256
-_PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
-
-
-@dataclass(frozen=True)
-class Spec:
-    """What is read: the tensor's shape and type, how to read a chunk, how many tasks are wanted, and whether one task has to read all in order."""
-
-    meta: TensorMeta
-    dtype: DType
-    read: Callable[[ChunkInfo], np.ndarray]
-    tasks: int
-    in_order: bool = False
-
-
-@dataclass
-class Part(InputPartition):
-    """A run of the chunks in the box, by their numbers there."""
-
-    first: int
-    end: int
-
-
-class ChunkReader(DataSourceReader):
-    def __init__(self, spec: Spec):
-        self.spec = spec
-        self.low, self.high = [0] * spec.meta.ndim, [d - 1 for d in spec.meta.dims]
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Narrows the box; every filter is left for Spark to apply to the rows."""
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, In)) and f.attribute[0][:1] == "p" and f.attribute[0][1:].isdigit():
-                self.narrow(int(f.attribute[0][1:]), f)
-            yield f
 
-    def narrow(self, axis: int, f: Filter) -> None:
-        low, high = self.low[axis], self.high[axis]
-        if isinstance(f, In):
-            values = [v for v in f.value if v is not None]
-            low, high = max(low, min(values, default=high + 1)), min(high, max(values, default=low - 1))
-        elif f.value is not None:
-            if isinstance(f, (EqualTo, GreaterThanOrEqual)):
-                low = max(low, f.value)
-            if isinstance(f, (EqualTo, LessThanOrEqual)):
-                high = min(high, f.value)
-            if isinstance(f, GreaterThan):
-                low = max(low, f.value + 1)
-            if isinstance(f, LessThan):
-                high = min(high, f.value - 1)
-        self.low[axis], self.high[axis] = low, high
 
-    def grid(self) -> tuple[list[int], list[int]]:
-        """The first chunk of the box, and how many there are, for each axis."""
-        first = [a // c for a, c in zip(self.low, self.spec.meta.chunk, strict=True)]
-        return first, [max(0, b // c - f + 1) if b >= a else 0 for a, b, c, f in zip(self.low, self.high, self.spec.meta.chunk, first, strict=True)]
-
-    def partitions(self) -> list[Part]:
-        n = prod(self.grid()[1])
-        step = max(1, n) if self.spec.in_order else min(CHUNKS_A_TASK, max(1, -(-n // self.spec.tasks)))
-        return [Part(a, min(a + step, n)) for a in range(0, n, step)] or [Part(0, 0)]
-
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        first, count = self.grid()
-        meta = self.spec.meta
-        for k in range(partition.first, partition.end):
-            at = np.unravel_index(k, count) if count else ()
-            info = meta.chunk_info(meta.chunk_index(tuple(int(f + i) for f, i in zip(first, at, strict=True))))
-            yield rows(info.begin, self.spec.read(info), self.spec.dtype)
-
-
-class ChunkSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return NAME
-
-    def spec(self) -> Spec:
-        return cloudpickle.loads(base64.b64decode(self.options["spec"]))
+def from_chunks(meta: TensorMeta, dtype: DType, read: Callable[[ChunkInfo], np.ndarray], in_order: bool = False) -> Tensor:
+    """A tensor whose chunks are read by tasks, those only that a query's box needs; with ``in_order`` one task reads them one after another."""
+    spark = SparkSession.active()
 
-    def schema(self) -> str:
-        spec = self.spec()
-        return schema(spec.meta.ndim, spec.dtype)
+    def frame(low: list[int], high: list[int]) -> DataFrame:
+        first = [a // c for a, c in zip(low, meta.chunk, strict=True)]
+        count = [b // c - f + 1 for b, c, f in zip(high, meta.chunk, first, strict=True)]
+        n = prod(count)
+        tasks = 1 if in_order else max(min(n, 4 * spark.sparkContext.defaultParallelism), -(-n // CHUNKS_A_TASK))
 
-    def reader(self, schema) -> ChunkReader:
-        return ChunkReader(self.spec())
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    at = np.unravel_index(k, count) if count else ()
+                    info = meta.chunk_info(meta.chunk_index(tuple(int(f + i) for f, i in zip(first, at, strict=True))))
+                    yield rows(info.begin, read(info), dtype)
 
+        return spark.range(0, n, 1, tasks).mapInArrow(run, schema(meta.ndim, dtype))
 
-def from_chunks(meta: TensorMeta, dtype: DType, read: Callable[[ChunkInfo], np.ndarray], in_order: bool = False) -> Tensor:
-    """A tensor whose chunks are read by tasks, those only that a query's filters on positions leave.
-
-    Turns on Spark's filter push-down to Python sources for the session.
-    """
-    spark = SparkSession.active()
-    spark.conf.set(_PUSHDOWN, "true")
-    spark.dataSource.register(ChunkSource)
-    spec = Spec(meta, dtype, read, 4 * spark.sparkContext.defaultParallelism, in_order)
-    frame = spark.read.format(NAME).option("spec", base64.b64encode(cloudpickle.dumps(spec)).decode()).load()
-    return Tensor(meta, dtype, frame)
+    return Tensor(meta, dtype, frame([0] * meta.ndim, [d - 1 for d in meta.dims]), narrow=frame)

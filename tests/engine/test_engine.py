@@ -378,3 +378,97 @@ def test_splitter_and_state():
     moved = state.zoomed(3.0, (5.0, 5.0))
     before, after = (x.projection(M.TensorMeta((9, 9, 9)), M.Embedding((1.0,) * 3), (10, 10)) for x in (state, moved))
     assert np.allclose(render.position_of(before, (4.5, 4.5)), render.position_of(after, (4.5, 4.5)))
+
+
+def test_only_the_chunks_of_a_box_are_read(spark, tmp_path):
+    a = np.arange(8 * 8 * 8, dtype=np.float32).reshape(8, 8, 8)
+    path = str(tmp_path / "z.zarr")
+    save_zarr(memory.from_numpy(a, chunk=(2, 2, 2)).embedded(M.Embedding((1.0,) * 3)), path)
+    for k in range(64):
+        i, j, m = k // 16, k // 4 % 4, k % 4
+        if (i, j, m) not in {(0, 0, 0), (1, 2, 3)}:
+            with open(f"{path}/array/c/{i}/{j}/{m}", "wb") as f:
+                f.write(b"no chunk")
+    t = files.open_zarr(path).inner
+    run = RunTime()
+    assert (run.resolve(t, [0])[0] == a[:2, :2, :2]).all() and (run.resolve((t + 1.0) * 2.0, [(1, 2, 3)])[0] == (a[2:4, 4:6, 6:] + 1) * 2).all()
+    assert element(t, (3, 5, 7)) == a[3, 5, 7]
+    assert {r.value for r in t[2:4, 4:6, 6:][1:, :, 1].df.collect()} == set(a[3, 4:6, 7].tolist())
+    with pytest.raises(Exception, match="zstd|Zstd|ZSTD"):
+        t.df.count()
+    both = (t[:2, :2, :2] + t.slice((2, 4), (4, 6), (6, 8))).df
+    assert {r.value for r in both.collect()} == set((a[:2, :2, :2] + a[2:4, 4:6, 6:]).ravel().tolist())
+
+
+def test_boxes_become_key_ranges(spark, tmp_path):
+    rows = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2.0).alias("v"))
+    rows.repartitionByRange(6, "k").sortWithinPartitions("k").write.parquet(str(tmp_path / "t"))
+    t = memory.from_table(spark.read.parquet(str(tmp_path / "t")), "v", ["k div 60", "(k div 10) % 6", "k % 10"], M.TensorMeta((10, 6, 10), (4, 4, 4)), key="k")
+    box = ((t * 3.0).slice((2, 5), (1, 4), None)).slice((1, 2), None, (3, 5))
+    assert "GreaterThanOrEqual(k,193), LessThanOrEqual(k,214)" in box.df._jdf.queryExecution().toString()
+    assert sorted(r.value for r in box.df.collect()) == [6.0 * (180 + y * 10 + x) for y in (1, 2, 3) for x in (3, 4)]
+
+
+def test_fractals_by_their_definition():
+    def escape(x, y):
+        cx, cy = (x - 0.8) * 5, (y - 0.5) * 5
+        vx, vy, i = cx, cy, 0
+        while i < 50 and (vx * vx + vy * vy) ** 0.5 <= 5:
+            vx, vy, i = vx * vx - vy * vy + cx, 2 * vx * vy + cy, i + 1
+        return max(i - 2, 0) / 48
+
+    y, x = np.meshgrid(np.arange(20) / 20, np.arange(30) / 30, indexing="ij")
+    got = memory._mandelbrot(y.ravel(), x.ravel())
+    assert got.tolist() == [escape(b, a) for a, b in zip(y.ravel().tolist(), x.ravel().tolist(), strict=True)] and len(set(got.tolist())) > 4
+    bulb = memory._mandelbulb(np.array([0.5, 0.0, 0.5]), np.array([0.5, 0.0, 0.4]), np.array([0.5, 0.0, 0.55]))
+    assert bulb[0] == 1.0 and bulb[1] < 1.0 and 0 <= bulb.min()
+
+
+def test_camera_moves():
+    start = render.Trackball((6.0, 2.0, 3.0), (1.0, 2.0, 3.0), (0.0, 1.0, 0.0))
+    nearer = start.move_inout(2.0)
+    assert np.allclose(nearer.eye, (5.0, 2.0, 3.0)) and np.allclose(start.move_inout(-1.0).eye, (6.5, 2.0, 3.0))
+    turned = start.pan_around((30, -40))
+    assert turned.distance() == pytest.approx(5.0)
+    look = np.subtract(turned.center, turned.eye)
+    assert np.dot(look, turned.up) == pytest.approx(0.0, abs=1e-9) and np.linalg.norm(turned.up) == pytest.approx(1.0)
+    forward, right, up = start.basis()
+    aim = look / 5
+    assert np.allclose([aim @ up / (aim @ forward), aim @ right / (aim @ forward)], [30 * 0.005, -40 * 0.005])
+
+
+def test_element_under_a_pixel():
+    meta = M.TensorMeta((10, 20))
+    assert render.element_under(np.eye(3), (3.4, 7.6), meta) == (3, 8) and render.element_under(np.eye(3), (2.5, 3.5), meta) == (2, 4)
+    assert render.element_under(np.eye(3), (-0.6, 3), meta) is None and render.element_under(np.eye(3), (3, 19.6), meta) is None
+
+
+def test_region_weights_element_by_element():
+    """Against boxes gathered one by one."""
+    r = np.random.default_rng(9)
+    a = np.round(r.random((9, 11)), 1)
+    dims, e = a.shape, 1
+    offsets = weights.centre_offsets(a, (0, 0), dims, (e, e))
+    for measure in (weights.bhattacharyya, weights.ttest):
+        got = weights.region_weights(a, (0, 0), dims, (e, e), (slice(0, 9), slice(0, 11)), 1e-5, measure)
+        for p in np.ndindex(dims):
+            for axis in range(2):
+                q = tuple(x + (i == axis) for i, x in enumerate(p))
+                if q[axis] >= dims[axis]:
+                    assert np.isnan(got[(*p, axis)])
+                    continue
+                centres = [np.array(x) + (0 if 127 in offsets[x] else offsets[x]) for x in (p, q)]
+                boxes = [{(y, x) for y in range(max(0, c[0] - e), min(dims[0], c[0] + e + 1)) for x in range(max(0, c[1] - e), min(dims[1], c[1] + e + 1))} for c in centres]
+                both = boxes[0] & boxes[1]
+                middle = np.mean([min(both), max(both)], axis=0) if both else None
+                own = []
+                for k, box in enumerate(boxes):
+                    mine = box - both
+                    for x in both:
+                        side = np.dot(np.array(x) - middle, centres[1] - centres[0]) or (np.array(x) - middle)[axis]
+                        if side and (side < 0) == (k == 0):
+                            mine = mine | {x}
+                    own.append(np.array([a[x] for x in sorted(mine)]))
+                s = [(v.mean(), v.var(ddof=1) if v.size > 1 else 0.0, v.size) if v.size else (0.0, 0.0, 1) for v in own]
+                want = max(float(measure(*(np.array([v], float) for v in (*s[0], *s[1])))[0]), 1e-5)
+                assert got[(*p, axis)] == pytest.approx(want, rel=1e-9)
