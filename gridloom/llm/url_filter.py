@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, table
+from .common import ascii_lower, release, staged, table
 from .graph import connected_components
 
 
@@ -24,9 +24,12 @@ class Rule:
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-#: Where a page names its canonical address or redirects to: quotes may be double, single or absent.
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\x22']?canonical[\x22'\s>/])[^>]*\bhref\s*=\s*(?:\x22([^\x22]*)\x22|'([^']*)'|([^\s\x22'>]+))"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\x22']?refresh[\x22'\s>/])[^>]*\bcontent\s*=\s*[\x22']?\s*[\d.]+\s*[;,]\s*url\s*=\s*[\x22']?([^\x22'>\s]+)"
+#: Tags in which a page names its canonical address or redirects; what marks them, and where they hold the address. Quotes may be double, single or absent.
+TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+CANONICAL = r"(?is)^<link\b[^>]*\srel\s*=\s*(?:\x22[^\x22]*\bcanonical\b|\x27[^\x27]*\bcanonical\b|canonical[\s/>])"
+REFRESH = r"(?is)^<meta\b[^>]*\shttp-equiv\s*=\s*[\x22\x27]?refresh[\x22\x27\s/>]"
+HREF, CONTENT = (rf"(?is)\s{name}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))" for name in ("href", "content"))
+WAIT = r"(?is)^\s*[\d.]+\s*[;,]\s*url\s*=\s*[\x22\x27]?([^\x22\x27>\s]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -56,13 +59,21 @@ def verdict_of(rule: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
+def resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    whole = F.aggregate(F.slice(segments, 2, F.size(segments)), F.lit(""), lambda a, s: F.when(s == ".", a).when(s == "..", F.regexp_replace(a, "/[^/]*$", "")).otherwise(F.concat(a, F.lit("/"), s)))
+    return F.when(path.contains("/."), F.concat(whole, F.when(last.isin(".", ".."), "/").otherwise(""))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What an address is known by in the graph: host, path (``/`` if empty) and query; null without ``://``.
+    """What an address is known by in the graph: host, path (``/`` if empty, dot segments resolved) and query; null without ``://``.
 
     Scheme and fragment are left out, as they don't tell pages apart.
     """
     query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    path = path_of(url)
+    path = resolved(path_of(url))
     return F.when(url.contains("://"), F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query))
 
 
@@ -82,12 +93,12 @@ def absolute(target: Column, base: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: each page's node and the node it redirects to or names as canonical."""
+    """``(a, b)``: each page's node and every node that it redirects to or names as canonical."""
     html, url = F.col("html"), F.col("url")
-    canonical = F.concat(*[F.regexp_extract(html, CANONICAL, k) for k in (1, 2, 3)])
-    targets = F.filter(F.array(canonical, F.regexp_extract(html, REFRESH, 1)), lambda x: x != "")
+    groups = lambda tag, pattern: F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    address = lambda tag: F.when(tag.rlike(CANONICAL), groups(tag, HREF)).when(tag.rlike(REFRESH), F.regexp_extract(groups(tag, CONTENT), WAIT, 1)).otherwise("")
     marked = pages.where(html.rlike(r"(?i)canonical|refresh"))
-    found = marked.select("url", F.explode(targets).alias("target"))
+    found = marked.select("url", F.explode(F.transform(F.regexp_extract_all(html, F.lit(TAGS), F.lit(0)), address)).alias("target")).where("target <> ''")
     target = F.replace(F.trim(F.col("target")), F.lit("&amp;"), F.lit("&"))
     return found.select(node_of(url).alias("a"), node_of(absolute(target, url)).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
@@ -111,11 +122,13 @@ def filtered(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b"))).where("a <> b").distinct()
-    parts = connected_components(staged(links, "links"))
+    links = staged(links, "links")
+    parts = staged(connected_components(links), "parts")  # a plain table, so that the joins below can split a large component
+    release(links)
     # A node's own host and path are its address, so the rules hold for it too.
     node = F.concat(F.lit("x://"), F.col("node"))
     own = verdict_of(rule_of(host_of(node), path_of(node), rules), rules)
-    decided = parts.groupBy("component").agg(F.max(own == "allow").alias("allowed"), F.max(own == "block").alias("blocked"))
+    decided = staged(parts.groupBy("component").agg(F.max(own == "allow").alias("allowed"), F.max(own == "block").alias("blocked")), "decided")
     aliases = parts.join(decided, "component").select("node", "component", F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow").alias("alias_verdict"))
     out = judged.join(aliases, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), "alias_verdict", F.lit("allow")).alias("verdict"), "component")
@@ -126,33 +139,59 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages")).drop("component")
 
 
-OP2_SQL = r"""
-WITH RECURSIVE parsed AS (
-  SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-ruled AS (
-  SELECT page_id, host, path,
-    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
-         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
-         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
-         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
-    CASE WHEN url LIKE '%://%' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)', 1) END AS node
-  FROM parsed),
+def _sql() -> str:
+    """The same in SQL: hosts, paths, rules, links and what they reach, all written out anew."""
+
+    def host(u: str) -> str:
+        return f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def path(u: str) -> str:
+        return f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+    def node(u: str) -> str:
+        dots = f"list_reduce(string_split({path(u)}, '/')[2:], lambda a, s: CASE WHEN s = '.' THEN a WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END, '')"
+        clean = f"CASE WHEN contains({path(u)}, '/.') THEN {dots} || CASE WHEN string_split({path(u)}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END ELSE {path(u)} END"
+        return f"CASE WHEN contains({u}, '://') THEN {host(u)} || CASE WHEN {clean} = '' THEN '/' ELSE {clean} END || regexp_extract({u}, '(?s)^[^?#]*(\\?[^#]*)', 1) END"
+
+    def rule(h: str, p: str) -> str:
+        longest = (("example.net", "/en/"), ("example.com", "/de/"), ("org", "/fr/"), ("net", "/"))
+        return "CASE " + " ".join(f"WHEN ({h} = '{a}' OR ends_with({h}, '.{a}')) AND starts_with({p}, '{b}') THEN '{a}{b}'" for a, b in longest) + " END"
+
+    def groups(pattern: str) -> str:
+        return " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3))
+
+    folder = "regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1)"
+    return f"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '{TAGS}')) AS tag FROM pages),
+named AS (
+  SELECT url, CASE WHEN regexp_matches(tag, '{CANONICAL}') THEN {groups(HREF)} WHEN regexp_matches(tag, '{REFRESH}') THEN regexp_extract({groups(CONTENT)}, '{WAIT}', 1) END AS t FROM tags),
 targets AS (
-  SELECT url, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*[\x22'']?canonical[\x22''\s>/][^>]*\bhref\s*=\s*[\x22'']?([^\s\x22''>]+)', 1)]) AS target FROM pages),
+  SELECT url, replace(trim(t), '&amp;', '&') AS t FROM named WHERE t <> ''),
+whole AS (
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
+    WHEN starts_with(t, '?') THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || t
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    ELSE CASE WHEN ends_with({folder}, '/') THEN {folder} ELSE {folder} || '/' END || t END AS target
+  FROM targets),
+links AS (
+  SELECT DISTINCT {node('url')} AS a, {node('target')} AS b FROM whole),
 edges AS (
-  SELECT DISTINCT
-    translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS a,
-    translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(target, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b
-  FROM targets WHERE target LIKE '%://%'),
+  SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 reach(node, other) AS (
-  SELECT a, b FROM edges UNION SELECT b, a FROM edges
-  UNION SELECT r.node, CASE WHEN e.a = r.other THEN e.b ELSE e.a END FROM reach r JOIN edges e ON e.a = r.other OR e.b = r.other),
+  SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
 aliased AS (
-  SELECT r.node, bool_or(o.rule IN ('example.net/en/', 'org/fr/')) AS allowed, bool_or(o.rule IN ('net/', 'example.com/de/')) AS blocked
-  FROM reach r JOIN ruled o ON o.node = r.other GROUP BY r.node)
+  SELECT node, bool_or(coalesce(r IN ('example.net/en/', 'org/fr/'), false)) AS allowed, bool_or(coalesce(r IN ('net/', 'example.com/de/'), false)) AS blocked
+  FROM (SELECT node, {rule("regexp_extract(other, '(?s)^([^/]*)', 1)", "regexp_extract(other, '(?s)^[^/]*([^?]*)', 1)")} AS r FROM reach) GROUP BY node),
+ruled AS (
+  SELECT page_id, host, path, node, {rule('host', 'path')} AS rule FROM (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {node('url')} AS node FROM pages))
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN aliased USING (node)
 """
+
+
+OP2_SQL = _sql()

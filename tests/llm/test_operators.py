@@ -433,6 +433,40 @@ def test_url_filter(spark):
     assert url_filter.filtered(pages.limit(0)).count() == 0
 
 
+def test_url_filter_follows_links_as_its_sql_does(spark):
+    """Pages whose links make chains, hubs and rings, against union-find and against the SQL."""
+    import duckdb
+
+    r = random.Random(31)
+    hosts = ["a.example.net", "b.example.com", "c.org", "d.example.org", "e.test", "f.test", "G.Test", "h.example.com", "i.co.org"]
+    sections = ["/en/", "/de/", "/fr/", "/x/", "/x/y/", "/"]
+    urls = [f"https://{r.choice(hosts)}{r.choice(sections)}{k}" for k in range(160)]
+    kinds = [
+        lambda u, v: f'<link href="{v}" rel="canonical">', lambda u, v: f"<LINK REL='alternate canonical' data-x=1 HREF='{v.replace('https', 'http')}#part'>", lambda u, v: f"<link rel=canonical href={v}>",
+        lambda u, v: f'<meta content="0; URL={v}" http-equiv="Refresh">', lambda u, v: "<link rel='canonical' href='" + v.split(":", 1)[1] + "'/>", lambda u, v: '<link rel="canonical" href="../' + v.rsplit("/", 1)[1] + '">',
+        lambda u, v: '<link rel="canonical" href="/q/./' + v.rsplit("/", 1)[1] + '/../z">', lambda u, v: '<link rel="stylesheet" href="' + v + '">', lambda u, v: '<meta name="refresh" content="5; url=' + v + '">', lambda u, v: '<link rel="canonical" href="mailto:x@y">',
+        lambda u, v: f'<link rel="canonical" href="{v}?a=1&amp;b=2"><link rel="canonical" href="{v}"> text <meta http-equiv=refresh content="3,url={urls[0]}">',
+    ]
+    rows = [(k, u, "<html>" + (r.choice(kinds)(u, r.choice(urls)) if r.random() < 0.7 else "")) for k, u in enumerate(urls)] + [(900, None, None), (901, "no url", "<link rel=canonical href=https://c.org/fr/1>"), (902, urls[3], None), (903, "https://K.test", "<link rel=canonical href='fr/../de/./'>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter(tuple(x) for x in url_filter.filtered(pages).drop("component").collect())
+    con = duckdb.connect()
+    frame_ = pages.toPandas()
+    con.register("pages", frame_)
+    want = collections.Counter(con.execute(url_filter.OP2_SQL).fetchall())
+    assert got == want
+    links = {tuple(x) for x in url_filter.page_links(pages).collect()}
+    assert len(links) > 80 and ("k.test/", "k.test/de/") in links and any(b.endswith("/z") for _, b in links)
+    label = {n: n for e in links for n in e}
+    for _ in range(60):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    part = {x.page_id: x.component for x in url_filter.filtered(pages).select("page_id", "component").collect()}
+    node = {x.page_id: x.n for x in pages.select("page_id", url_filter.node_of(F.col("url")).alias("n")).collect()}
+    assert all(part[i] == label.get(n) for i, n in node.items())
+    assert sum(v for (_, _, _, rule, verdict), v in got.items() if rule is None and verdict == "block") >= 3
+
+
 def shingle_sets(text: str) -> frozenset:
     found = [w for w in re.split("[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
     return frozenset(" ".join(found[k : k + 5]) for k in range(max(1, len(found) - 4))) if found else frozenset()
