@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..meta import F32, U8, Embedding, TensorError, TensorMeta, homogeneous, scaling, transformed, translation
-from ..tensor import LodTensor, Tensor, grid_frame
+from ..tensor import EmbeddedTensor, LodTensor, Tensor, grid_frame
 from .geometry import affine, rounded
 from .resample import select_level
 from .transfer import TransferFunction
@@ -299,45 +300,118 @@ OPAQUE = 0.95
 REFERENCE_STEPS = 256
 
 
-def raycast(lod: LodTensor, eep: Tensor, tf: TransferFunction, config: RaycasterConfig = RaycasterConfig(), table: LodTensor | None = None, level: int = 0) -> Tensor:  # noqa: B008
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3] for i in range(3)]
+
+
+def _length(a: list[Column]) -> Column:
+    return F.sqrt(sum((x * x for x in a), F.lit(0.0)))
+
+
+def _rays(eep: Tensor, size: np.ndarray, neighbours: bool) -> DataFrame:
+    """A row for each pixel whose ray meets the volume: start ``s``, way ``w`` through it and ``length``, in physical space.
+
+    With ``neighbours`` also ``near`` and ``far``, the distances to the next
+    pixel's ray at entry and exit (the previous one's at the border, the volume's
+    size if there is none), and ``across``, the direction that they are measured in, for both axes of the image (0: down, 1: right).
+    """
+    v = F.col("value")
+    ends = eep.df.select("p0", "p1", (v[3] > 0).alias("hit"), *[(v[j + i].cast("double") * float(size[i])).alias(f"{n}{i}") for n, j in (("s", 0), ("e", 4)) for i in range(3)])
+    if neighbours:
+        whole = F.struct(*[F.lit(0.0).alias(f"s{i}") for i in range(3)], *[F.lit(float(size[i])).alias(f"e{i}") for i in range(3)])
+        own = F.when(F.col("hit"), F.struct(*[f"{n}{i}" for n in "se" for i in range(3)]))
+        for axis in range(2):
+            at = Window.partitionBy(f"p{1 - axis}").orderBy(f"p{axis}")
+            ends = ends.withColumn(f"beside{axis}", F.coalesce(F.lead(own).over(at), F.lag(own).over(at), whole))
+    ends = ends.where("hit").select("*", *[(F.col(f"e{i}") - F.col(f"s{i}")).alias(f"w{i}") for i in range(3)])
+    ends = ends.withColumn("length", _length([F.col(f"w{i}") for i in range(3)])).where("length > 0")
+    if not neighbours:
+        return ends
+    for axis in range(2):
+        other = [F.col(f"beside{1 - axis}")[f"e{i}"] - F.col(f"e{i}") for i in range(3)]
+        turned = _cross(other, [F.col(f"w{i}") for i in range(3)])
+        unit = [F.coalesce(F.try_divide(x, _length(turned)), F.lit(0.0)) for x in turned]
+        apart = lambda n, unit=unit, axis=axis: F.abs(sum((unit[i] * (F.col(f"beside{axis}")[f"{n}{i}"] - F.col(f"{n}{i}")) for i in range(3)), F.lit(0.0)))
+        ends = ends.withColumns({f"near{axis}": apart("s"), f"far{axis}": apart("e"), f"across{axis}": F.array(*unit)})
+    return ends.drop("beside0", "beside1")
+
+
+def _levels_along(rays: DataFrame, spacings: list[np.ndarray], coarseness: float, oversampling: float) -> DataFrame:
+    """The samples of each ray, ``(.., level, k, at, step)``: ``at`` is the way from its start.
+
+    Pixels lie further apart the further a ray goes, in proportion, so where a
+    ray turns to the next coarser level follows in closed form: as soon as the
+    level's elements, seen across the ray, are closer together than
+    ``coarseness`` pixels. Steps are as long as the level's elements along the ray, and go
+    on from where the finer level's ended.
+    """
+    step = lambda sp: _length([F.col(f"w{i}") / F.col("length") * float(sp[i]) for i in range(3)]) / oversampling
+    turn = F.lit(0.0)
+    rays = rays.withColumn("begin0", F.lit(0.0)).withColumn("step0", step(spacings[0]))
+    for k in range(1, len(spacings)):
+        for axis in range(2):
+            needed = _length([F.abs(F.col(f"across{axis}")[i]) * float(spacings[k][i]) for i in range(3)]) / coarseness
+            slope = F.col(f"far{axis}") - F.col(f"near{axis}")
+            from_ = F.when(F.col(f"near{axis}") > needed, F.lit(0.0)).when(F.col(f"far{axis}") <= needed, F.lit(2.0)).otherwise(F.coalesce(F.try_divide(needed - F.col(f"near{axis}"), slope), F.lit(2.0)))
+            turn = F.greatest(turn, from_)
+        # The first step of the finer level at or beyond the turn.
+        before, stride = F.col(f"begin{k - 1}"), F.col(f"step{k - 1}")
+        reach = before + F.greatest(F.lit(0.0), F.ceil((turn * F.col("length") - before) / stride)) * stride
+        rays = rays.withColumns({f"begin{k}": F.when(turn > 1, F.lit(float("inf"))).otherwise(reach), f"step{k}": step(spacings[k])})
+    parts = []
+    for k in range(len(spacings)):
+        end = F.least(F.col("length"), F.col(f"begin{k + 1}")) if k + 1 < len(spacings) else F.col("length")
+        # Samples lie from begin on and before the next level's begin; the last may lie at the exit itself.
+        count = F.floor((end - F.col(f"begin{k}")) / F.col(f"step{k}") + (1.0 if k + 1 == len(spacings) else 0.0))
+        if k + 1 < len(spacings):
+            count = F.when(F.col(f"begin{k + 1}") > F.col("length"), F.floor((F.col("length") - F.col(f"begin{k}")) / F.col(f"step{k}")) + 1).otherwise(F.round((F.col(f"begin{k + 1}") - F.col(f"begin{k}")) / F.col(f"step{k}")))
+        parts.append(F.struct(F.lit(k).alias("level"), F.col(f"begin{k}").alias("begin"), F.col(f"step{k}").alias("step"), F.when(F.col(f"begin{k}") <= F.col("length"), F.greatest(F.lit(0), count)).otherwise(0).cast("int").alias("count")))
+    rays = rays.withColumn("part", F.explode(F.filter(F.array(*parts), lambda x: x["count"] > 0)))
+    rays = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("part.count") - 1)))
+    return rays.select("p0", "p1", *[f"{n}{i}" for n in "sw" for i in range(3)], "length", F.col("part.level").alias("level"), F.col("part.step").alias("step"), (F.col("part.begin") + F.col("k") * F.col("part.step")).alias("at"))
+
+
+def _hits(samples: DataFrame, source: EmbeddedTensor, zone: EmbeddedTensor | None, gradients: bool) -> DataFrame:
+    """Samples with the value ``v`` of their nearest element, and its gradient ``g0..``; those of elements that have none go."""
+    meta, spacing = source.meta, np.array(source.embedding.spacing)
+    q = [f"q{i}" for i in range(3)]
+    place = [F.greatest(F.lit(0), F.least(F.lit(d - 1), rounded((F.col(f"s{i}") + F.col(f"w{i}") * F.col("at") / F.col("length")) / float(spacing[i]) - 0.5))).cast("long").alias(f"q{i}") for i, d in enumerate(meta.dims)]
+    samples = samples.select("p0", "p1", "at", "step", "w0", "w1", "w2", "length", *place)
+    known = None
+    if zone is not None and not gradients:
+        chunk = [round(a / b) for a, b in zip(zone.embedding.spacing, spacing, strict=True)]
+        whole = zone.df.where("value IS NOT NULL").select(*[F.col(f"p{i}").alias(f"c{i}") for i in range(3)], F.col("value").cast("double").alias("v"))
+        placed = samples.select("*", *[F.expr(f"q{i} div {c}").alias(f"c{i}") for i, c in enumerate(chunk)])
+        cells = [f"c{i}" for i in range(3)]
+        known, samples = placed.join(whole, cells).drop(*cells), placed.join(whole, cells, "left_anti").drop(*cells)
+    voxels = source.df.select(*[F.col(f"p{i}").alias(f"q{i}") for i in range(3)], F.col("value").cast("double").alias("v"))
+    if gradients:
+        from .window import gradient
+
+        for axis in range(3):
+            g = gradient(source.inner, axis)
+            voxels = voxels.join(g.df.select(*[F.col(f"p{i}").alias(f"q{i}") for i in range(3)], (F.col("value") / float(spacing[axis])).alias(f"g{axis}")), q)
+    found = samples.join(voxels, q)
+    return (found if known is None else found.unionByName(known)).drop(*q)
+
+
+def raycast(lod: LodTensor, eep: Tensor, tf: TransferFunction, config: RaycasterConfig = RaycasterConfig(), table: LodTensor | None = None, level: int | None = None, preview: bool = False) -> Tensor:  # noqa: B008
     """The frame of rays through a volume, by maximum opacity (``mop``) or front to back (``dvr``).
 
     Each ray becomes its samples, a sample its nearest element; samples are
     joined to the volume by position and folded by ray in order. Only elements
-    that a ray meets take part, through the join. ``level`` is read.
+    that a ray meets take part, through the join. Along each ray, the level is the
+    coarsest whose elements are closer together than ``lod_coarseness`` pixels (``preview_coarseness`` for a
+    preview), unless ``level`` names one. Samples in a chunk that ``table`` has a value for take it, and aren't joined to the volume.
     """
     if config.compositing not in ("mop", "dvr") or config.shading not in ("none", "phong"):
         raise TensorError("compositing is mop or dvr, shading none or phong")
-    source = lod.levels[level]
-    meta, spacing = source.meta, np.array(source.embedding.spacing)
-    size = np.array(meta.dims) * spacing
-    diagonal = float(np.linalg.norm(np.array(lod.levels[0].meta.dims) * np.array(lod.levels[0].embedding.spacing)))
-    v = F.col("value")
-    ray = eep.df.where(v[3] > 0)
-    way = [(v[4 + i] - v[i]).cast("double") * float(size[i]) for i in range(3)]
-    ray = ray.select("p0", "p1", *[(v[i].cast("double") * float(size[i])).alias(f"s{i}") for i in range(3)], *[w.alias(f"w{i}") for i, w in enumerate(way)])
-    length = F.sqrt(sum((F.col(f"w{i}") ** 2 for i in range(3)), F.lit(0.0)))
-    ray = ray.withColumn("length", length)
-    step = F.sqrt(sum(((F.col(f"w{i}") / F.col("length") * float(spacing[i])) ** 2 for i in range(3)), F.lit(0.0))) / config.oversampling
-    ray = ray.withColumn("step", step).where("length > 0")
-    samples = ray.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / F.col("step")).cast("int"))))
-    q = [F.greatest(F.lit(0), F.least(F.lit(d - 1), rounded((F.col(f"s{i}") + F.col(f"w{i}") * F.col("k") * F.col("step") / F.col("length")) / float(spacing[i]) - 0.5))).cast("long").alias(f"q{i}") for i, d in enumerate(meta.dims)]
-    keep = ["p0", "p1", "k", "step"] + (["w0", "w1", "w2", "length"] if config.shading == "phong" else [])
-    samples = samples.select(*keep, *q)
-    volume = source.inner
-    if table is not None:
-        from .aggregate import with_table
-
-        zone = table.levels[level]
-        volume = with_table(volume, zone.inner, tuple(round(a / b) for a, b in zip(zone.embedding.spacing, spacing, strict=True)))
-    voxels = volume.df.select(*[F.col(f"p{i}").alias(f"q{i}") for i in range(3)], F.col("value").cast("double").alias("v"))
-    if config.shading == "phong":
-        from .window import gradient
-
-        for axis in range(3):
-            g = gradient(volume, axis)
-            voxels = voxels.join(g.df.select(*[F.col(f"p{i}").alias(f"q{i}") for i in range(3)], (F.col("value") / float(spacing[axis])).alias(f"g{axis}")), ["q0", "q1", "q2"])
-    hits = samples.join(voxels, ["q0", "q1", "q2"])
+    chosen = list(range(len(lod.levels))) if level is None else [level]
+    spacings = [np.array(lod.levels[k].embedding.spacing) for k in chosen]
+    size = np.array(lod.levels[0].meta.dims) * np.array(lod.levels[0].embedding.spacing)
+    diagonal = float(np.linalg.norm(size))
+    samples = _levels_along(_rays(eep, size, len(chosen) > 1), spacings, config.preview_coarseness if preview else config.lod_coarseness, config.oversampling)
+    hits = reduce(DataFrame.unionByName, [_hits(samples.where(F.col("level") == i), lod.levels[k], table.levels[k] if table else None, config.shading == "phong") for i, k in enumerate(chosen)])
     colour = tf.colour(F.col("v"))
     if config.shading == "phong":
         norm = F.sqrt(sum((F.col(f"g{i}") ** 2 for i in range(3)), F.lit(1e-12)))
@@ -345,13 +419,13 @@ def raycast(lod: LodTensor, eep: Tensor, tf: TransferFunction, config: Raycaster
         hits = hits.withColumn("base", colour).withColumn("facing", facing)
         lit = lambda c: F.least(F.lit(255.0), c * (AMBIENT + DIFFUSE * F.col("facing")) + 255 * SPECULAR * F.pow(F.col("facing"), F.lit(SHININESS))).cast("smallint")
         colour = F.array(*[lit(F.col("base")[i]) for i in range(3)], F.col("base")[3])
-    hits = hits.select("p0", "p1", "k", "step", colour.alias("c"))
+    hits = hits.select("p0", "p1", "at", "step", colour.alias("c"))
     if config.compositing == "mop":
         # The largest alpha; of equal ones the sample nearest to the eye.
-        best = hits.groupBy("p0", "p1").agg(F.max_by("c", F.struct(F.col("c")[3], -F.col("k"))).alias("c"))
+        best = hits.groupBy("p0", "p1").agg(F.max_by("c", F.struct(F.col("c")[3], -F.col("at"))).alias("c"))
         found = best.select("p0", "p1", "c")
     else:
-        rays = hits.groupBy("p0", "p1").agg(F.array_sort(F.collect_list(F.struct("k", "step", "c"))).alias("samples"))
+        rays = hits.groupBy("p0", "p1").agg(F.array_sort(F.collect_list(F.struct("at", "step", "c"))).alias("samples"))
         begin = F.struct(*[F.lit(0.0).alias(n) for n in "rgba"])
 
         def blend(state: Column, s: Column) -> Column:

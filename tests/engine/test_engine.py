@@ -472,3 +472,45 @@ def test_region_weights_element_by_element():
                 s = [(v.mean(), v.var(ddof=1) if v.size > 1 else 0.0, v.size) if v.size else (0.0, 0.0, 1) for v in own]
                 want = max(float(measure(*(np.array([v], float) for v in (*s[0], *s[1])))[0]), 1e-5)
                 assert got[(*p, axis)] == pytest.approx(want, rel=1e-9)
+
+
+def test_rays_choose_their_level():
+    r = np.random.default_rng(4)
+    a = r.random((24, 8, 8)).astype(np.float32)
+    a[:8] = 0.01
+    t = unit(memory.from_numpy(a, (4, 4, 4)))
+    lod = t.create_lod((2.0,) * 3)
+    frame = M.TensorMeta((6, 6))
+    camera = render.Camera(render.Trackball((-30.0, 4.0, 4.0), (12.0, 4.0, 4.0), (0.0, 1.0, 0.0)), 10.0, 0.1, 500.0)
+    eep = render.entry_exit_points(t.meta, t.embedding, frame, camera)
+    tf = TransferFunction.grey_ramp(0.0, 1.0)
+    image = lambda **args: {(x.p0, x.p1): tuple(x.value) for x in render.raycast(lod, eep, tf, render.RaycasterConfig(compositing=args.pop("mode", "mop"), **{k: args.pop(k) for k in list(args) if k.endswith("coarseness")}), **args).df.collect()}
+    assert len(lod.levels) >= 3
+    assert image(lod_coarseness=1e-6) == image(level=0) != image(level=1)
+    coarsest = len(lod.levels) - 1
+    assert image(lod_coarseness=1e9) == image(level=coarsest)
+    assert image(lod_coarseness=1e-6, preview_coarseness=1e9, preview=True) == image(level=coarsest)
+    table = aggregate.const_chunk_table(lod, (4, 4, 4))
+    for mode in ("mop", "dvr"):
+        assert image(mode=mode, table=table) == image(mode=mode) and image(mode=mode, level=0, table=table) == image(mode=mode, level=0)
+    # Against the rule, step by step: the level of each sample of every ray.
+    size, spacings = np.array(t.meta.dims, float), [np.array(x.embedding.spacing) for x in lod.levels]
+    rays = render._rays(eep, size, True)
+    for coarseness in (0.5, 1.5, 3.0):
+        got = {}
+        for x in render._levels_along(rays, spacings, coarseness, 1.0).collect():
+            got.setdefault((x.p0, x.p1), []).append((x["at"], x.level))
+        turned = 0
+        for x in rays.collect():
+            way, at, level, want = np.array([x.w0, x.w1, x.w2]), 0.0, 0, []
+            while at <= x.length + 1e-9:
+                share = at / x.length
+                while level + 1 < len(spacings) and all(np.linalg.norm(np.abs(x[f"across{i}"]) * spacings[level + 1]) < (x[f"near{i}"] * (1 - share) + x[f"far{i}"] * share) * coarseness for i in (0, 1)):
+                    level += 1
+                want.append((at, level))
+                at += np.linalg.norm(np.abs(way / x.length) * spacings[level])
+            turned += len({v for _, v in want}) > 1
+            mine = sorted(got[x.p0, x.p1])
+            assert [v for _, v in mine][: len(want)] == [v for _, v in want][: len(mine)] and abs(len(mine) - len(want)) <= 1
+            assert np.allclose([v for v, _ in mine][: len(want)], [v for v, _ in want][: len(mine)])
+        assert turned or coarseness < 1
