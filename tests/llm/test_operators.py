@@ -359,6 +359,65 @@ def test_decontamination(spark, docs, none):
     assert again == whole
 
 
+def scanned(texts: list[tuple[int, str]], items: list[tuple[int, str]]) -> dict[tuple[int, int], float]:
+    """Every item against every passage of every text, without an index: BM25 of the item's words, then its halves' shingles."""
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    kept = [(i, t, split(t)) for i, t in items if split(t)]
+    n, mean = len(kept), sum(len(w) for *_, w in kept) / len(kept)
+    df = collections.Counter(x for *_, w in kept for x in set(w))
+    longest = max(len(w) for *_, w in kept)
+
+    def parts(t):
+        m = re.search(r"[.?!\n]\s*", t)
+        q, r = (split(t[: m.end()]), split(t[m.end() :])) if m else (split(t), [])
+        return q or r, r or q
+
+    def grams(w, k):
+        return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+
+    found = {}
+    for doc_id, text in texts:
+        words = split(text)
+        for at in range(0, max(1, len(words) - longest), longest):
+            passage = words[at : at + 2 * longest]
+            own = set(passage)
+            for i, t, w in kept:
+                counts = collections.Counter(w)
+                weight = {x: np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in counts.items()}
+                score = sum(v for x, v in weight.items() if x in own) / sum(weight.values())
+                if score < 0.6 - 1e-9:
+                    continue
+                held = [(len(grams(h, min(5, len(h))) & grams(passage, min(5, len(h)))), len(grams(h, min(5, len(h))))) for h in parts(t)]
+                if min(a / b for a, b in held) >= 0.5 and sum(a for a, _ in held) >= 0.8 * sum(b for _, b in held):
+                    found[doc_id, i] = max(found.get((doc_id, i), 0.0), score)
+    return found
+
+
+def test_decontamination_finds_what_a_scan_finds(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 100)  # many blocks a text
+    r = random.Random(17)
+    vocabulary = [f"w{k}" for k in range(160)]
+    sentence = lambda n: " ".join(r.choices(vocabulary, k=n))
+    items = [(k, sentence(r.randint(3, 20)) + r.choice(["? ", ". ", "\n", " "]) + sentence(r.randint(2, 25))) for k in range(60)]
+    texts = []
+    for d in range(140):
+        body = []
+        for _ in range(r.randint(0, 4)):
+            body += sentence(r.randint(0, 120)).split()
+            own = r.choice(items)[1].replace("\n", " ").split()
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3, 6])):  # words changed, on both sides of the thresholds
+                own[r.randrange(len(own))] = r.choice(vocabulary).upper()
+            body += own
+        texts.append((d, " ".join(body) + sentence(r.randint(0, 60))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items + [(99, None), (98, "?!")], "item_id long, text string")
+    want = scanned(texts, items)
+    got = {(x.doc_id, x.item_id): x.score for x in decontamination.contaminated(docs, bench).collect()}
+    assert got.keys() == want.keys() and len(want) > 60
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert decontamination.decontaminated(docs, bench).count() == len(texts) - len({d for d, _ in want})
+
+
 def test_wand_finds_all_above_threshold():
     r = random.Random(1)
     vocabulary = [f"w{i}" for i in range(60)]
