@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +188,11 @@ def pad_dtype_channels(s, d):
     return out(padded.index(0) + float(padded.dtype.size))
 
 
+@query("SELECT event_id AS x, round(sin(value / 100) * 2, 6) AS value FROM events")
+def map_numpy(s, d):
+    return out(events(s, d, 1).map_numpy(lambda v: np.sin(v / 100) * 2))
+
+
 # Selection
 
 

@@ -188,9 +188,12 @@ def save_zarr(t: EmbeddedTensor, path: str, location: str = "/array", compressio
     _each_chunk(t.inner, write)
 
 
-def save_zarr_lod(t: EmbeddedTensor | LodTensor, path: str, steps=None, compression: int = 1) -> None:
+def save_zarr_lod(t: EmbeddedTensor | LodTensor, path: str, steps=None, compression: int = 1, recreate: bool = False) -> None:
+    """Levels as arrays ``/level{k}``: those of ``t``, or with ``recreate`` and for one tensor, its finest, each level written, opened again and shrunk to the next."""
     from .sources.files import open_zarr
 
+    if isinstance(t, LodTensor) and recreate:
+        t = t.levels[0]
     if isinstance(t, LodTensor):
         for k, level in enumerate(t.levels):
             save_zarr(level, path, f"/level{k}", compression)

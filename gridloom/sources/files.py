@@ -190,6 +190,30 @@ def read_png(path: str) -> Tensor:
     return from_numpy(image, dtype=U8.vec(4))
 
 
+def open_frames(path: str) -> Tensor:
+    """A folder of PNG images as video ``(frame, y, x)`` of three bytes, in the order of their names; a frame a chunk, so any is read alone.
+
+    Stands for video files, which need a decoder: have one write its frames as images.
+    """
+    names = sorted(n for n in os.listdir(path) if n.lower().endswith(".png"))
+    if not names:
+        raise TensorError(f"{path} has no frames")
+
+    def image(k: int) -> np.ndarray:
+        with open(os.path.join(path, names[k]), "rb") as f:
+            return decode_png(f.read())[..., :3]
+
+    h, w, _ = image(0).shape
+
+    def read(info: ChunkInfo) -> np.ndarray:
+        out = image(info.begin[0])
+        if out.shape[:2] != (h, w):
+            raise TensorError(f"{names[info.begin[0]]} is {out.shape[:2]}, not {(h, w)}")
+        return out[None]
+
+    return from_chunks(TensorMeta((len(names), h, w), (1, h, w)), U8.vec(3), read)
+
+
 #: zarr's names of the types.
 ZARR_TYPES = {"int8": "i8", "uint8": "u8", "int16": "i16", "uint16": "u16", "int32": "i32", "uint32": "u32", "int64": "i64", "uint64": "u64", "float32": "f32"}
 
@@ -355,8 +379,11 @@ def open_single_level(path: str, hints: Hints = Hints()) -> EmbeddedTensor:  # n
         from ..sinks import read_tensor
 
         return read_tensor(path)
+    if name.endswith(".frames"):
+        t = open_frames(path)
+        return EmbeddedTensor(t, Embedding((1.0,) * t.nd))
     if name.endswith((".mp4", ".mkv")):
-        raise TensorError("video files need a decoder, which isn't installed; load frames as a table (frame, y, x)")
+        raise TensorError("video files need a decoder, which isn't installed; have it write frames as PNG images into a folder named *.frames")
     raise TensorError(f"no reader for {path}")
 
 

@@ -8,11 +8,12 @@ a join on the position.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -344,6 +345,29 @@ class Tensor:
         to = DType.parse(dtype) if dtype else self.dtype
         return self._unary(to, lambda c: f(c).cast(to.spark))
 
+    def map_numpy(self, f: Callable[[np.ndarray], np.ndarray], dtype=None) -> Tensor:
+        """A numpy function of the values, batch by batch; vectors are rows of an array. For what columns can't express."""
+        from .sources.memory import arrow_element, schema
+
+        to, own = DType.parse(dtype) if dtype else self.dtype, self.dtype
+        meta = self.shape()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                col = b.column(meta.ndim)
+                values = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, own.size) if own.size > 1 else col.to_numpy(zero_copy_only=False)
+                out = np.asarray(f(values.astype(own.numpy)))
+                kind = arrow_element(to)
+                if to.size > 1:
+                    value: pa.Array = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, to.size), pa.int32()), pa.array(out.ravel()).cast(kind))
+                else:
+                    value = pa.array(out).cast(kind)
+                yield pa.RecordBatch.from_arrays([*b.columns[: meta.ndim], value], names=[*self_p, "value"])
+
+        self_p = self.p
+        mapped = lambda rows: rows.select(*self_p, "value").mapInArrow(run, schema(meta.ndim, to))
+        return Tensor(meta, to, mapped(self.df), narrow=lambda low, high: mapped(self.within(low, high)))
+
     def linear_rescale(self, factor: float, offset: float) -> Tensor:
         return self._map(lambda x: x * F.lit(factor) + F.lit(offset))
 

@@ -514,3 +514,32 @@ def test_rays_choose_their_level():
             assert [v for _, v in mine][: len(want)] == [v for _, v in want][: len(mine)] and abs(len(mine) - len(want)) <= 1
             assert np.allclose([v for v, _ in mine][: len(want)], [v for v, _ in want][: len(mine)])
         assert turned or coarseness < 1
+
+
+def test_numpy_functions_and_frames(tmp_path):
+    a = np.arange(24, dtype=np.float32).reshape(4, 6)
+    t = memory.from_numpy(a, (2, 3)).map_numpy(lambda v: np.sqrt(v) + 1)
+    assert np.allclose([r.value for r in t.df.orderBy("p0", "p1").collect()], (np.sqrt(a) + 1).ravel()) and t[1:3, 2].df.count() == 2
+    pairs = memory.from_numpy(np.stack([a, -a], -1), (2, 3), "f32x2").map_numpy(lambda v: v[:, 0] * v[:, 1], "f64")
+    assert {r.value for r in pairs.df.collect()} == set((-a * a).ravel().tolist())
+    folder = tmp_path / "film.frames"
+    folder.mkdir()
+    r = np.random.default_rng(2)
+    film = r.integers(0, 256, (5, 4, 3, 3), np.uint8)
+    for k in range(5):
+        raw = files.encode_png(np.concatenate([film[k], np.full((4, 3, 1), 255, np.uint8)], -1))
+        (folder / f"{k:03}.png").write_bytes(b"not read" if k == 1 else raw)
+    video = files.open_tensor(str(folder)).inner
+    assert video.shape().dims == (5, 4, 3) and video.dtype.size == 3
+    got = {(r.p0, r.p1): list(r.value) for r in video[3, :, :].df.collect()}
+    assert all(got[y, x] == film[3, y, x].tolist() for y in range(4) for x in range(3))
+
+
+def test_zarr_levels_are_recreated(tmp_path):
+    t = unit(memory.from_numpy(np.arange(64, dtype=np.float32).reshape(8, 8), (4, 4)))
+    other = t.create_lod((2.0, 2.0)).map(lambda x: x.map_inner(lambda y: y * 0.0) if x.meta.dims != (8, 8) else x)
+    save_zarr_lod(other, str(tmp_path / "a.zarr"))
+    save_zarr_lod(other, str(tmp_path / "b.zarr"), (2.0, 2.0), recreate=True)
+    a, b = (files.open_zarr_lod(str(tmp_path / n)) for n in ("a.zarr", "b.zarr"))
+    assert [x.meta.dims for x in a.levels] == [x.meta.dims for x in b.levels] == [(8, 8), (4, 4)]
+    assert a.levels[1].inner.max_value().value() == 0 and b.levels[1].inner.max_value().value() > 40
