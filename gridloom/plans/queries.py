@@ -531,7 +531,12 @@ def rw_weights_grady(s, d):
     return out(weights.grady(unit(s, d), 100.0), "y", "x", "axis")
 
 
-@query()
+@query(
+    UNIT + ", m AS (SELECT a.y, a.x, any_value(a.v) AS v, avg(b.v) AS m FROM t a JOIN t b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY a.y, a.x), c AS (SELECT (v - m) * (v - m) AS d, (y // 32) * 4 + x // 32 AS chunk FROM m),"
+    " drawn AS (SELECT chunk FROM (SELECT DISTINCT chunk FROM c) ORDER BY md5('0:' || chunk), chunk LIMIT 10), beta AS (SELECT 2 / (avg(d) * count(*) / (count(*) - 1) * 2 / 27) AS beta FROM c WHERE chunk IN (FROM drawn)),"
+    " e AS (SELECT y, x, 0::BIGINT AS axis, m - lead(m) OVER (PARTITION BY x ORDER BY y) AS g FROM m UNION ALL SELECT y, x, 1, m - lead(m) OVER (PARTITION BY y ORDER BY x) FROM m)"
+    " SELECT y, x, axis, round(greatest(exp(-(SELECT beta FROM beta) * g * g), 1e-5), 6) AS value FROM e WHERE g IS NOT NULL"
+)
 def rw_weights_bian(s, d):
     return out(weights.bian(unit(s, d), 1), "y", "x", "axis")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
@@ -18,7 +19,7 @@ from .operators.select import chunk_index
 from .tensor import EmbeddedTensor, LodTensor, ScalarTensor, Tensor, positions
 
 
-def dense(table: pa.Table, shape: tuple[int, ...], begin: tuple[int, ...], dtype: DType) -> np.ndarray:
+def as_array(table: pa.Table, shape: tuple[int, ...], begin: tuple[int, ...], dtype: DType) -> np.ndarray:
     """Long rows as array; missing rows are NaN, or zero for integers."""
     n = len(shape)
     full = (*shape, dtype.size) if dtype.size > 1 else shape
@@ -53,7 +54,7 @@ class RunTime:
         rows = t.within([min(x.begin[i] for x in infos) for i in range(meta.ndim)], [max(x.end[i] for x in infos) - 1 for i in range(meta.ndim)])
         rows = rows.withColumn("gl_chunk", chunk_index(meta)).where(F.col("gl_chunk").isin(wanted)).toArrow()
         keys = rows.column("gl_chunk").to_numpy()
-        return [dense(rows.filter(pa.array(keys == c)), x.logical, x.begin, t.dtype) for c, x in zip(wanted, infos, strict=True)]
+        return [as_array(rows.filter(pa.array(keys == c)), x.logical, x.begin, t.dtype) for c, x in zip(wanted, infos, strict=True)]
 
     def resolve_scalar(self, s: ScalarTensor):
         return s.value()
@@ -77,29 +78,70 @@ def element(t: Tensor | EmbeddedTensor, pos):
 # Parquet
 
 
-def _meta_json(t: EmbeddedTensor) -> str:
-    return json.dumps({"dims": t.meta.dims, "chunk": t.meta.chunk, "spacing": t.embedding.spacing, "dtype": str(t.dtype)})
+def _meta_json(t: EmbeddedTensor, dense: bool) -> str:
+    return json.dumps({"dims": t.meta.dims, "chunk": t.meta.chunk, "spacing": t.embedding.spacing, "dtype": str(t.dtype), "dense": dense})
 
 
-def save_tensor(t: EmbeddedTensor, path: str, level: int = 0, mode: str = "overwrite") -> None:
-    """A table of long rows laid out by chunk, with its description beside it; both are read back by ``read_tensor``.
+def save_tensor(t: EmbeddedTensor, path: str, level: int = 0, mode: str = "overwrite", dense: bool = False) -> None:
+    """A table laid out by chunk, with its description beside it; both are read back by ``read_tensor``.
 
-    Rows of a chunk are neighbours in a file, so the statistics that Parquet
-    keeps for every position column let slices skip the rest.
+    Long rows by default: rows of a chunk are neighbours in a file, so the
+    statistics that Parquet keeps for every position column let slices skip the
+    rest. With ``dense`` a row is a chunk, its place in the grid and its bytes, which
+    take a fifth of the space or less, and slices skip by the place; missing elements are then NaN, or zero for integers.
     """
     p = positions(t.nd)
     spark = t.df.sparkSession
-    frame = t.df.withColumn("chunk_index", chunk_index(t.meta))
-    frame.repartitionByRange("chunk_index").sortWithinPartitions("chunk_index", *p).write.mode(mode).option("compression", "zstd").parquet(f"{path}/level={level}/rows")
-    spark.createDataFrame([(level, _meta_json(t))], "level int, meta string").coalesce(1).write.mode(mode).json(f"{path}/level={level}/meta")
+    if dense:
+        frame = _dense_rows(t).repartitionByRange("chunk_index").sortWithinPartitions("chunk_index")
+    else:
+        frame = t.df.withColumn("chunk_index", chunk_index(t.meta)).repartitionByRange("chunk_index").sortWithinPartitions("chunk_index", *p)
+    frame.write.mode(mode).option("compression", "zstd").parquet(f"{path}/level={level}/rows")
+    spark.createDataFrame([(level, _meta_json(t, dense))], "level int, meta string").coalesce(1).write.mode(mode).json(f"{path}/level={level}/meta")
+
+
+def _dense_rows(t: EmbeddedTensor) -> DataFrame:
+    """``(chunk_index, c0, .., data)``: a row a chunk, row-major and little-endian."""
+    meta, kind = t.meta, t.dtype
+    cells = [f"c{i}" for i in range(meta.ndim)]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        info = meta.chunk_info(key[0].as_py())
+        data = as_array(table, info.logical, info.begin, kind)
+        at = [pa.array([b // c], pa.int64()) for b, c in zip(info.begin, meta.chunk, strict=True)]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), *at, pa.array([data.astype(data.dtype.newbyteorder("<")).tobytes()], pa.binary())], names=["chunk_index", *cells, "data"])
+
+    return _chunk_rows(t.inner).groupBy("gl_chunk").applyInArrow(run, "chunk_index long, " + ", ".join(f"{c} long" for c in cells) + ", data binary")
+
+
+def _from_dense(chunks: DataFrame, meta: TensorMeta, kind: DType) -> Tensor:
+    """The tensor of such rows; a box reads the chunks that it meets."""
+    from .sources.memory import rows, schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for index, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                info = meta.chunk_info(index)
+                shape = (*info.logical, kind.size) if kind.size > 1 else info.logical
+                yield rows(info.begin, np.frombuffer(data.as_buffer(), kind.numpy.newbyteorder("<")).reshape(shape).astype(kind.numpy), kind)
+
+    def frame(low: list[int], high: list[int]) -> DataFrame:
+        some = chunks
+        for i, (a, b, c, d) in enumerate(zip(low, high, meta.chunk, meta.dims, strict=True)):
+            if (a, b) != (0, d - 1):
+                some = some.where(F.col(f"c{i}").between(a // c, b // c))
+        return some.select("chunk_index", "data").mapInArrow(run, schema(meta.ndim, kind))
+
+    return Tensor(meta, kind, frame([0] * meta.ndim, [d - 1 for d in meta.dims]), narrow=frame)
 
 
 def _read_level(path: str, level: int) -> EmbeddedTensor:
     spark = SparkSession.active()
     head = json.loads(spark.read.schema("level int, meta string").json(f"{path}/level={level}/meta").first()["meta"])
     meta, kind = TensorMeta(tuple(head["dims"]), tuple(head["chunk"])), DType.parse(head["dtype"])
-    rows = spark.read.parquet(f"{path}/level={level}/rows").select(*positions(meta.ndim), "value")
-    return EmbeddedTensor(Tensor(meta, kind, rows), Embedding(tuple(head["spacing"])))
+    stored = spark.read.parquet(f"{path}/level={level}/rows")
+    t = _from_dense(stored, meta, kind) if head.get("dense") else Tensor(meta, kind, stored.select(*positions(meta.ndim), "value"))
+    return EmbeddedTensor(t, Embedding(tuple(head["spacing"])))
 
 
 def read_tensor(path: str) -> EmbeddedTensor:
@@ -120,15 +162,15 @@ def read_lod(path: str) -> LodTensor:
     return LodTensor([_read_level(path, k) for k in _levels(path)])
 
 
-def save_lod(t: EmbeddedTensor | LodTensor, path: str, steps=None) -> LodTensor:
+def save_lod(t: EmbeddedTensor | LodTensor, path: str, steps=None, dense: bool = False) -> LodTensor:
     """Levels as tables. Given one tensor, each level is written, read back, and shrunk to the next, which cuts lineage."""
     if isinstance(t, LodTensor):
         for k, level in enumerate(t.levels):
-            save_tensor(level, path, k)
+            save_tensor(level, path, k, dense=dense)
         return read_lod(path)
 
     def between(level: EmbeddedTensor, k: int) -> EmbeddedTensor:
-        save_tensor(level, path, k)
+        save_tensor(level, path, k, dense=dense)
         return _read_level(path, k)
 
     return create_lod(t, steps or (2.0,) * t.nd, between)
@@ -146,7 +188,7 @@ def _each_chunk(t: Tensor, write) -> int:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         info = meta.chunk_info(key[0].as_py())
-        write(info, dense(table, info.logical, info.begin, kind))
+        write(info, as_array(table, info.logical, info.begin, kind))
         return pa.table({"n": pa.array([1], pa.int64())})
 
     return _chunk_rows(t).groupBy("gl_chunk").applyInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -71,7 +71,12 @@ def release_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target.getParent(), True)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    remove(spark, path.rpartition("/")[0])
     _staged.discard(path)

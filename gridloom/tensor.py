@@ -447,9 +447,9 @@ class Tensor:
 
     def numpy(self) -> np.ndarray:
         """The whole tensor as array; for small ones."""
-        from .sinks import dense
+        from .sinks import as_array
 
-        return dense(self.df.toArrow(), self.shape().dims, (0,) * self.nd, self.dtype)
+        return as_array(self.df.toArrow(), self.shape().dims, (0,) * self.nd, self.dtype)
 
 
 class ScalarTensor:

@@ -543,3 +543,25 @@ def test_zarr_levels_are_recreated(tmp_path):
     a, b = (files.open_zarr_lod(str(tmp_path / n)) for n in ("a.zarr", "b.zarr"))
     assert [x.meta.dims for x in a.levels] == [x.meta.dims for x in b.levels] == [(8, 8), (4, 4)]
     assert a.levels[1].inner.max_value().value() == 0 and b.levels[1].inner.max_value().value() > 40
+
+
+def test_dense_tables(tmp_path):
+    r = np.random.default_rng(8)
+    a = r.random((9, 7, 5)).astype(np.float32)
+    t = unit(memory.from_numpy(a, (4, 3, 2)))
+    save_tensor(t, str(tmp_path / "a"), dense=True)
+    back = read_tensor(str(tmp_path / "a"))
+    assert back.meta == t.meta and sorted(map(tuple, back.df.collect())) == sorted(map(tuple, t.df.collect()))
+    box = back.inner[2:4, 5, 1:]
+    assert sorted(x.value for x in box.df.collect()) == sorted(a[2:4, 5, 1:].ravel().tolist())
+    plan = box.df._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(c0), IsNotNull(c1)" in plan and "LessThanOrEqual(c0,0)" in plan
+    lod = save_lod(t, str(tmp_path / "b"), (2.0,) * 3, dense=True)
+    plain = save_lod(t, str(tmp_path / "c"), (2.0,) * 3)
+    assert len(lod.levels) == len(plain.levels) > 1
+    for x, y in zip(lod.levels, plain.levels, strict=True):
+        assert sorted(map(tuple, x.df.collect())) == sorted(map(tuple, y.df.collect()))
+    pairs = memory.from_numpy(r.integers(0, 9, (6, 4, 3)), (4, 4), "u8x3")
+    save_tensor(EmbeddedTensor(pairs, M.Embedding((1.0, 1.0))), str(tmp_path / "d"), dense=True)
+    rows = lambda f: sorted((*x[:2], list(x.value)) for x in f.df.collect())
+    assert rows(read_tensor(str(tmp_path / "d"))) == rows(pairs)
