@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import release, release_all, shared_dir, shuffles_removed, staged  # noqa: F401
+from ..storage import release, release_all, remove, shared_dir, shuffles_removed, staged  # noqa: F401
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffles_removed, staged, table
+from .common import remove, shared_dir, shuffles_removed, staged, table
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 #: Characters encoded at once: the libraries take some 130 bytes of memory for each.
@@ -174,4 +174,6 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     cache = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}/token_cache"
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    found = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    remove(spark, cache.rpartition("/")[0])  # the counts that the result reads are stored by themselves
+    return found
