@@ -41,6 +41,8 @@ def convert(source: str, target: str, chunk: tuple | None = None, dtype: str | N
 def write(t: EmbeddedTensor, target: str, lod: tuple | None) -> None:
     if target.endswith(".zarr"):
         sinks.save_zarr_lod(t, target, lod) if lod else sinks.save_zarr(t, target)
+    elif target.endswith((".h5", ".hdf5")):
+        sinks.save_hdf5(t.create_lod(lod) if lod else t, target)
     elif target.endswith(".vvd"):
         sinks.save_vvd(t, target)
     elif target.endswith(".png"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .meta import DType, Embedding, TensorError, TensorMeta
 from .operators.resample import create_lod
 from .operators.select import chunk_index
+from .storage import release, staged
 from .tensor import EmbeddedTensor, LodTensor, ScalarTensor, Tensor, positions
 
 
@@ -295,6 +297,66 @@ def save_vvd(t: EmbeddedTensor, path: str) -> None:
         )
 
 
+def save_hdf5(t: EmbeddedTensor | LodTensor, path: str, location: str = "/volume", compression: int = 1) -> None:
+    """A dataset ``location``, or the levels as ``/level{k}``: chunks, shuffled and deflated unless ``compression`` is 0.
+
+    Tasks compress chunks into a stored table; their sizes, two numbers a chunk, say where each
+    lies, and tasks then write them there. The driver adds the metadata. ``path`` must be visible to every executor.
+    """
+    from .sources import hdf5
+
+    parts = [(f"level{k}", level) for k, level in enumerate(t.levels)] if isinstance(t, LodTensor) else [(location.strip("/"), t)]
+    end, done = hdf5.BEGIN, []
+    with open(path, "wb") as f:
+        f.write(bytes(end))
+    for name, part in parts:
+        if part.dtype.size != 1:
+            raise TensorError(f"HDF5 does not store {part.dtype}")
+        kind, meta = part.dtype.numpy.newbyteorder("<"), part.meta
+        rows = staged(_packed_rows(part, kind, compression), "chunks")
+        sizes = {r.chunk: r.size for r in rows.select("chunk", "size").collect()}
+        places = {}
+        for chunk in sorted(sizes):
+            places[chunk] = end
+            end += -(-sizes[chunk] // 8) * 8
+
+        def write(batches: Iterator[pa.RecordBatch], places=places) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                with open(path, "r+b") as f:
+                    for chunk, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                        f.seek(places[chunk])
+                        f.write(data.as_py())
+                yield pa.RecordBatch.from_arrays([b.column(0)], names=["chunk"])
+
+        rows.select("chunk", "data").mapInArrow(write, "chunk long").agg(F.count("*")).collect()
+        release(rows)
+        filters = [(hdf5.SHUFFLE, (kind.itemsize,)), (hdf5.DEFLATE, (compression,))] if compression else []
+        at = {meta.chunk_info(c).begin: (places[c], sizes[c]) for c in sizes}
+        spacing = np.array(part.embedding.spacing, "<f8") * 1000
+        done.append(hdf5.Written(name, meta.dims, kind, meta.chunk, at, filters, {"element_size_um": spacing}))
+    head, rest = hdf5.metadata(done, end)
+    with open(path, "r+b") as f:
+        f.write(head)
+        f.seek(end)
+        f.write(rest)
+
+
+def _packed_rows(t: EmbeddedTensor, kind: np.dtype, compression: int) -> DataFrame:
+    """``(chunk, size, data)``: the bytes of each chunk as HDF5 stores them, always a whole chunk's."""
+    meta, own = t.meta, t.dtype
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        info = meta.chunk_info(key[0].as_py())
+        whole = np.zeros(meta.chunk, kind)
+        whole[tuple(slice(0, n) for n in info.logical)] = as_array(table, info.logical, info.begin, own)
+        raw = whole.tobytes()
+        if compression:
+            raw = zlib.compress(np.frombuffer(raw, np.uint8).reshape(-1, kind.itemsize).T.tobytes(), compression)
+        return pa.table({"chunk": [key[0].as_py()], "size": [len(raw)], "data": pa.array([raw], pa.binary())})
+
+    return _chunk_rows(t.inner).groupBy("gl_chunk").applyInArrow(run, "chunk long, size long, data binary")
+
+
 def write_png(t: Tensor, path: str) -> None:
     """A frame of one chunk as PNG, encoded on the driver."""
     from .sources.files import encode_png

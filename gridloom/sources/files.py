@@ -1,4 +1,4 @@
-"""Tensors in files: raw, vvd, NIfTI, PNG and zarr (version 3).
+"""Tensors in files: raw, vvd, NIfTI, PNG, HDF5 and zarr (version 3).
 
 Headers are read on the driver; elements by the tasks, one chunk at a time and
 only those that a query needs, so paths must be visible to every executor.
@@ -311,41 +311,49 @@ def open_zarr_lod(path: str, prefix: str = "/level") -> LodTensor:
     return LodTensor(sorted(found, key=lambda t: _norm(t.embedding)))
 
 
-def _h5(path: str):
-    try:
-        import h5py
-    except ImportError as e:
-        raise TensorError("HDF5 files need h5py, which isn't installed") from e
-    return h5py.File(path, "r")
+def _hdf5(path: str):
+    """A reader of an HDF5 file; each process keeps the file open."""
+    from .hdf5 import Reader
+
+    kept = sys.__dict__.setdefault("_gridloom_files", {})
+    key = (path, os.path.getmtime(path))
+    if key not in kept:
+        kept[key] = open(path, "rb")  # noqa: SIM115
+    f = kept[key]
+
+    def read(at: int, n: int) -> bytes:
+        f.seek(at)
+        return f.read(n)
+
+    return Reader(read)
 
 
 def open_hdf5(path: str, location: str | None = None) -> EmbeddedTensor:
-    """A dataset of an HDF5 file, the only one unless named; needs h5py."""
-    with _h5(path) as f:
-        names: list[str] = []
-        f.visititems(lambda name, x: names.append("/" + name) if hasattr(x, "shape") else None)
-        if location is None:
-            if len(names) != 1:
-                raise TensorError(f"{path} has {len(names)} datasets; name one")
-            location = names[0]
-        d = f[location]
-        meta = TensorMeta(d.shape, d.chunks or d.shape)
-        kind = DType({"f4": "f32"}.get(d.dtype.str[1:], f"{d.dtype.kind}{d.dtype.itemsize * 8}"))
-        size = d.attrs.get("element_size_um")
-        spacing = tuple(float(s) * 0.001 for s in size) if size is not None else (1.0 / d.shape[0],) * meta.ndim
+    """A dataset of an HDF5 file, the only one unless named; spacing from ``element_size_um``."""
+    found = _hdf5(path).datasets()
+    if location is None:
+        if len(found) != 1:
+            raise TensorError(f"{path} has {len(found)} datasets; name one")
+        location = next(iter(found))
+    if location not in found:
+        raise TensorError(f"{path} has no dataset {location}")
+    d = _hdf5(path).dataset(found[location])
+    # Without chunks, slices of the first axis are read.
+    meta = TensorMeta(d.shape, d.chunks or (1, *d.shape[1:]))
+    kind = DType(f"{d.dtype.kind}{d.dtype.itemsize * 8}")
+    size = d.attributes.get("element_size_um")
+    spacing = tuple(float(s) * 0.001 for s in size) if size is not None else (1.0 / d.shape[0],) * meta.ndim
 
     def read(info: ChunkInfo) -> np.ndarray:
-        with _h5(path) as f:
-            return f[location][tuple(slice(b, b + n) for b, n in zip(info.begin, info.logical, strict=True))]
+        return _hdf5(path).box(d, info.begin, info.logical).astype(kind.numpy)
 
     return EmbeddedTensor(from_chunks(meta, kind, read), Embedding(spacing))
 
 
 def open_hdf5_lod(path: str, prefix: str = "/level") -> LodTensor:
-    with _h5(path) as f:
-        names: list[str] = []
-        f.visititems(lambda name, x: names.append("/" + name) if hasattr(x, "shape") else None)
-    found = [open_hdf5(path, n) for n in names if n.startswith(prefix)]
+    found = [open_hdf5(path, n) for n in _hdf5(path).datasets() if n.startswith(prefix)]
+    if not found:
+        raise TensorError(f"{path} has no datasets below {prefix}")
     return LodTensor(sorted(found, key=lambda t: _norm(t.embedding)))
 
 

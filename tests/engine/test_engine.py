@@ -9,7 +9,7 @@ from gridloom.operators import aggregate, kernels, render, resample, select, ves
 from gridloom.operators import randomwalker as rw
 from gridloom.operators.transfer import TransferFunction, apply_tf
 from gridloom.sources import files, memory
-from gridloom.sinks import RunTime, element, read_lod, read_tensor, save_lod, save_tensor, save_vvd, save_zarr, save_zarr_lod, write_png, zip_store
+from gridloom.sinks import RunTime, element, read_lod, read_tensor, save_hdf5, save_lod, save_tensor, save_vvd, save_zarr, save_zarr_lod, write_png, zip_store
 from gridloom.tensor import EmbeddedTensor, const_vec, dimensions, position
 
 CHUNKINGS = [(5, 1, 1), (4, 4, 1), (2, 3, 4), (1, 1, 1), (5, 5, 5)]
@@ -565,3 +565,47 @@ def test_dense_tables(tmp_path):
     save_tensor(EmbeddedTensor(pairs, M.Embedding((1.0, 1.0))), str(tmp_path / "d"), dense=True)
     rows = lambda f: sorted((*x[:2], list(x.value)) for x in f.df.collect())
     assert rows(read_tensor(str(tmp_path / "d"))) == rows(pairs)
+
+
+def test_hdf5(tmp_path):
+    r = np.random.default_rng(6)
+    for kind, chunk in (("f32", (4, 3, 2)), ("u8", (5, 9, 5)), ("i16", (1, 1, 1)), ("f64", (9, 2, 5)), ("i64", (2, 2, 2))):
+        a = (r.random((9, 7, 5)) * 200 - (0 if kind[0] == "u" else 90)).astype(M.DType(kind).numpy)
+        path = str(tmp_path / f"{kind}.h5")
+        save_hdf5(EmbeddedTensor(memory.from_numpy(a, chunk, kind), M.Embedding((0.5, 1.0, 2.0))), path, compression=0 if kind == "u8" else 3)
+        back = files.open_tensor(path)
+        assert (back.numpy() == a).all() and back.dtype == M.DType(kind) and np.allclose(back.embedding.spacing, (0.5, 1.0, 2.0))
+        assert {x.value for x in back.inner[3, 2:4, 4].df.collect()} == set(a[3, 2:4, 4].tolist())
+    # 315 chunks need a tree of two levels.
+    t = unit(memory.from_numpy(np.arange(512, dtype=np.float32).reshape(8, 8, 8), (4, 4, 4)))
+    lod = t.create_lod((2.0,) * 3)
+    save_hdf5(lod, str(tmp_path / "lod.h5"))
+    again, how = files.open_or_create_lod(str(tmp_path / "lod.h5"))
+    assert how == "existing" and [x.meta.dims for x in again.levels] == [x.meta.dims for x in lod.levels]
+    assert (again.levels[1].numpy() == lod.levels[1].numpy()).all()
+    with pytest.raises(M.TensorError, match="no dataset"):
+        files.open_hdf5(path, "/other")
+
+
+def test_hdf5_by_hand(tmp_path):
+    """A file laid out byte by byte in the newer form: superblock 2, headers with links, a contiguous big-endian dataset."""
+    import struct
+
+    from gridloom.sources import hdf5
+
+    a = np.arange(24).reshape(4, 6).astype(">i2")
+    message = lambda kind, body: struct.pack("<BHB", kind, len(body), 0) + body
+    header = lambda *m: b"OHDR" + struct.pack("<BBB", 2, 0, sum(map(len, m))) + b"".join(m) + bytes(4)
+    place = 400
+    kind = struct.pack("<BBBBIHH", 0x10, 0b1001, 0, 0, 2, 0, 16)
+    size = np.array([2000.0, 500.0], "<f8")
+    attribute = struct.pack("<BBHHHB", 3, 0, 16, 20, 12, 0) + b"element_size_um\0" + struct.pack("<BBBBIHHBBBBI", 0x11, 0x20, 63, 0, 8, 0, 64, 52, 11, 0, 52, 1023) + struct.pack("<BBBBQ", 2, 1, 0, 1, 2) + size.tobytes()
+    dataset = header(message(hdf5.DATASPACE, struct.pack("<BBBBQQ", 2, 2, 0, 1, 4, 6)), message(hdf5.DATATYPE, kind), message(hdf5.LAYOUT, struct.pack("<BBQQ", 3, 1, place, a.nbytes)), message(hdf5.ATTRIBUTE, attribute))
+    link = struct.pack("<BBB", 1, 0, 4) + b"data" + struct.pack("<Q", 120)
+    root = header(message(hdf5.LINK, link))
+    head = hdf5.SIGNATURE + struct.pack("<BBBBQQQQI", 2, 8, 8, 0, 0, hdf5.NOWHERE, 600, 48, 0)
+    raw = head.ljust(48, b"\0") + root.ljust(72, b"\0") + dataset
+    (tmp_path / "new.h5").write_bytes(raw.ljust(place, b"\0") + a.tobytes())
+    t = files.open_tensor(str(tmp_path / "new.h5"))
+    assert (t.numpy() == a).all() and str(t.dtype) == "i16" and t.embedding.spacing == (2.0, 0.5)
+    assert [x.value for x in t.inner[2, 1:3].df.collect()] == [13, 14]
