@@ -198,20 +198,19 @@ def _each_chunk(t: Tensor, write) -> int:
 
 def save_zarr(t: EmbeddedTensor, path: str, location: str = "/array", compression: int = 1) -> None:
     """A zarr array, version 3, zstd unless ``compression`` is 0; empty chunks are stored too."""
+    from .sources import paths
     from .sources.files import ZARR_TYPES
 
     names = {v: k for k, v in ZARR_TYPES.items()}
     if t.dtype.size != 1 or t.dtype.scalar not in names:
         raise TensorError(f"zarr does not store {t.dtype}")
-    folder = os.path.join(path, location.strip("/"))
-    os.makedirs(folder, exist_ok=True)
+    folder = paths.joined(path, location)
     codecs = [{"name": "bytes", "configuration": {"endian": "little"}}]
     if compression:
         codecs.append({"name": "zstd", "configuration": {"level": compression, "checksum": False}})
     head = {"zarr_format": 3, "node_type": "array", "shape": list(t.meta.dims), "data_type": names[t.dtype.scalar], "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(t.meta.chunk)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": codecs, "attributes": {"spacing_us": list(t.embedding.spacing)}}
     for name, body in ((path, {"zarr_format": 3, "node_type": "group", "attributes": {}}), (folder, head)):
-        with open(os.path.join(name, "zarr.json"), "w") as f:
-            json.dump(body, f)
+        paths.put(paths.joined(name, "zarr.json"), json.dumps(body).encode())
 
     def write(info, data: np.ndarray) -> None:
         whole = np.zeros(info.mem, data.dtype)
@@ -221,13 +220,7 @@ def save_zarr(t: EmbeddedTensor, path: str, location: str = "/array", compressio
             import zstandard
 
             raw = zstandard.ZstdCompressor(level=compression).compress(raw)
-        name = os.path.join(folder, "c", *(str(b // c) for b, c in zip(info.begin, info.mem, strict=True)))
-        os.makedirs(os.path.dirname(name), exist_ok=True)
-        # A task that runs again replaces the file as a whole.
-        part = f"{name}.{os.getpid()}"
-        with open(part, "wb") as f:
-            f.write(raw)
-        os.replace(part, name)
+        paths.put(paths.joined(folder, "c", *(str(b // c) for b, c in zip(info.begin, info.mem, strict=True))), raw)
 
     _each_chunk(t.inner, write)
 

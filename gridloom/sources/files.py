@@ -1,14 +1,14 @@
 """Tensors in files: raw, vvd, NIfTI, PNG, HDF5 and zarr (version 3).
 
 Headers are read on the driver; elements by the tasks, one chunk at a time and
-only those that a query needs, so paths must be visible to every executor.
+only those that a query needs. Paths may be URIs; whatever they name must be
+visible to every executor.
 """
 
 from __future__ import annotations
 
 import gzip
 import json
-import os
 import struct
 import sys
 import zipfile
@@ -22,20 +22,32 @@ from pyspark.sql import SparkSession
 from ..meta import F32, U8, ChunkInfo, DType, Embedding, TensorError, TensorMeta, chunk_of
 from ..operators.transfer import TransferFunction
 from ..tensor import EmbeddedTensor, LodTensor, Tensor
+from . import paths
 from .chunks import from_chunks
 
 
 def open_raw(path: str, meta: TensorMeta, dtype: DType | str, offset: int = 0) -> Tensor:
-    """A row-major file of exactly the tensor's size."""
+    """A row-major file of exactly the tensor's size; of a chunk, its rows are read, with all of the last axis."""
     kind = DType.parse(dtype)
-    if os.path.getsize(path) != meta.size * kind.size_in_bytes + offset:
-        raise TensorError(f"{path} has {os.path.getsize(path)} bytes, not {meta.size * kind.size_in_bytes + offset}")
-    shape = (*meta.dims, kind.size) if kind.size > 1 else meta.dims
-    kind_np = kind.numpy
+    if paths.size(path) != meta.size * kind.size_in_bytes + offset:
+        raise TensorError(f"{path} has {paths.size(path)} bytes, not {meta.size * kind.size_in_bytes + offset}")
+    kind_np, dims = kind.numpy, meta.dims
 
     def read(info: ChunkInfo) -> np.ndarray:
-        whole = np.memmap(path, kind_np, "r", offset, shape)
-        return np.array(whole[tuple(slice(b, b + n) for b, n in zip(info.begin, info.logical, strict=True))])
+        get = paths.ranges(path)
+        n = max(0, meta.ndim - 2)
+        out = []
+        for at in np.ndindex(info.logical[:n]):
+            lead = tuple(a + b for a, b in zip(at, info.begin, strict=False))
+            rows = info.logical[n] if meta.ndim > 1 else 1
+            first = (*lead, info.begin[n], 0) if meta.ndim > 1 else (0,)
+            begin = int(np.ravel_multi_index(first, dims)) if dims else 0
+            width = dims[-1] if dims else 1
+            raw = get(offset + begin * kind.size_in_bytes, rows * width * kind.size_in_bytes)
+            whole = np.frombuffer(raw, kind_np).reshape(rows, width, *([kind.size] if kind.size > 1 else []))
+            last = slice(info.begin[-1], info.begin[-1] + info.logical[-1]) if dims else slice(None)
+            out.append(whole[:, last])
+        return np.stack(out).reshape((*info.logical, kind.size) if kind.size > 1 else info.logical)
 
     return from_chunks(meta, kind, read)
 
@@ -46,9 +58,16 @@ NIFTI_FLOAT = 16
 NIFTI_UNITS_MM = {0: 1.0, 1: 1000.0, 2: 1.0, 3: 0.001}
 
 
+def _xml(path: str) -> ET.Element:
+    raw = paths.whole(path)
+    if raw is None:
+        raise TensorError(f"{path} does not exist")
+    return ET.fromstring(raw)
+
+
 def open_vvd(path: str, chunk=None) -> EmbeddedTensor:
     """A volume of one raw file with an XML header; values are mapped to real-world values as f32."""
-    root = ET.parse(path).getroot()
+    root = _xml(path)
     raw = root.find(".//RawData")
     if raw is None:
         raw = root.find(".//Raw")
@@ -67,7 +86,7 @@ def open_vvd(path: str, chunk=None) -> EmbeddedTensor:
         if item.get("name") == "RealWorldMapping" and v is not None:
             factor, shift = float(v.get("scale", 1)), float(v.get("offset", 0))
     meta = TensorMeta(dims, tuple(chunk_of(c, d) for c, d in zip(chunk or (64, 64, 64), dims, strict=True)))
-    t = open_raw(os.path.join(os.path.dirname(path), raw.get("filename")), meta, kind)
+    t = open_raw(paths.joined(path.rpartition("/")[0] or ".", raw.get("filename")), meta, kind)
     if kind != "f32":
         t = t.cast(F32)
         factor /= top
@@ -78,7 +97,7 @@ def open_vvd(path: str, chunk=None) -> EmbeddedTensor:
 
 def load_tfi(path: str) -> TransferFunction:
     """A transfer function from an XML list of keys, linear between them, 256 entries."""
-    root = ET.parse(path).getroot()
+    root = _xml(path)
     domain = root.find(".//domain")
     low, high = (float(domain.get("x", 0)), float(domain.get("y", 1))) if domain is not None else (0.0, 1.0)
     keys = []
@@ -96,7 +115,9 @@ def load_tfi(path: str) -> TransferFunction:
 
 
 def _opened(path: str):
-    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")
+    files, inner = paths.located(path)
+    f = files.open_input_file(inner)
+    return gzip.open(f, "rb") if path.endswith(".gz") else f
 
 
 def open_nifti(path: str, data: str | None = None) -> EmbeddedTensor:
@@ -195,13 +216,12 @@ def open_frames(path: str) -> Tensor:
 
     Stands for video files, which need a decoder: have one write its frames as images.
     """
-    names = sorted(n for n in os.listdir(path) if n.lower().endswith(".png"))
+    names = [n for n in paths.names(path) if n.lower().endswith(".png")]
     if not names:
         raise TensorError(f"{path} has no frames")
 
     def image(k: int) -> np.ndarray:
-        with open(os.path.join(path, names[k]), "rb") as f:
-            return decode_png(f.read())[..., :3]
+        return decode_png(paths.whole(paths.joined(path, names[k])))[..., :3]
 
     h, w, _ = image(0).shape
 
@@ -227,32 +247,26 @@ class Store:
     def archive(self) -> zipfile.ZipFile:
         """The archive, kept open by each process, so that its directory is read once."""
         kept = sys.__dict__.setdefault("_gridloom_archives", {})
-        key = (self.path, os.path.getmtime(self.path))
-        if key not in kept:
-            kept[key] = zipfile.ZipFile(self.path)
-        return kept[key]
+        f = paths.opened(self.path)
+        if kept.get(self.path, (None, None))[0] is not f:
+            kept[self.path] = f, zipfile.ZipFile(f)
+        return kept[self.path][1]
 
     def get(self, key: str) -> bytes | None:
         key = key.strip("/")
-        if self.zip:
-            try:
-                return self.archive().read(key)
-            except KeyError:
-                return None
-        full = os.path.join(self.path, key)
-        if not os.path.isfile(full):
+        if not self.zip:
+            return paths.whole(paths.joined(self.path, key))
+        try:
+            return self.archive().read(key)
+        except KeyError:
             return None
-        with open(full, "rb") as f:
-            return f.read()
 
     def arrays(self) -> list[str]:
-        if self.zip:
-            names = [n[: -len("zarr.json")].rstrip("/") for n in self.archive().namelist() if n.endswith("zarr.json")]
-        else:
-            names = [os.path.relpath(d, self.path) for d, _, files in os.walk(self.path) if "zarr.json" in files]
+        every = self.archive().namelist() if self.zip else paths.names(self.path, recursive=True)
+        names = [n[: -len("zarr.json")].rstrip("/") for n in every if n.endswith("zarr.json")]
         found = []
         for n in names:
-            head = json.loads(self.get(f"{'' if n == '.' else n}/zarr.json"))
+            head = json.loads(self.get(f"{n}/zarr.json"))
             if head.get("node_type") == "array":
                 found.append("/" + n)
         return found
@@ -312,20 +326,9 @@ def open_zarr_lod(path: str, prefix: str = "/level") -> LodTensor:
 
 
 def _hdf5(path: str):
-    """A reader of an HDF5 file; each process keeps the file open."""
     from .hdf5 import Reader
 
-    kept = sys.__dict__.setdefault("_gridloom_files", {})
-    key = (path, os.path.getmtime(path))
-    if key not in kept:
-        kept[key] = open(path, "rb")  # noqa: SIM115
-    f = kept[key]
-
-    def read(at: int, n: int) -> bytes:
-        f.seek(at)
-        return f.read(n)
-
-    return Reader(read)
+    return Reader(paths.ranges(path))
 
 
 def open_hdf5(path: str, location: str | None = None) -> EmbeddedTensor:

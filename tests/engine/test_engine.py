@@ -609,3 +609,23 @@ def test_hdf5_by_hand(tmp_path):
     t = files.open_tensor(str(tmp_path / "new.h5"))
     assert (t.numpy() == a).all() and str(t.dtype) == "i16" and t.embedding.spacing == (2.0, 0.5)
     assert [x.value for x in t.inner[2, 1:3].df.collect()] == [13, 14]
+
+
+def test_files_by_uri(tmp_path):
+    a = np.random.default_rng(1).random((6, 5, 4)).astype(np.float32)
+    t = unit(memory.from_numpy(a, (3, 2, 4)))
+    uri = f"file://{tmp_path}"
+    save_zarr(t, f"{uri}/z.zarr")
+    save_hdf5(t, f"{tmp_path}/h.h5")
+    save_vvd(t, f"{tmp_path}/v.vvd")
+    zip_store(f"{tmp_path}/z.zarr", f"{tmp_path}/z.zarr.zip")
+    for name in ("z.zarr", "z.zarr.zip", "h.h5", "v.vvd"):
+        found = files.open_tensor(f"{uri}/{name}")
+        assert (found.numpy() == a).all(), name
+        assert sorted(x.value for x in found.inner[2:5, 3, 1:3].df.collect()) == sorted(a[2:5, 3, 1:3].ravel().tolist()), name
+    for shape, chunk in (((50,), (7,)), ((6, 5), (4, 2)), ((3, 4, 5, 2), (2, 3, 2, 1))):
+        b = np.arange(np.prod(shape), dtype=np.int32).reshape(shape)
+        (tmp_path / "raw").write_bytes(b"skip" + b.tobytes())
+        assert (files.open_raw(f"{uri}/raw", M.TensorMeta(shape, chunk), "i32", 4).numpy() == b).all()
+    with pytest.raises((M.TensorError, OSError)):
+        files.open_tensor(f"{uri}/none.zarr")
