@@ -10,6 +10,7 @@ from gridloom.operators import randomwalker as rw
 from gridloom.operators.transfer import TransferFunction, apply_tf
 from gridloom.sources import files, memory
 from gridloom.sinks import RunTime, element, read_lod, read_tensor, save_hdf5, save_lod, save_tensor, save_vvd, save_zarr, save_zarr_lod, write_png, zip_store
+from gridloom.streaming import progressive
 from gridloom.tensor import EmbeddedTensor, const_vec, dimensions, position
 
 CHUNKINGS = [(5, 1, 1), (4, 4, 1), (2, 3, 4), (1, 1, 1), (5, 5, 5)]
@@ -629,3 +630,41 @@ def test_files_by_uri(tmp_path):
         assert (files.open_raw(f"{uri}/raw", M.TensorMeta(shape, chunk), "i32", 4).numpy() == b).all()
     with pytest.raises((M.TensorError, OSError)):
         files.open_tensor(f"{uri}/none.zarr")
+
+
+def test_batches_until_a_deadline():
+    t = memory.from_numpy(np.arange(64, dtype=np.float32), (1,))
+    now = [0.0]
+    query = lambda rows: rows.agg(F.sum("value").alias("s"))
+
+    def run(cost, seconds, **args):
+        got = []
+        for chunks, rows in progressive.in_batches(t, lambda rows: (now.__setitem__(0, now[0] + cost), query(rows))[1], seconds, clock=lambda: now[0], **args):
+            assert rows[0].s == sum(chunks)
+            got.append(len(chunks))
+        return got
+
+    assert run(0.01, 100) == [1, 4, 16, 43]
+    assert run(6, 10, first=8) == [8, 4]
+    assert run(50, 10) == [1]
+    assert run(0.01, 100, chunks=[3, 9]) == [1, 1]
+
+
+def test_frames_keep_their_best_results(spark):
+    t = unit(memory.from_numpy(np.arange(64, dtype=np.float32).reshape(8, 8), (4, 4)))
+    lod = t.create_lod((2.0, 2.0))
+    assert len(lod.levels) == 2
+    cache = progressive.FrameCache(keep=2)
+    level, frame = lambda v: v[0].level, spark.range(1)
+    assert cache.put("a", progressive.Version(1), frame) and cache.put("b", progressive.Version(0), frame) and not cache.put("b", progressive.Version(1), frame)
+    cache.next_frame()
+    assert level(cache.get("a")) == 1  # used: young again
+    cache.next_frame()
+    assert cache.get("a") is not None
+    cache.next_frame()
+    cache.next_frame()
+    assert cache.get("a") is None and level(cache.get("b")) == 0
+    mean = lambda x: x.df.agg(F.avg("value").alias("m"))
+    assert level(cache.refined("m", lod, mean, seconds=0)) == 1 and level(cache.refined("m", lod, mean, seconds=0)) == 0
+    version, found = cache.refined("m", lod, mean)
+    assert version.final and found.first().m == 31.5
