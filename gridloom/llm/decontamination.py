@@ -261,7 +261,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a test item; columns and other rows stay."""
+    """``docs`` without the rows that hold a test item; columns, whatever their names, and other rows stay.
+
+    Null and empty texts hold nothing and stay; ids play no part; repeated rows
+    stay or go together; an empty table of either sort changes nothing.
+    """
     for index in indexes(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
         at = docs.columns.index("text")
