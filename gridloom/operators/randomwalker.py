@@ -12,7 +12,7 @@ from ..meta import F64, Embedding, TensorError, TensorMeta
 from ..storage import staged
 from ..tensor import EmbeddedTensor, LodTensor, Tensor, positions
 from .geometry import rounded
-from .resample import resample_transform
+from .resample import resample_transform, stored
 from .select import chunk_index
 from .window import map_overlap, with_halo
 
@@ -157,7 +157,7 @@ def hierarchical(weights: list[Tensor], levels: LodTensor, foreground: DataFrame
     way. Returns the probabilities and, by level, the table of chunks that
     were not solved.
     """
-    between = between or (lambda level, k: EmbeddedTensor(level.inner.replaced(staged(level.df, f"level{k}")), level.embedding))
+    between = between or stored
     found: list[EmbeddedTensor] = []
     upper: EmbeddedTensor | None = None
     for k in reversed(range(len(levels.levels))):

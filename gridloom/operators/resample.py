@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..meta import DownsampleStep, Embedding, TensorError, TensorMeta, can_reduce_further, coarser, scaling, translation
+from ..storage import staged
 from ..tensor import EmbeddedTensor, LodTensor, Tensor, grid_frame, positions
 from . import kernels, window
 from .geometry import affine, rounded
@@ -68,6 +69,11 @@ def smooth_downsample(t: EmbeddedTensor, meta: TensorMeta) -> EmbeddedTensor:
     return resample(EmbeddedTensor(inner, t.embedding), meta)
 
 
+def stored(level: EmbeddedTensor, k: int) -> EmbeddedTensor:
+    """A level written to the shared folder and read back, which cuts lineage: for ``between``."""
+    return EmbeddedTensor(level.inner.replaced(staged(level.df, f"level{k}")), level.embedding)
+
+
 def create_lod(t: EmbeddedTensor, steps, between: Callable[[EmbeddedTensor, int], EmbeddedTensor] | None = None) -> LodTensor:
     """Levels until no axis can shrink further. ``between`` may store each level, which then feeds the next."""
     if len(steps) != t.nd:

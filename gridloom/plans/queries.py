@@ -591,7 +591,7 @@ def best_centers(s, d):
 def rw_hierarchical(s, d):
     t = EmbeddedTensor(unit(s, d), Embedding((1.0, 1.0)))
     far = tuple(n - 1 for n in t.meta.dims)
-    lod = resample.create_lod(t, (SynchronizedStep(2.0),) * 2)
+    lod = resample.create_lod(t, (SynchronizedStep(2.0),) * 2, resample.stored)
     w = weights.random_walker_weights_lod(lod, "grady", beta=100.0)
     return out(rw.hierarchical(w, lod, memory.points([far]), memory.points([(0, 0)]))[0].levels[0])
 
