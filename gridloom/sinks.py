@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .meta import DType, Embedding, TensorError, TensorMeta
 from .operators.resample import create_lod
-from .operators.select import chunk_index
+from .operators.select import chunk_index, chunk_rows
 from .storage import release, staged
 from .tensor import EmbeddedTensor, LodTensor, ScalarTensor, Tensor, positions
 
@@ -36,6 +36,10 @@ def as_array(table: pa.Table, shape: tuple[int, ...], begin: tuple[int, ...], dt
     return out
 
 
+#: Chunks that are resolved as a box each; more are read as one box around them, which keeps the plan small.
+BOXES = 64
+
+
 class RunTime:
     """Evaluates lazy tensors; memory and threads are Spark's."""
 
@@ -43,7 +47,7 @@ class RunTime:
         self.spark = spark or SparkSession.active()
 
     def resolve(self, t: Tensor | EmbeddedTensor, chunks: list) -> list[np.ndarray]:
-        """Chosen chunks, by number or grid position, as arrays: one job that reads only their boxes."""
+        """Chosen chunks, by number or grid position, as arrays: one job that reads only what they need."""
         t = t.inner if isinstance(t, EmbeddedTensor) else t
         meta = t.shape()
         if t.dtype.size != 1:
@@ -52,8 +56,11 @@ class RunTime:
         infos = [meta.chunk_info(c) for c in wanted]
         if not infos:
             return []
-        # The bounding box prunes scans; the exact set follows.
-        rows = t.within([min(x.begin[i] for x in infos) for i in range(meta.ndim)], [max(x.end[i] for x in infos) - 1 for i in range(meta.ndim)])
+        if len(set(wanted)) <= BOXES:
+            rows = chunk_rows(t, wanted)
+        else:
+            # One box around all prunes the scan; the exact set follows.
+            rows = t.within([min(x.begin[i] for x in infos) for i in range(meta.ndim)], [max(x.end[i] for x in infos) - 1 for i in range(meta.ndim)])
         rows = rows.withColumn("gl_chunk", chunk_index(meta)).where(F.col("gl_chunk").isin(wanted)).toArrow()
         keys = rows.column("gl_chunk").to_numpy()
         return [as_array(rows.filter(pa.array(keys == c)), x.logical, x.begin, t.dtype) for c, x in zip(wanted, infos, strict=True)]

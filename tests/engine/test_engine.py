@@ -393,6 +393,8 @@ def test_only_the_chunks_of_a_box_are_read(spark, tmp_path):
     t = files.open_zarr(path).inner
     run = RunTime()
     assert (run.resolve(t, [0])[0] == a[:2, :2, :2]).all() and (run.resolve((t + 1.0) * 2.0, [(1, 2, 3)])[0] == (a[2:4, 4:6, 6:] + 1) * 2).all()
+    far = run.resolve(t, [(1, 2, 3), 0])
+    assert (far[0] == a[2:4, 4:6, 6:]).all() and (far[1] == a[:2, :2, :2]).all()
     assert element(t, (3, 5, 7)) == a[3, 5, 7]
     assert {r.value for r in t[2:4, 4:6, 6:][1:, :, 1].df.collect()} == set(a[3, 4:6, 7].tolist())
     with pytest.raises(Exception, match="zstd|Zstd|ZSTD"):
