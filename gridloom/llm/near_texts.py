@@ -1,14 +1,17 @@
-"""Near-duplicates by word shingles in common, found through SimHashes of parts of them.
+"""Near-duplicates by word shingles in common, found through vantage-point trees over their SimHashes.
 
 Texts that share 0.8 of their shingles differ in about 15 % of the bits of a
-SimHash over all of them, where the balls of a vantage-point search reach most
-shards and the work grows with the square of the texts. The shards here are
-therefore dealt by SimHashes of parts: a text's distinct shingles are parted into
+SimHash. The vantage-point search of ``simhash.near_links`` goes over three
+SimHashes, in twelve blocks of 16 bits: balls of radius 1, which overlap few
+shards, hold such a text in at least one block 98 times in 100 (a radius of 3,
+which never misses, reaches most shards, and the work grows with the square of
+the texts). Inside a shard whole SimHashes are compared.
+
+For the rest there are SimHashes of parts: a text's distinct shingles are parted into
 classes by their hashes, a class for a few shingles, and each class has a
 SimHash of its own. Texts that are alike have some class wholly in common, and
-so an equal SimHash, at distance zero; every class leads to one shard. Inside a
-shard, texts are compared by SimHashes of all their shingles, and what is near
-there exactly, shingle by shingle.
+so an equal SimHash, at distance zero. What is near either way is compared
+exactly, shingle by shingle.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import key_filter, maybe_in, release, sheltered, staged
 from .graph import connected_components
-from .simhash import SEED, components_of, hook
+from .simhash import SEED, components_of, hook, near_links
 
 #: Words in a shingle, and the share of distinct shingles that texts must have in common.
 WORDS, SIMILAR = 5, 0.8
@@ -32,6 +35,8 @@ WORDS, SIMILAR = 5, 0.8
 CLASSES, CLASS_SIZE = 24, 3
 #: Bits of the three SimHashes of all shingles, 192 together, in which candidates may differ. At ``SIMILAR`` about 29 do, with a deviation of 5.
 NEAR_TOTAL = 47
+#: The three SimHashes' columns, and the radius of balls in one of the four blocks of 16 bits that each has.
+PRINT_NAMES, RADIUS = ("fp0", "fp1", "fp2"), 1
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -345,10 +350,11 @@ def similar_texts(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR,
     prints = staged(prints_of(texts, words, similar), "prints")
     some = [F.first(c).alias(c) for c in ("fp0", "fp1", "fp2", "classes")]  # equal for equal nodes
     distinct = staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), *some), "distinct")
-    near = candidate_links(distinct, total)
-    links = alike_links(near, distinct, texts, words, similar)
+    near = near_links(distinct, total, fps=PRINT_NAMES, radius=RADIUS)
+    rest = candidate_links(distinct, total)
+    links = alike_links(near.unionByName(rest), distinct, texts, words, similar)
     classes = components_of(distinct.select("node", "first_id"), links)
-    release(near, distinct, links)
+    release(near, rest, distinct, links)
     return prints.select("doc_id", "text_key", "node").join(classes, "node").select("doc_id", "text_key", "component", "component_id")
 
 

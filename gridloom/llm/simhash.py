@@ -137,26 +137,32 @@ def hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, blocks: int, block: int, leaf: int = 256, seed: int = 1) -> np.ndarray:
+def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, blocks: int, block: int, leaf: int = 256, seed: int = 1, radius: int | None = None) -> np.ndarray:
     """Parent of each row in a spanning forest of the links in one shard of the tree over ``block``.
 
+    ``fps`` has a fingerprint for each row, or several, each of them a row of its own;
+    ``distance`` is that of all together, ``blocks`` the blocks of each.
+
     Links join a row to a home row within ``distance`` bits. A local
     vantage-point search on the shard's block halves the home rows until
     ``leaf`` are left. Home rows that it cannot part, since they agree in the
     block, are searched on: of the other blocks one has to be near too, so a
     search on each of them finds every pair. Whole fingerprints are compared at the leaves.
+    A given ``radius`` takes the place of ``distance // blocks``, and one bit more that of the other blocks.
     """
     width = BITS // blocks
-    values = [(fps >> np.uint64(width * k)) & np.uint64((1 << width) - 1) for k in range(blocks)]
-    parent = np.arange(fps.size)
+    words = np.atleast_2d(fps)
+    values = [(word >> np.uint64(width * k)) & np.uint64((1 << width) - 1) for word in words for k in range(blocks)]
+    reach = [distance // max(1, len(values) - 1), distance // len(values)] if radius is None else [radius + 1, radius]
+    parent = np.arange(words.shape[1])
     rng = np.random.default_rng(seed)
-    stack = [(np.arange(fps.size), np.flatnonzero(home), block, True)]
+    stack = [(np.arange(parent.size), np.flatnonzero(home), block, True)]
     while stack:
         queries, points, k, first = stack.pop()
         if not points.size or not queries.size:
             continue
         if points.size > leaf:
-            radius = distance // blocks if first else distance // (blocks - 1)
+            radius = reach[first]
             at = values[k][points[rng.integers(points.size)]]
             far = np.bitwise_count(values[k][points] ^ at).astype(np.int64)
             shell = int(np.partition(far, far.size // 2)[far.size // 2])
@@ -169,21 +175,26 @@ def shard_links(fps: np.ndarray, home: np.ndarray, distance: int, blocks: int, b
                 stack.append((queries[away - radius <= shell], points[inside], k, first))
                 stack.append((queries[away + radius > shell], points[~inside], k, first))
                 continue
-            if first and blocks > 1 and far.max() == 0:
+            if first and len(values) > 1 and far.max() == 0:
                 near = queries[np.bitwise_count(values[k][queries] ^ at) <= radius]
-                stack.extend((near, points, other, False) for other in range(blocks) if other != block)
+                stack.extend((near, points, other, False) for other in range(len(values)) if other != block)
                 continue
         step = max(1, (1 << 21) // points.size)
         for at in range(0, queries.size, step):
             some = queries[at : at + step]
-            q, p = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[points][None, :]) <= distance)
+            q, p = np.nonzero(sum(np.bitwise_count(word[some][:, None] ^ word[points][None, :]) for word in words) <= distance)
             hook(parent, some[q], points[p])
     return parent
 
 
-def near_links(distinct: DataFrame, distance: int = 4, blocks: int = 4, shard_rows: int = 20_000, sample_rows: int = 8192) -> DataFrame:
+def near_links(distinct: DataFrame, distance: int = 4, blocks: int = 4, shard_rows: int = 20_000, sample_rows: int = 8192, fps: tuple[str, ...] = ("fp",), radius: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that connect exactly the fingerprints within ``distance`` bits, from distinct ``(node, fp)``.
 
+    With several columns ``fps``, each is parted into ``blocks``, and ``distance`` is that of all together. A
+    ``radius`` less than ``distance // blocks`` of them all sends a fingerprint to fewer shards; links are
+    then those of fingerprints that are besides so near in some block, and, where too many agree in it, within
+    one bit more in another.
+
     They are spanning forests of all links, shard by shard: as many components
     as all links have, but never the pairs of a dense group. There are as many
     shards as make ``shard_rows`` home rows each, up to one for each value of a block;
@@ -200,38 +211,39 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int = 4, shard_ro
     depth = 0
     while n > shard_rows << depth and depth < width:
         depth += 1
-    taken = distinct.select("fp").orderBy(F.xxhash64("node")).limit(max(sample_rows, 32 << depth)).toArrow()
-    sample = taken.column("fp").to_numpy().view(np.uint64)
-    trees = [BlockTree(sample, width * k, width, distance // blocks, depth, seed=k + 1) for k in range(blocks)]
+    taken = distinct.select(*fps).orderBy(F.xxhash64("node")).limit(max(sample_rows, 32 << depth)).toArrow()
+    samples = [taken.column(c).to_numpy().view(np.uint64) for c in fps]
+    near = distance // (blocks * len(fps)) if radius is None else radius
+    trees = [BlockTree(samples[w], width * k, width, near, depth, seed=w * blocks + k + 1) for w in range(len(fps)) for k in range(blocks)]
     sent = spark.sparkContext.broadcast(trees)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            words = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in fps]
             for k, tree in enumerate(sent.value):
-                own = tree.home(fps)
-                rows, shard = tree.visits(fps)
+                own = tree.home(words[k // blocks])
+                rows, shard = tree.visits(words[k // blocks])
                 # Of two shards, the rows of the later one do the visiting.
                 rows, shard = rows[shard <= own[rows]], shard[shard <= own[rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.size, k, np.int32)), pa.array(shard.astype(np.int32)), pa.array(shard == own[rows]), *(c.take(pa.array(rows)) for c in batch.columns)], names=["block", "shard", "home", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.size, k, np.int32)), pa.array(shard.astype(np.int32)), pa.array(shard == own[rows]), *(c.take(pa.array(rows)) for c in batch.columns)], names=["block", "shard", "home", "node", *fps])
 
-    routed = staged(distinct.select("node", "fp").mapInArrow(route, "block int, shard int, home boolean, node long, fp long"), "routed")
+    routed = staged(distinct.select("node", *fps).mapInArrow(route, ", ".join(["block int, shard int, home boolean, node long", *(f"{c} long" for c in fps)])), "routed")
     cells = routed.groupBy("block", "shard").agg(
         F.ceil(F.count_if("home") / shard_rows).cast("int").alias("home_cells"), F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("query_cells")
     )
     cell = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     sized = routed.join(cells, ["block", "shard"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = sized.select("block", "shard", "node", "fp", F.lit(False).alias("home"), cell("query_cells", 1).alias("q"), every("home_cells").alias("h"))
-    homes = sized.where("home").select("block", "shard", "node", "fp", F.lit(True).alias("home"), cell("home_cells", 2).alias("h"), every("query_cells").alias("q"))
+    queries = sized.select("block", "shard", "node", *fps, F.lit(False).alias("home"), cell("query_cells", 1).alias("q"), every("home_cells").alias("h"))
+    homes = sized.where("home").select("block", "shard", "node", *fps, F.lit(True).alias("home"), cell("home_cells", 2).alias("h"), every("query_cells").alias("q"))
     rows = queries.unionByName(homes)
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         nodes, first, back = np.unique(group.column("node").to_numpy(), return_index=True, return_inverse=True)
-        fps = group.column("fp").to_numpy()[first].view(np.uint64)
+        words = np.stack([group.column(c).to_numpy()[first].view(np.uint64) for c in fps])
         home = np.zeros(nodes.size, bool)
         home[back[group.column("home").to_numpy()]] = True
-        parent = shard_links(fps, home, distance, blocks, key[0].as_py())
+        parent = shard_links(words, home, distance, blocks, key[0].as_py(), radius=radius)
         child = np.flatnonzero(parent != np.arange(nodes.size))
         return pa.table({"a": nodes[child], "b": nodes[parent[child]]})
 

@@ -559,6 +559,50 @@ def test_near_duplicates_share_eight_tenths_of_their_shingles(spark, cell_rows,
     assert {x.doc_id for x in near_texts.near_deduplicated(docs).select("doc_id").collect()} == set(label.values())
 
 
+def test_balls_over_several_fingerprints(spark):
+    """Every pair within the radius in some block and within the distance in all is linked, none that is not within the distance."""
+    r = random.Random(11)
+    base = [r.getrandbits(192) for _ in range(200)]
+    prints = set(base)
+    for x in base[:150]:
+        for n in (12, 25, 35, 47, 52):
+            y = x
+            for b in r.sample(range(192), n):
+                y ^= 1 << b
+            prints.add(y)
+    own = sorted(prints)
+    word = lambda x, k: (x >> 64 * k) % 2**64
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    distinct = spark.createDataFrame([(i, *(signed(word(x, k)) for k in range(3))) for i, x in enumerate(own)], "node long, fp0 long, fp1 long, fp2 long")
+    links = simhash.near_links(distinct, 47, shard_rows=60, fps=near_texts.PRINT_NAMES, radius=1)
+    got = {x.node: x.component for x in connected_components(links).collect()}
+    block = lambda x: min((x >> 16 * k & 0xFFFF).bit_count() for k in range(12))
+    sure, label = (brute_components(own, lambda a, b, some=some: (a ^ b).bit_count() <= 47 and (not some or block(a ^ b) <= 1)) for some in (True, False))
+    at = {x: got.get(i, i) for i, x in enumerate(own)}
+    assert len(set(sure.values())) < len(own) - 300
+    assert all(at[x] == at[y] for x, y in sure.items())
+    assert all(label[x] == label[own[c]] for x, c in at.items())
+
+
+def test_near_duplicates_come_from_vantage_point_trees(spark, monkeypatch):
+    """Without the classes, which cover what chance puts too far apart, nearly all texts that are alike are still found."""
+    r = random.Random(12)
+    rows = []
+    for k in range(40):
+        own = prose(7000 + k, 300).split()
+        other = list(own)
+        for i in r.sample(range(300), 3 + k % 3):
+            other[i] = f"new{r.random()}"
+        rows += [" ".join(own), " ".join(other)]
+    sets = [shingle_sets(t) for t in rows]
+    label = brute_components(list(range(80)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    monkeypatch.setattr(near_texts, "candidate_links", lambda distinct, total: near_texts.staged(spark.createDataFrame([], "a long, b long"), "none"))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_texts.similar_texts(docs).collect()}
+    assert len(set(label.values())) == 40 and all(label[i] == label[c] for i, c in got.items())
+    assert sum(got[i] != label[i] for i in got) <= 2
+
+
 def test_classes_find_pairs_at_the_threshold():
     """Of pairs of sets that share just 0.8, hardly any has no class in common, whatever their size."""
     rng = np.random.default_rng(5)
