@@ -264,8 +264,10 @@ class Tensor:
     __neg__ = neg
 
     def log(self) -> Tensor:
-        """Natural logarithm; null for zero and below."""
-        return self._map(F.ln)
+        """Natural logarithm: minus infinity for zero and NaN below it, as floating-point arithmetic has it; integers have neither, so null."""
+        if self.dtype.is_integer:
+            return self._map(F.ln)
+        return self._map(lambda x: F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x)))
 
     def exp(self) -> Tensor:
         return self._map(F.exp)

@@ -103,6 +103,16 @@ def test_expressions():
     assert list(bits.numpy()) == list(np.array([1.0, -2.5], np.float32).view(np.uint32)) and list(bits.reinterpret("f32").numpy()) == [1.0, -2.5]
 
 
+def test_logarithms_of_zero_and_less():
+    for kind in ("f32", "f64"):
+        t = memory.from_values((5,), [0.0, -0.0, -1.0, 1.0, np.inf], kind)
+        want = [-np.inf, -np.inf, np.nan, 0.0, np.inf]
+        assert np.array_equal([r.value for r in t.log().df.orderBy("p0").collect()], want, equal_nan=True)
+        pair = t.concat(t).log()
+        assert np.array_equal([r.value for r in pair.df.orderBy("p0").collect()], [[w, w] for w in want], equal_nan=True)
+    assert [r.value for r in memory.from_values((2,), [0, 1], "i32").log().df.orderBy("p0").collect()] == [None, 0]
+
+
 def test_fold_and_unfold():
     a = np.arange(24, dtype=np.float32).reshape(4, 6)
     t = memory.from_numpy(a, (2, 6)).fold_into_dtype()
