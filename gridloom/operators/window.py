@@ -15,6 +15,8 @@ from .select import chunk_index
 
 #: Elements of a line that one window may hold; longer lines are cut into overlapping blocks.
 LINE = 4096
+#: Elements of a box that kernels take where the result doesn't depend on the chunks, and rows, copies included, that a task of a shuffle to kernels gets.
+BOX, ROWS = 1 << 16, 1 << 20
 
 
 def lines(t: Tensor, axis: int, halo: int) -> tuple[DataFrame, list[str], Column]:
@@ -89,10 +91,24 @@ def along(a: np.ndarray, kernel: np.ndarray, axis: int, border: str = "repeat")
     return np.moveaxis(out, -1, axis)
 
 
+def boxed(meta: TensorMeta, halo: tuple[int, ...]) -> TensorMeta:
+    """The shape in chunks of up to ``BOX`` elements, made of smaller ones by doubling the axis on which the halo copies most."""
+    size = list(meta.chunk)
+    while True:
+        short = [i for i in range(meta.ndim) if size[i] < meta.dims[i]]
+        if not short:
+            return meta.with_chunk(tuple(size))
+        i = max(short, key=lambda i: halo[i] / size[i])
+        longer = [min(2 * c, d) if i == k else c for k, (c, d) in enumerate(zip(size, meta.dims, strict=True))]
+        if int(np.prod(longer, dtype=object)) > BOX:
+            return meta.with_chunk(tuple(size))
+        size = longer
+
+
 def separable_in_chunks(t: Tensor, kernels, border: str = "repeat") -> Tensor:
     """``separable_convolution`` of a scalar tensor in one shuffle: each chunk with its surroundings as array.
 
-    Better than a shuffle for each axis where chunks are long against the kernels.
+    Short chunks are taken several at once, so that few elements are copied.
     """
     if len(kernels) != t.nd or t.dtype.size != 1 or t.dtype.is_integer:
         raise TensorError("a kernel for each axis, and a tensor of floating-point scalars")
@@ -104,7 +120,8 @@ def separable_in_chunks(t: Tensor, kernels, border: str = "repeat") -> Tensor:
             out = along(out, taps[axis], axis, border)
         return out[core]
 
-    return map_overlap(t.df, t.shape(), tuple(len(k) // 2 for k in taps), ["value"], kernel, F64)
+    halo = tuple(len(k) // 2 for k in taps)
+    return t.replaced(map_overlap(t.df, boxed(t.shape(), halo), halo, ["value"], kernel, F64).df, dtype=F64)
 
 
 def _extents(extent, n: int) -> tuple[int, ...]:
@@ -177,7 +194,7 @@ def map_overlap(frame: DataFrame, meta: TensorMeta, halo, columns: list[str], ke
     ``kernel(arrays, low, core)`` gets a dense array for each of ``columns``
     (vectors as last axis, NaN where a row is missing), the position of its
     first element, and the slices of the chunk itself; it returns the chunk's
-    values. One shuffle whatever the number of axes; a task holds one chunk.
+    values. One shuffle whatever the number of axes, with some ``ROWS`` rows a task at most; Python holds one chunk.
     ``only`` may list the chunks (``gl_chunk``) that are computed; rows of others aren't shuffled to them.
     """
     dtype, n = DType.parse(dtype), meta.ndim
@@ -186,6 +203,10 @@ def map_overlap(frame: DataFrame, meta: TensorMeta, halo, columns: list[str], ke
     halved = with_halo(frame.select(*p, *columns), meta, halo)
     if only is not None:
         halved = halved.join(only, "gl_chunk", "left_semi")
+    copies = [d + 2 * h * (g - 1) for d, g, h in zip(meta.dims, meta.grid, halo, strict=True)]
+    tasks = -(-int(np.prod(copies, dtype=object)) // ROWS)
+    if tasks > 1:  # the sort before the kernel then needs no more memory on larger tensors
+        halved = halved.repartition(max(tasks, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "gl_chunk")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         info = meta.chunk_info(key[0].as_py())

@@ -160,6 +160,23 @@ def test_kernels(s):
     assert g == pytest.approx(g[::-1]) and d == pytest.approx(-d[::-1]) and dd == pytest.approx(dd[::-1])
 
 
+def test_kernels_get_few_copies_and_bounded_tasks(spark, monkeypatch):
+    a = np.random.default_rng(4).random((50, 6, 7))
+    t, k = memory.from_numpy(a, (4, 4, 4)), kernels.gauss(1.0)
+    want = a
+    for axis in (2, 1, 0):
+        want = window.along(want, np.array(k), axis)
+    for n in (1 << 16, 300, 1):  # one box, some, the tensor's own chunks
+        monkeypatch.setattr(window, "BOX", n)
+        got = window.separable_in_chunks(t, [k] * 3)
+        assert got.shape() == t.shape() and np.abs(got.numpy() - want).max() < 1e-12
+    assert window.boxed(M.TensorMeta((10**5, 10, 10), (4, 4, 4)), (3, 3, 3)).chunk == (4, 4, 4)
+    monkeypatch.setattr(window, "BOX", 1 << 16)
+    assert window.boxed(M.TensorMeta((10**5, 10, 10), (4, 4, 4)), (3, 3, 3)).chunk == (512, 10, 10)
+    monkeypatch.setattr(window, "ROWS", 100)
+    assert window.map_overlap(t.df, t.shape(), 0, ["value"], lambda arrays, low, core: arrays[0][core], M.F64).df.rdd.getNumPartitions() == 21
+
+
 def test_box_statistics_and_halo():
     a = np.random.default_rng(1).random((9, 8)).astype(np.float32)
     t = memory.from_numpy(a, (4, 3))
