@@ -192,7 +192,8 @@ def map_overlap(frame: DataFrame, meta: TensorMeta, halo, columns: list[str], ke
     """A numpy kernel on each chunk with its surroundings.
 
     ``kernel(arrays, low, core)`` gets a dense array for each of ``columns``
-    (vectors as last axis, NaN where a row is missing), the position of its
+    (vectors as last axis, NaN where a row is missing; an element may have several rows
+    if at most one tells each column's value), the position of its
     first element, and the slices of the chunk itself; it returns the chunk's
     values. One shuffle whatever the number of axes, with some ``ROWS`` rows a task at most; Python holds one chunk.
     ``only`` may list the chunks (``gl_chunk``) that are computed; rows of others aren't shuffled to them.
@@ -223,7 +224,9 @@ def map_overlap(frame: DataFrame, meta: TensorMeta, halo, columns: list[str], ke
                 a[at] = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), width)
             else:
                 a = np.full(shape, np.nan)
-                a[at] = col.to_numpy(zero_copy_only=False)
+                v = col.to_numpy(zero_copy_only=False)
+                told = np.flatnonzero(~np.isnan(v)) if col.null_count else slice(None)
+                a[tuple(x[told] for x in at)] = v[told]
             arrays.append(a)
         core = tuple(slice(b - a, b - a + s) for a, b, s in zip(low, info.begin, info.logical, strict=True))
         out = kernel(arrays, low, core)

@@ -209,6 +209,38 @@ def test_resampling():
     assert list(t.resample_transform(M.TensorMeta((3,)), M.translation([6.0])).numpy()) == [6, 7, 7]
 
 
+def test_scaled_grids_are_read_without_a_join(spark):
+    rng = np.random.default_rng(7)
+    for source, target in (((7, 10), (13, 20)), ((13, 20), (7, 10)), ((9, 4), (9, 11)), ((5, 6), (1, 6)), ((1, 3), (4, 3))):
+        a = rng.random(source)
+        t, meta = memory.from_numpy(a), M.TensorMeta(target)
+        for m in (resample.rescale_matrix(t.shape(), meta), M.scaling([(x - 1) / max(1, y - 1) or 0.25 for x, y in zip(source, target)])):
+            at = [np.clip(np.floor(np.arange(n) * m[i + 1, i + 1] + m[i + 1, 0] + 0.5), 0, source[i] - 1).astype(int) for i, n in enumerate(target)]
+            got = resample.resample_transform(t, meta, m)
+            assert (got.numpy() == a[np.ix_(*at)]).all() and got.df.count() == target[0] * target[1]
+            assert "Join" not in got.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_are_solved_without_joining_systems(monkeypatch):
+    a = np.where(np.arange(40)[None, :] < 17, 0.1, 0.9) * np.ones((40, 40)) + np.random.default_rng(8).random((40, 40)) / 10
+    lod = unit(memory.from_numpy(a, (8, 8))).create_lod([2.0] * 2)
+    seen = []
+    whole = rw.map_overlap
+    monkeypatch.setattr(rw, "map_overlap", lambda frame, *rest: seen.append(frame._jdf.queryExecution().optimizedPlan().toString()) or whole(frame, *rest))
+    w = weights.random_walker_weights_lod(lod, "grady", 1e-6, beta=100.0)
+    out, _ = rw.hierarchical(w, lod, memory.points([(39, 39)]), memory.points([(0, 0)]))
+    got = out.levels[0].numpy()
+    assert len(seen) == len(lod.levels) and not any("Join" in s for s in seen)
+    assert got.shape == (40, 40) and got[0, 0] == 0 and got[39, 39] == 1
+    last = lod.levels[-1].inner
+    dense = np.full((*last.shape().dims, 2), np.nan)
+    for r in w[-1].df.collect():
+        dense[r.p0, r.p1, r.p2] = r.value
+    seed = np.full(last.shape().dims, np.nan)
+    seed[0, 0], seed[-1, -1] = 0, 1
+    assert np.abs(out.levels[-1].numpy() - rw.solve(dense, seed)).max() < 1e-9
+
+
 def test_const_chunk_table():
     a = np.zeros((4, 4), np.float32)
     a[:2, :2] = 7
